@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitequarry.functions.text import strip_blanks
+from sitequarry.functions.text import bound, strip_blanks
 
 # The accepted forms of a site name and the limit on its length.
 HOST_PATTERN = r"^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9][a-z0-9-]{0,61}[a-z0-9]$"
@@ -22,13 +22,14 @@ TOO_LONG = "Domain name too long (max 253 characters)"
 
 def normalised(name: Column) -> Column:
     """Strip, lower, drop an http(s) scheme with all behind the host, drop trailing slashes."""
-    text = F.lower(strip_blanks(name))
-    has_scheme = text.rlike("^https?://")
-    bare = F.regexp_replace(text, r"[\t\r\n]", "")
-    host = F.regexp_extract(bare, r"^https?://([^/?#]*)", 1)
-    path = F.regexp_extract(bare, r"^https?://[^/?#]*([^?#]*)", 1)
-    name_part = F.when(has_scheme, F.when(host != "", host).otherwise(path)).otherwise(text)
-    return F.regexp_replace(name_part, "/+$", "")
+
+    def without_scheme(text: Column) -> Column:
+        # host, or the path where the host is empty
+        url = F.regexp_replace(text, r"[\t\r\n]", "")
+        host = F.regexp_replace(url, "^https?://(?:([^/?#]+).*|([^?#]*).*)$", "$1$2")
+        return F.when(text.rlike("^https?://"), host).otherwise(text)
+
+    return F.regexp_replace(bound(F.lower(strip_blanks(name)), without_scheme), "/+$", "")
 
 
 def kind(domain: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 BYTE_UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip_blanks(text: Column) -> Column:
     """Drop Unicode blanks, and the separators U+001C to U+001F, from both ends."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

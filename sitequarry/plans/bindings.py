@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table read as a stream of files."""
+    """The same table read as a stream of files; the path is a pattern, so it may name one file."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 # --- site index: one site per order ------------------------------------------------------------

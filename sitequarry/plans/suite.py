@@ -542,30 +542,29 @@ def error_messages(spark, sf_dir):
 def archive_written(spark, sf_dir):
     out = fresh_dir(spark, "archive")
     sinks.write_records(archived_records(spark, sf_dir), out)
-    read = captures.read_archive(spark, out)
-    return read.select("domain", "out_name", "record_json")
+    return captures.read_archive(spark, out)
 
 
 @query
 def documents_written(spark, sf_dir):
     out = fresh_dir(spark, "documents")
     sinks.write_documents(dict_documents(spark, sf_dir), out)
-    return spark.read.parquet(out).select("domain", "out_name", "route", "body")
+    return spark.read.parquet(out)
 
 
 @query
 def index_snapshot_written(spark, sf_dir):
     out = fresh_dir(spark, "index")
     sinks.write_index_snapshot(b.site_index(spark, sf_dir), out)
-    saved = spark.read.text(out).select("domain", F.col("value").alias("body"))
-    return saved.select("domain", F.length("body").cast("bigint").alias("body_length"))
+    return spark.read.parquet(out).select("domain", (F.length("body") > 0).alias("saved"))
 
 
 @query
 def catalogue_lines_written(spark, sf_dir):
     out = fresh_dir(spark, "catalogue")
-    sinks.write_catalogue_lines(catalogue.update_lines(_settled(spark, sf_dir), ("domain",)), out, ("domain",))
-    return spark.read.text(out).select("domain", F.col("value").alias("line"))
+    merged = catalogue.merge_catalogue(seed_catalogue(spark), _scanned(spark, sf_dir).where("route IS NOT NULL"))
+    sinks.write_catalogue_lines(catalogue.update_lines(merged), out)
+    return spark.read.text(out).select(F.col("value").alias("line"))
 
 
 @query
