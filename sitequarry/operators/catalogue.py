@@ -32,11 +32,10 @@ def update_lines(proposed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """
     known = proposed.where(F.col("category").isin(CATEGORIES))
     position = _category_rank(F.col("category")).alias("category_pos")
-    heads = known.select(*keys, position, F.lit(0).alias("is_route"), F.lit("").alias("route"),
-                         F.concat("category", F.lit(":")).alias("line")).distinct()
-    entries = known.select(*keys, position, F.lit(1).alias("is_route"), "route",
-                           F.concat(F.lit("- "), "route").alias("line"))
-    return heads.unionByName(entries)
+    head = F.struct(F.lit(0).alias("is_route"), F.lit("").alias("route"), F.concat("category", F.lit(":")).alias("line"))
+    entry = F.struct(F.lit(1).alias("is_route"), F.col("route"), F.concat(F.lit("- "), "route").alias("line"))
+    # each route brings its header along; the headers are reduced to one before the shuffle
+    return known.select(*keys, position, F.inline(F.array(head, entry))).distinct()
 
 
 def update_text(proposed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text, urls
+from sitequarry.operators.computed import with_computed
 
 TARGET = ["domain", "target_path"]
 URL = ["domain", "source_url"]
@@ -20,9 +21,8 @@ def media_lines(media: DataFrame) -> DataFrame:
     shape = json_shapes.json_shape(raw)
     # the last of repeated keys counts
     found = F.from_json("raw", "source_url variant")["source_url"]
-    checked = media.withColumn("shape", shape).withColumn(
-        "found", F.when((F.col("shape") == "dict") & json_shapes.has_key(raw, "source_url"), found)
-    )
+    checked = with_computed(media, shape=shape)
+    checked = with_computed(checked, found=F.when(F.col("shape") == "dict", found))
     value_shape = F.schema_of_variant("found")
     reason = (
         F.when(raw.isNull() | raw.rlike(r"(?U)^[\s\x1c-\x1f]*$"), "blank")
@@ -32,7 +32,7 @@ def media_lines(media: DataFrame) -> DataFrame:
         .when(value_shape == "VOID", "null_source_url")
         .when(value_shape != "STRING", "source_url_is_no_text")
     )
-    return checked.withColumn("reject_reason", reason).select(
+    return with_computed(checked, reject_reason=reason).select(
         "domain",
         "line_no",
         "raw",
@@ -55,7 +55,7 @@ def with_targets(media_url_rows: DataFrame) -> DataFrame:
     path = urls.url_path(F.col("source_url"))
     target = F.col("target_path")
     return (
-        media_url_rows.withColumn("_path", path)
+        with_computed(media_url_rows, _path=path)
         .withColumn("target_path", urls.target_path(F.col("domain"), F.col("_path")))
         .withColumn("directory", urls.directory_of(target))
         .withColumn("file_name", urls.file_of(target))

@@ -132,14 +132,15 @@ def assemble(pages: DataFrame) -> DataFrame:
         F.lit(False),
     )
     ends = ends.withColumn("in_reach", in_reach).withColumn("gaps", F.col("n_seen") < F.col("last_seen"))
-    doubtful = ends.where("in_reach AND gaps")
-    present = (
-        _pages_up_to(pages.select(*PAGE), doubtful.select(*ROUTE, "end_page"), "end_page")
-        .groupBy(*ROUTE)
-        .agg(F.count(F.lit(1)).alias("n_present"))
+    # the routes to count get their blocks of pages, the others a NULL block that joins nothing
+    blocks = F.when(F.col("in_reach") & F.col("gaps"), _blocks_up_to(F.col("end_page")))
+    numbered = pages.select(*PAGE, _block(F.col("page")).alias("block"))
+    counted = ends.select("*", F.explode_outer(blocks).alias("block")).join(numbered, [*ROUTE, "block"], "left")
+    kept_columns = [c for c in ends.columns if c not in ROUTE]
+    joined = counted.groupBy(*ROUTE).agg(
+        F.count_if(F.col("page") <= F.col("end_page")).alias("n_present"), *[F.first(c).alias(c) for c in kept_columns]
     )
-    joined = ends.join(present, ROUTE, "left")
-    complete = F.col("in_reach") & (~F.col("gaps") | (F.coalesce("n_present", F.lit(0)) == F.col("end_page")))
+    complete = F.col("in_reach") & (~F.col("gaps") | (F.col("n_present") == F.col("end_page")))
     by_stop = F.coalesce(F.col("first_stop") <= F.col("end_page"), F.lit(False))
     reason = F.when(by_stop, F.element_at(F.lit(STOPS), F.col("stop") + 1)).otherwise("total_pages")
     kept = F.when(by_stop, F.col("end_page") - 1).otherwise(F.col("end_page"))
@@ -155,16 +156,18 @@ def assemble(pages: DataFrame) -> DataFrame:
     )
 
 
-def _pages_up_to(pages: DataFrame, routes: DataFrame, last: str) -> DataFrame:
-    """Page rows of the given routes from page 1 to the route's page number `last`."""
+def _block(page: Column) -> Column:
+    return F.floor((page - 1) / PAGE_BLOCK).cast("bigint")
 
-    def block(page: Column) -> Column:
-        return F.floor((page - 1) / PAGE_BLOCK).cast("bigint")
 
-    numbered = pages.withColumn("block", block(F.col("page")))
-    spread = routes.where(F.col(last) >= 1).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), block(F.col(last))))
-    )
+def _blocks_up_to(page: Column) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), _block(page))
+
+
+def _pages_up_to(pages: DataFrame, routes: DataFrame, last: str) -> DataFrame:
+    """Page rows of the given routes from page 1 to the route's page number `last`."""
+    numbered = pages.withColumn("block", _block(F.col("page")))
+    spread = routes.where(F.col(last) >= 1).withColumn("block", F.explode(_blocks_up_to(F.col(last))))
     joined = numbered.join(spread, [*ROUTE, "block"]).where(F.col("page") <= F.col(last))
     return joined.drop("block")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, urls
+from sitequarry.operators.computed import with_computed
 from sitequarry.schemas import PROTECTED, PUBLIC_DICT, PUBLIC_LIST, USELESS
 
 ROUTE = ["domain", "route"]
@@ -14,14 +15,17 @@ ROUTE = ["domain", "route"]
 def _defined(unknown: DataFrame) -> DataFrame:
     definition = F.col("definition")
     link = F.col("link")
+    parsed = with_computed(unknown, definition=json_shapes.route_definition(F.col("route_json")))
     return (
-        unknown.withColumn("definition", json_shapes.route_definition(F.col("route_json")))
-        .withColumn("link", json_shapes.self_link(definition))
+        with_computed(
+            parsed,
+            link=json_shapes.self_link(definition),
+            endpoints=F.coalesce(json_shapes.endpoint_count(definition), F.lit(0)),
+            args=json_shapes.args_kind(definition),
+            paginated=json_shapes.is_paginated(definition),
+            regex=F.contains(F.col("route"), F.lit("?P<")),
+        )
         .withColumn("link", F.when(link != "", link))
-        .withColumn("endpoints", F.coalesce(json_shapes.endpoint_count(definition), F.lit(0)))
-        .withColumn("args", json_shapes.args_kind(definition))
-        .withColumn("paginated", json_shapes.is_paginated(definition))
-        .withColumn("regex", F.contains(F.col("route"), F.lit("?P<")))
         .drop("definition")
     )
 
@@ -57,7 +61,8 @@ def _first_results(probes: DataFrame) -> DataFrame:
     answer = F.when(F.col("error").isNull() & (status == "protected"), PROTECTED).when(
         F.col("error").isNull() & (status == "ok") & (shape == "list"), PUBLIC_LIST
     )
-    return probes.where("probe = 1").select(*ROUTE, answer.alias("paginated_answer"))
+    first = probes.where("probe = 1")
+    return with_computed(first, paginated_answer=answer).select(*ROUTE, "paginated_answer")
 
 
 def _second_results(probes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, urls
+from sitequarry.operators.computed import with_computed
 from sitequarry.schemas import CATEGORIES, DUMP_CATEGORIES, PUBLIC_DICT, PUBLIC_LIST, UNKNOWN
 
 
@@ -27,11 +28,11 @@ def explode_routes(site_index: DataFrame) -> DataFrame:
         ),
     )
     repeated = F.size(F.array_distinct(names)) < F.size(names)
+    fetched = site_index.where(failures.is_success(F.col("status"), F.col("error")))
+    parsed = with_computed(fetched.select("domain", "body"), routes=F.when(json_shapes.is_json(F.col("body")), routes))
     return (
-        site_index.where(failures.is_success(F.col("status"), F.col("error")))
-        .where(json_shapes.is_json(F.col("body")))
-        .select("domain", routes.alias("routes"))
-        .select("domain", F.posexplode(F.when(repeated, merged).otherwise(entries)).alias("route_pos", "entry"))
+        parsed.select("domain", F.posexplode_outer(F.when(repeated, merged).otherwise(entries)).alias("route_pos", "entry"))
+        .where("entry IS NOT NULL")
         .select(
             "domain",
             F.col("entry.key").alias("route"),
@@ -104,15 +105,19 @@ def dispatch(
     """
     ranked = _first_match(known_routes, DUMP_CATEGORIES)
     definition = F.col("definition")
-    joined = (
-        routes.join(ranked, "route", "left")
-        .withColumn("definition", json_shapes.route_definition(F.col("route_json")))
-        .withColumn("url", json_shapes.self_link(definition))
-        .withColumn("endpoints", json_shapes.endpoint_count(definition))
-        .withColumn("args", json_shapes.args_kind(definition))
-        .withColumn("paginated", json_shapes.is_paginated(definition))
+    # the definition matters for lists, for dicts and for unknown routes
+    needed = F.when(
+        F.col("category").isNull() | F.col("category").isin(PUBLIC_LIST, PUBLIC_DICT), F.col("route_json")
     )
-    category, no_url = F.col("category"), F.col("url").isNull()
+    joined = with_computed(routes.join(ranked, "route", "left"), definition=json_shapes.route_definition(needed))
+    joined = with_computed(
+        joined,
+        link=json_shapes.self_link(definition),
+        endpoints=json_shapes.endpoint_count(definition),
+        args=json_shapes.args_kind(definition),
+        paginated=json_shapes.is_paginated(definition),
+    ).drop("definition")
+    category, no_url = F.col("category"), F.col("link").isNull()
 
     reason = None
     for name in DUMP_CATEGORIES:
@@ -137,7 +142,7 @@ def dispatch(
         .when(F.col("paginated"), "list")
         .otherwise("dict")
     )
-    result = joined.withColumn("skip_reason", reason).withColumn("action", action)
+    result = with_computed(with_computed(joined, skip_reason=reason), action=action)
     name = F.when(F.col("action") != "skip", urls.output_name(F.col("route"), F.col("action")))
     return result.select(
         "domain",
@@ -146,7 +151,7 @@ def dispatch(
         F.coalesce("category", F.lit(UNKNOWN)).alias("category"),
         "action",
         "skip_reason",
-        "url",
+        F.col("link").alias("url"),
         name.alias("out_name"),
     )
 
@@ -156,13 +161,12 @@ def _when(chain: Column | None, condition: Column, value: str | None) -> Column:
 
 
 def mark_overwritten(written: DataFrame) -> DataFrame:
-    """Routes saved under the same name: all but the last in index order are overwritten."""
-    last = written.groupBy("domain", "out_name").agg(F.max("route_pos").alias("last_pos"))
-    return (
-        written.join(last, ["domain", "out_name"])
-        .withColumn("overwritten", F.col("route_pos") < F.col("last_pos"))
-        .drop("last_pos")
-    )
+    """Routes saved under the same name: all but the last in index order are overwritten.
+
+    A window group holds routes of one index document only, and that document was one cell.
+    """
+    later = F.max("route_pos").over(Window.partitionBy("domain", "out_name"))
+    return written.withColumn("overwritten", F.col("route_pos") < later)
 
 
 def unknown_preview(unknown: DataFrame, shown: int = 10) -> DataFrame:

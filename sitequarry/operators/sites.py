@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import domains, failures, json_shapes, urls
+from sitequarry.operators.computed import with_computed
 
 
 def clean_domains(sites: DataFrame) -> DataFrame:
     """Each input name with its domain and kind, or the reason it is refused."""
     name = F.col("input")
-    found = sites.select("input", domains.normalised(name).alias("domain")).withColumn(
-        "domain_kind", domains.kind(F.col("domain"))
-    )
-    checked = found.withColumn(
-        "reject_reason", domains.reject_reason(name, F.col("domain"), F.col("domain_kind"))
-    )
+    found = with_computed(sites.select("input"), domain=domains.normalised(name))
+    found = with_computed(found, domain_kind=domains.kind(F.col("domain")))
+    checked = with_computed(found, reject_reason=domains.reject_reason(name, F.col("domain"), F.col("domain_kind")))
     refused = F.col("reject_reason").isNotNull()
     return checked.select(
         "input",
@@ -43,12 +41,10 @@ def index_state(site_index: DataFrame) -> DataFrame:
     fetched = failures.is_success(F.col("status"), F.col("error"))
     shape = json_shapes.json_shape(F.col("body"))
     routes = F.from_json("body", "routes map<string,string>")["routes"]
-    parsed = site_index.withColumn("fetched", fetched).withColumn(
-        "shape", F.when(F.col("fetched"), shape)
-    )
-    parsed = parsed.withColumn(
-        "has_routes", F.when(F.col("shape") == "dict", json_shapes.has_key(F.col("body"), "routes"))
-    ).withColumn("routes", F.when(F.col("has_routes"), routes))
+    parsed = with_computed(site_index, fetched=fetched, shape=F.when(fetched, shape))
+    has_routes = json_shapes.has_key(F.col("body"), "routes")
+    parsed = with_computed(parsed, has_routes=F.when(F.col("shape") == "dict", has_routes))
+    parsed = with_computed(parsed, routes=F.when(F.col("has_routes"), routes))
     state = (
         F.when(~F.col("fetched"), "fetch_failed")
         .when(F.col("shape") == "invalid", "invalid")

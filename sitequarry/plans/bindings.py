@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One in fewer pieces than there are cores is spread over them, since the rows
+    derived from it are much larger than its own."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table read as a stream of files; the path is a pattern, so it may name one file."""
-    schema = table(spark, sf_dir, name).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 

@@ -99,7 +99,7 @@ CTES: dict[str, str] = {
           CASE WHEN NOT complete THEN 0 WHEN by_stop THEN end_page - 1 ELSE end_page END AS pages_kept,
           CASE WHEN complete THEN end_page - 1 END AS pages_reported, total_pages, total_records, n_records, complete FROM asm""",
     "rec": """SELECT domain, route, page, idx, CASE idx WHEN 0 THEN r1 WHEN 1 THEN r2 ELSE r3 END AS record_json FROM (
-          SELECT shp.*, unnest(generate_series(0, n_records - 1)) AS idx FROM shp JOIN outc USING (domain, route)
+          SELECT shp.*, unnest(generate_series(0, cast(shp.n_records AS BIGINT) - 1)) AS idx FROM shp JOIN outc USING (domain, route)
           WHERE complete AND page <= pages_kept)""",
     # captured dictionaries
     "d1": f"SELECT domain, o_orderkey, k, route, {b.DICT_D} AS d, unnest([1, 2]) AS attempt FROM rts "
