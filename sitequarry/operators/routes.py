@@ -105,11 +105,7 @@ def dispatch(
     """
     ranked = _first_match(known_routes, DUMP_CATEGORIES)
     definition = F.col("definition")
-    # the definition matters for lists, for dicts and for unknown routes
-    needed = F.when(
-        F.col("category").isNull() | F.col("category").isin(PUBLIC_LIST, PUBLIC_DICT), F.col("route_json")
-    )
-    joined = with_computed(routes.join(ranked, "route", "left"), definition=json_shapes.route_definition(needed))
+    joined = with_computed(routes.join(ranked, "route", "left"), definition=json_shapes.route_definition(F.col("route_json")))
     joined = with_computed(
         joined,
         link=json_shapes.self_link(definition),
