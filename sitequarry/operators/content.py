@@ -172,7 +172,8 @@ def users_with_roles(user_items: DataFrame, roles: Sequence[str] | str) -> DataF
 
 def authors(user_items: DataFrame, post_items: DataFrame) -> DataFrame:
     """Users who wrote a post."""
-    return user_items.join(post_items.select(F.col("author").alias("id")), "id", "left_semi")
+    wrote = post_items.select(F.col("author").alias("id")).distinct()
+    return user_items.join(wrote, "id", "left_semi")
 
 
 def search_all(views: dict[tuple[str, str], DataFrame], words: str, types: Sequence[str] | None = None,

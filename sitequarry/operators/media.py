@@ -78,7 +78,7 @@ def target_collisions(targets: DataFrame) -> DataFrame:
 def missing_media(sites: DataFrame, media: DataFrame) -> DataFrame:
     """Sites without a media list."""
     path = F.concat("domain", F.lit("/data/wp_v2_media.jsonl"))
-    return sites.select("domain").join(media.select("domain"), "domain", "left_anti").select(
+    return sites.select("domain").join(media.select("domain").distinct(), "domain", "left_anti").select(
         "domain",
         F.lit("media_missing").alias("error_kind"),
         failures.media_missing_message(path).alias("error_message"),

@@ -612,7 +612,7 @@ def progress_sliding(spark, sf_dir):
 @query
 def progress_sessions(spark, sf_dir):
     transfers = b.event_transfers(b.table(spark, sf_dir, "events"))
-    return progress.session_progress(transfers, "30 minutes").select(
+    return progress.session_progress(transfers, 30).select(
         "domain",
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"),
         "done",

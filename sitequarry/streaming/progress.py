@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,14 +32,36 @@ def windowed_progress(
     return _counts(transfers, window, delay)
 
 
-def session_progress(transfers: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Counts per burst of activity of a site, bursts being parted by `gap`."""
+def session_progress(transfers: DataFrame, gap_minutes: int = 10, delay: str = "1 hour") -> DataFrame:
+    """Counts per burst of activity of a site; a pause of more than the gap parts two bursts.
+
+    On a table, rows are first counted per site and slot as long as the gap, since rows of one slot
+    always share a burst; only slots are then put in order, however busy a site is.
+    """
+    counts = [F.count(F.lit(1)).alias("done"), F.count_if(~F.col("success")).alias("failed")]
+    gap = f"{gap_minutes} minutes"
     if transfers.isStreaming:
-        transfers = transfers.withWatermark("ts", delay)
-    sessions = transfers.groupBy("domain", F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("done"), F.count_if(~F.col("success")).alias("failed")
+        window = F.session_window("ts", gap).alias("w")
+        sessions = transfers.withWatermark("ts", delay).groupBy("domain", window).agg(*counts)
+        return sessions.select(
+            "domain", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "done", "failed"
+        )
+    slots = transfers.groupBy("domain", F.window("ts", gap).alias("slot")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), *counts
     )
-    return sessions.select("domain", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "done", "failed")
+    order = Window.partitionBy("domain").orderBy("first")
+    pause = F.col("first") - F.lag("last").over(order)
+    numbered = slots.withColumn(
+        "fresh", F.when(pause <= F.expr(f"INTERVAL '{gap_minutes}' MINUTE"), 0).otherwise(1)
+    ).withColumn("burst", F.sum("fresh").over(order))
+    return (
+        numbered.groupBy("domain", "burst")
+        .agg(
+            F.min("first").alias("window_start"), (F.max("last") + F.expr(f"INTERVAL '{gap_minutes}' MINUTE")).alias("window_end"),
+            F.sum("done").alias("done"), F.sum("failed").alias("failed"),
+        )
+        .drop("burst")
+    )
 
 
 def write_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:

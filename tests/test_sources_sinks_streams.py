@@ -119,7 +119,20 @@ def test_progress_of_a_stream_equals_the_table(spark, tmp_path, rows):
     progress.write_updates(counts, out, str(tmp_path / "state"))
     merged = progress.merge_progress(spark.read.parquet(out))
     assert rows(merged) == rows(progress.windowed_progress(table, "1 hour", "30 minutes"))
-    assert sum(r.done for r in progress.session_progress(table, "10 minutes").collect()) == 40
+    assert [tuple(r) for r in progress.session_progress(table, 10).collect()] == [("d", T0, T0 + timedelta(minutes=39 * 7 + 10), 40, 14)]
+    assert progress.session_progress(table, 6).count() == 40 and progress.session_progress(table, 7).count() == 1
+
+
+def test_sessions_of_a_stream_equal_the_table(spark, tmp_path, rows):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    minutes = [0, 3, 13, 24, 60, 61, 99, 300]
+    table = spark.createDataFrame([("d", f"u{m}", True, None, 1, T0 + timedelta(minutes=m)) for m in minutes], schemas.TRANSFERS)
+    table.write.parquet(source)
+    stream = progress.session_progress(spark.readStream.schema(schemas.TRANSFERS).parquet(source), 10)
+    progress.write_updates(stream, out, str(tmp_path / "state"), mode="append")
+    closed = rows(spark.read.parquet(out), "window_start", "window_end", "done", "failed")
+    assert closed == [r for r in rows(progress.session_progress(table, 10), "window_start", "window_end", "done", "failed")
+                      if r[0] < T0 + timedelta(minutes=300)]
 
 
 def test_retry_state_of_a_stream_equals_the_batch(spark, tmp_path):
