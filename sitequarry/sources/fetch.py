@@ -13,14 +13,23 @@ from sitequarry import schemas
 # A transport takes a URL and returns status, headers, body; what it raises becomes the error text.
 Transport = Callable[[str], tuple[int, dict[str, str], str]]
 
+# A file transport takes a URL and returns the bytes; what it raises becomes the error text.
+FileTransport = Callable[[str], bytes]
+
 _PLAN_COLUMNS = ["domain", "route", "kind", "url", "page", "attempt"]
 
+_FILES = (
+    "domain STRING, source_url STRING, target_path STRING, success BOOLEAN, error STRING, bytes BIGINT, "
+    "ts TIMESTAMP, content BINARY"
+)
+
 
-def fetch(plan: DataFrame, transport: Transport, hosts_at_once: int | None = None) -> DataFrame:
+def fetch(plan: DataFrame, transport: Transport, tasks: int | None = None) -> DataFrame:
     """One response row per plan row (domain, route, kind, url, page, attempt).
 
-    `hosts_at_once` bounds how many tasks ask servers at the same time; a site's requests are spread
-    by route and page over those tasks, so one large site does not end up in one task.
+    `tasks` bounds how many tasks ask servers at the same time; a site's requests are spread by route
+    and page over those tasks, so one large site does not end up in one task. Write the result to a
+    table before using it, since a plan that is evaluated twice asks twice.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,12 +46,39 @@ def fetch(plan: DataFrame, transport: Transport, hosts_at_once: int | None = Non
             extra["status"] = extra["status"].astype("Int32")
             extra["fetched_at"] = pd.Timestamp.now(tz="UTC")
             yield pd.concat([batch, extra], axis=1)[
-                [*_PLAN_COLUMNS[:6], "status", "headers", "body", "error", "fetched_at"]
+                [*_PLAN_COLUMNS, "status", "headers", "body", "error", "fetched_at"]
             ]
 
     wanted = plan.select(
         "domain", "route", "kind", "url", F.col("page").cast("int"), F.col("attempt").cast("int")
     )
-    if hosts_at_once:
-        wanted = wanted.repartition(hosts_at_once, "domain", "route", "page")
+    if tasks:
+        wanted = wanted.repartition(tasks, "domain", "route", "page")
     return wanted.mapInPandas(ask, schemas.RESPONSES)
+
+
+def fetch_files(plan: DataFrame, transport: FileTransport, tasks: int | None = None) -> DataFrame:
+    """Transfers with their content for the rows of a download plan that need one.
+
+    Files leave the task one by one, so that a batch of large files is never held together.
+    """
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                content, error = None, None
+                try:
+                    content = transport(row.source_url)
+                except Exception as failure:
+                    error = f"{type(failure).__name__}: {failure}"
+                yield pd.DataFrame({
+                    "domain": [row.domain], "source_url": [row.source_url], "target_path": [row.target_path],
+                    "success": [error is None], "error": [error],
+                    "bytes": pd.array([None if content is None else len(content)], dtype="Int64"),
+                    "ts": [pd.Timestamp.now(tz="UTC")], "content": [content],
+                })
+
+    wanted = plan.where("download").select("domain", "source_url", "target_path").distinct()
+    if tasks:
+        wanted = wanted.repartition(tasks)
+    return wanted.mapInPandas(move, _FILES)

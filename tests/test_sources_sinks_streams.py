@@ -39,13 +39,27 @@ def test_fetch_keeps_failures_as_rows(spark):
 
     plan = spark.createDataFrame([("d", "/a", "list", "http://a", 1, 1), ("d", "/b", "list", "http://bad", 1, 1)],
                                  "domain string, route string, kind string, url string, page int, attempt int")
-    found = fetch.fetch(plan, transport, hosts_at_once=2)
+    found = fetch.fetch(plan, transport, tasks=2)
     assert found.schema.simpleString() == spark.createDataFrame([], schemas.RESPONSES).schema.simpleString()
     by_route = {r.route: r for r in found.collect()}
     assert (by_route["/a"].status, by_route["/a"].body, by_route["/a"].headers) == (200, "[8]", {"X-WP-Total": "2"})
     assert (by_route["/b"].status, by_route["/b"].error) == (None, "TimeoutError: slow")
 
 
+def test_files_are_fetched_and_stored(spark, tmp_path, rows):
+    def transport(url):
+        if url.endswith("bad"):
+            raise OSError("gone")
+        return b"12345"
+
+    plan = spark.createDataFrame([("d", "http://a/x", "d/files/x", True), ("d", "http://a/bad", "d/files/bad", True), ("d", "http://a/y", "d/files/y", False)],
+                                 "domain string, source_url string, target_path string, download boolean")
+    moved = fetch.fetch_files(plan, transport, tasks=2)
+    assert rows(moved, "source_url", "success", "error", "bytes") == [("http://a/bad", False, "OSError: gone", None), ("http://a/x", True, None, 5)]
+    sinks.write_media(moved.where("success"), str(tmp_path / "m"))
+    assert bytes(spark.read.parquet(str(tmp_path / "m")).first().content) == b"12345"
+
+
 def test_archive_folders_keep_order_and_replace_only_what_is_written(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(sinks, "PAGES_PER_FILE", 2)
     out = str(tmp_path / "archive")
