@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.operators.computed import with_computed
+
 POST = (
     "id bigint, date string, status string, title struct<rendered: string>, "
     "content struct<rendered: string>, excerpt struct<rendered: string>, author bigint, "
@@ -25,9 +27,10 @@ USER = "id bigint, name string, slug string, roles array<string>, registered_dat
 
 
 def _view(records: DataFrame, schema: str) -> DataFrame:
-    """Fields of the records; a missing or ill-typed field is NULL. Unused fields are not parsed."""
+    """Fields of the records; a missing or ill-typed field is NULL. Each record is parsed once."""
     kept = [c for c in records.columns if c in ("domain", "out_name")]
-    return records.select(*kept, F.from_json("record_json", schema).alias("r")).select(*kept, "r.*")
+    parsed = with_computed(records.select(*kept, "record_json"), r=F.from_json("record_json", schema))
+    return parsed.select(*kept, "r.*")
 
 
 def _timestamp(text: str) -> Column:
@@ -208,9 +211,8 @@ def error_bodies(responses: DataFrame) -> DataFrame:
     parsed = F.from_json(
         "body", "code string, message string, data struct<status: int, params: map<string,string>>"
     )
-    return responses.where("status >= 400").select("domain", "route", "status", parsed.alias("e")).where(
-        "e.code IS NOT NULL"
-    ).select(
+    failed = responses.where("status >= 400").select("domain", "route", "status", "body")
+    return with_computed(failed, e=parsed).where("e.code IS NOT NULL").select(
         "domain", "route", "status", F.col("e.code").alias("code"), F.col("e.message").alias("message"),
         F.col("e.data.status").alias("data_status"), F.map_keys("e.data.params").alias("bad_params"),
     )

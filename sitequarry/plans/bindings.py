@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One in fewer pieces than there are cores is spread over them, since the rows
-    derived from it are much larger than its own."""
+    """A given table. One that is read in very few pieces is spread over the cores, since the rows
+    derived from it are much larger than its own; tables of many files are left as they are."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    pieces = min(spark.sparkContext.defaultParallelism, 64)
+    return rows.repartition(pieces) if rows.rdd.getNumPartitions() < pieces else rows
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
