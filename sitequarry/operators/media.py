@@ -85,9 +85,9 @@ def missing_media(sites: DataFrame, media: DataFrame) -> DataFrame:
     )
 
 
-def distinct_urls(targets: DataFrame) -> DataFrame:
-    """One row per (domain, source_url, target_path) with the number of lines that name it."""
-    return targets.groupBy("domain", "source_url", "target_path").agg(F.count(F.lit(1)).alias("n_lines"))
+def distinct_urls(media_url_rows: DataFrame) -> DataFrame:
+    """One row per (domain, source_url) with the number of lines that name it."""
+    return media_url_rows.groupBy(*URL).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def _presence(manifest: DataFrame, existing_files: DataFrame) -> DataFrame:
@@ -137,9 +137,13 @@ def present_but_not_checkpointed(targets: DataFrame, manifest: DataFrame, existi
 
 
 def last_transfers(transfers: DataFrame) -> DataFrame:
-    """The latest outcome per URL."""
-    latest = F.max(F.struct("ts", "success", "error", "bytes")).alias("t")
-    return transfers.groupBy(*URL).agg(latest).select(*URL, "t.success", "t.error", "t.bytes", "t.ts")
+    """The latest outcome per URL; at the same time a success goes before a failure.
+
+    Each column is picked on its own, so that a reader of the numbers only needs no sorted aggregate.
+    """
+    order = F.unix_micros("ts") * 2 + F.col("success").cast("int")
+    latest = [F.max_by(c, order).alias(c) for c in ("success", "error", "bytes")]
+    return transfers.groupBy(*URL).agg(*latest, F.max("ts").alias("ts"))
 
 
 def with_outcomes(plan: DataFrame, transfers: DataFrame) -> DataFrame:

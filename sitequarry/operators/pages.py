@@ -58,12 +58,12 @@ def resolve_retries(responses: DataFrame, retry_count: int = RETRY_COUNT) -> Dat
     """
     body = F.col("body")
     shape = json_shapes.json_shape(body)
-    empty = F.coalesce(json_shapes.list_length(body) == 0, F.lit(False))
+    n_records = F.when(F.col("shape") == "list", json_shapes.list_length(body))
     stop = (
         F.when(F.col("status") != 200, 0)
         .when(F.col("shape") == "invalid", 1)
         .when(F.col("shape") == "dict", 2)
-        .when((F.col("shape") == "list") & F.col("empty"), 3)
+        .when(F.col("n_records") == 0, 3)
         .when(F.col("shape") != "list", 4)
     )
     good = failures.is_success(F.col("status"), F.col("error")) & (F.col("attempt") <= retry_count)
@@ -76,14 +76,14 @@ def resolve_retries(responses: DataFrame, retry_count: int = RETRY_COUNT) -> Dat
     read = (
         read.withColumn("body", F.when((F.col("status") == 200) & F.col("won").isNotNull(), body))
         .withColumn("shape", shape)
-        .withColumn("empty", empty)
+        .withColumn("n_records", n_records)
         .select(
             *PAGE,
             "tried",
             "won",
             "status",
             F.when(F.col("won").isNotNull(), stop).alias("stop"),
-            F.when(F.col("shape") == "list", json_shapes.list_length(body)).alias("n_records"),
+            "n_records",
             _first_page_number("X-WP-TotalPages").alias("total_pages"),
             _first_page_number("X-WP-Total").alias("total_records"),
         )

@@ -77,7 +77,7 @@ def getfiles(
     resume: bool = True,
 ) -> dict[str, DataFrame]:
     """Download plan, its outcomes, statistics and the next checkpoint."""
-    targets = media.distinct_urls(media.with_targets(media.media_urls(media_lines)))
+    targets = media.with_targets(media.distinct_urls(media.media_urls(media_lines)))
     plan = media.download_plan(targets, manifest, existing_files, resume)
     outcomes = media.with_outcomes(plan, transfers)
     return {

@@ -319,8 +319,13 @@ def _targets(spark, sf_dir):
     )
 
 
+def _distinct_targets(spark, sf_dir):
+    urls = media.distinct_urls(media.media_urls(b.item_media(spark, sf_dir)))
+    return media.with_targets(urls).select("domain", "source_url", "target_path", "n_lines")
+
+
 def _plan(spark, sf_dir, resume=True):
-    targets = media.distinct_urls(_targets(spark, sf_dir))
+    targets = _distinct_targets(spark, sf_dir)
     return media.download_plan(targets, b.manifest(spark, sf_dir), b.existing_files(spark, sf_dir), resume)
 
 
@@ -350,7 +355,7 @@ def resume_filter(spark, sf_dir):
 
 @query
 def present_but_not_checkpointed(spark, sf_dir):
-    targets = media.distinct_urls(_targets(spark, sf_dir))
+    targets = _distinct_targets(spark, sf_dir)
     return media.present_but_not_checkpointed(targets, b.manifest(spark, sf_dir), b.existing_files(spark, sf_dir))
 
 
