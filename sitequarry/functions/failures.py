@@ -13,7 +13,19 @@ STATUS_HINTS = {
     401: "Authentication required. This endpoint may need credentials.",
 }
 
+# Wording of the messages.
 _HINT = "\n  Suggestion: "
+BAD_DOMAIN = "Invalid domain '"
+DOMAIN_ADVICE = ". Please provide a valid domain name (e.g., 'example.com' or 'www.example.com')."
+API_FAILED = "WordPress API error for "
+API_DEFAULT = "API request failed"
+SSL_FAILED = "SSL verification failed for "
+SSL_ADVICE = "If you trust this site, certificate verification can be turned off (not recommended for production)."
+DOWNLOAD_FAILED = "Failed to download "
+DOWNLOAD_ADVICE = "Check your internet connection and verify the URL is accessible."
+MEDIA_MISSING = "Media file not found: "
+MEDIA_ADVICE = "Run the dump first to generate the media file list."
+CHECKPOINT_FAILED = "Checkpoint error: "
 
 
 def is_http_error(status: Column) -> Column:
@@ -37,13 +49,7 @@ def failure_kind(status: Column, error: Column) -> Column:
 
 
 def domain_message(domain: Column, reason: Column) -> Column:
-    return F.concat(
-        F.lit("Invalid domain '"),
-        domain,
-        F.lit("': "),
-        reason,
-        F.lit(". Please provide a valid domain name (e.g., 'example.com' or 'www.example.com')."),
-    )
+    return F.concat(F.lit(BAD_DOMAIN), domain, F.lit("': "), reason, F.lit(DOMAIN_ADVICE))
 
 
 def api_message(url: Column, status: Column, detail: Column) -> Column:
@@ -51,11 +57,11 @@ def api_message(url: Column, status: Column, detail: Column) -> Column:
     for code, text in STATUS_HINTS.items():
         hint = F.when(status == code, _HINT + text).otherwise(hint)
     return F.concat(
-        F.lit("WordPress API error for "),
+        F.lit(API_FAILED),
         url,
         F.when(F.coalesce(status, F.lit(0)) != 0, F.concat(F.lit(" (HTTP "), status.cast("string"), F.lit(")"))).otherwise(""),
         F.lit(": "),
-        F.coalesce(detail, F.lit("API request failed")),
+        F.coalesce(detail, F.lit(API_DEFAULT)),
         hint,
     )
 
@@ -70,25 +76,16 @@ def _with_reason(start: str, subject: Column, reason: Column, hint: str) -> Colu
 
 
 def ssl_message(url: Column, reason: Column) -> Column:
-    return _with_reason(
-        "SSL verification failed for ",
-        url,
-        reason,
-        "If you trust this site, certificate verification can be turned off (not recommended for production).",
-    )
+    return _with_reason(SSL_FAILED, url, reason, SSL_ADVICE)
 
 
 def download_message(url: Column, reason: Column) -> Column:
-    return _with_reason(
-        "Failed to download ", url, reason, "Check your internet connection and verify the URL is accessible."
-    )
+    return _with_reason(DOWNLOAD_FAILED, url, reason, DOWNLOAD_ADVICE)
 
 
 def media_missing_message(path: Column) -> Column:
-    return _with_reason(
-        "Media file not found: ", path, F.lit(""), "Run the dump first to generate the media file list."
-    )
+    return _with_reason(MEDIA_MISSING, path, F.lit(""), MEDIA_ADVICE)
 
 
 def checkpoint_message(detail: Column) -> Column:
-    return F.concat(F.lit("Checkpoint error: "), detail)
+    return F.concat(F.lit(CHECKPOINT_FAILED), detail)
