@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, line_dedup, mixing
+from sitequarry.llm import exact_dedup, line_dedup, mixing, quality, token_records, warc
 from sitequarry.llm.common import table
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, folder, "documents")).drop("kept_text")
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages")).drop("url", "payload")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op7_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_records.token_records(table(spark, folder, "documents"), path).drop("ids")
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).drop("shards")
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_records": op7_token_records,
     "op8_mixing": op8_mixing,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
+    "op3_warc": warc.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
 }
