@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, line_dedup, mixing, quality, token_records, warc
+from sitequarry.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, token_records, warc
 from sitequarry.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).drop("url", "payload")
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_records": op7_token_records,
     "op8_mixing": op8_mixing,
