@@ -106,10 +106,12 @@ class Tokens:
 
     def __init__(self, path: str, words: int = 400_000, pieces: int = 300_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model, self.letters = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = regex.compile(json.loads(Path(path).read_text())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -118,6 +120,12 @@ class Tokens:
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that is cut and in lower case already, straight from the model."""
+        if not piece.isascii():
+            piece = self.letters.pre_tokenize_str(piece)[0][0]
+        return np.array([k.id for k in self.model.tokenize(piece)], dtype=self.kind).tobytes()
+
     def many(self, texts: list[str]) -> list[bytes]:
         plain = [self.PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         split = [t.encode().split() if p else None for t, p in zip(texts, plain, strict=True)]
@@ -127,8 +135,7 @@ class Tokens:
             self.pieces.clear()
         new = list(set(chain.from_iterable(s for s in split if s)).difference(self.words))
         cut = [self.cut.findall(w.decode().lower()) for w in new]
-        fresh = list(set(chain.from_iterable(cut)).difference(self.pieces))
-        self.pieces.update(zip(fresh, self._pack(fresh), strict=True))
+        self.pieces.update((p, self._piece(p)) for p in set(chain.from_iterable(cut)).difference(self.pieces))
         piece, word = self.pieces.__getitem__, self.words.__getitem__
         self.words.update((w, b"".join(map(piece, c))) for w, c in zip(new, cut, strict=True))
         rest = iter(self._pack([t for t, p in zip(texts, plain, strict=True) if not p]))
