@@ -180,7 +180,8 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     let_go(docs.sparkSession)
 
     # only holders of sets: a doc_id that occurs twice with different texts may bring a set more, which does no harm
-    full = own.join(members, own["doc_id"] == members["node"]).select("component", "n_blocks", "node", "text")
+    # members grow with the corpus: texts meet them by a shuffle at every size
+    full = own.join(members.hint("merge"), own["doc_id"] == members["node"]).select("component", "n_blocks", "node", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
