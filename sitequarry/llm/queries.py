@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, token_records, warc
+from sitequarry.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_records, warc
 from sitequarry.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).drop("shards")
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -46,6 +50,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_records": op7_token_records,
     "op8_mixing": op8_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
