@@ -46,18 +46,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every string of LENGTH bytes in `data`: the hash of its anchor and the anchor's place."""
     n = len(data) - GRAM + 1
-    h, power, done = np.zeros(n, np.uint64), data.astype(np.uint64) + np.uint64(1), 0
+    power = data.astype(np.uint64) + np.uint64(1)
     # hashes of 1, 2, 4, … bytes, doubled by shifting and adding
     step, factor = 1, 0x9E3779B97F4A7C15
     while step < GRAM:
         power = power[:-step] * np.uint64(factor) + power[step:]
         step, factor = step * 2, factor * factor & 0xFFFFFFFFFFFFFFFF
-    h, done = mixed(power), WINDOW
+    h = mixed(power)
     low, width = h, 1
-    while width * 2 <= done:
+    while width * 2 <= WINDOW:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[: n - done + 1], low[done - width : done - width + n - done + 1])
+    low = np.minimum(low[: n - WINDOW + 1], low[WINDOW - width : n - width + 1])
     # the first place of the smallest hash at or behind each start
     hit = np.empty(len(low), np.int64)
     order = np.argsort(h, kind="stable")
@@ -70,13 +70,10 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hit[one] = order[left[one]]
     rest = np.flatnonzero(~one)
     if len(rest):
-        places = np.sort(order[~single])
-        # among repeated hashes: places in order of (hash, place), the first at or after the start
-        many = order[~single]
-        code = np.searchsorted(np.unique(value[~single]), h[many]).astype(np.int64) * (n + 1) + many
-        want = np.searchsorted(np.unique(value[~single]), low[rest]).astype(np.int64) * (n + 1) + rest
-        hit[rest] = many[np.searchsorted(code, want)]
-        del places
+        # hashes that occur more than once, in the order of (hash, place): the first at or behind the start
+        many, kinds = order[~single], np.unique(value[~single])
+        code = np.searchsorted(kinds, h[many]) * (n + 1) + many
+        hit[rest] = many[np.searchsorted(code, np.searchsorted(kinds, low[rest]) * (n + 1) + rest)]
     return low, hit
 
 
@@ -194,7 +191,7 @@ def cut_segments(blobs: dict[int, list[bytes]], buckets: int, group: int) -> Ite
     wanted = np.unique(np.concatenate([unpack(b, np.uint64)[0] for b in blobs.get(1, [])] or [np.zeros(0, np.uint64)]))
     seen: dict[bytes, int] = {}
     cover: list[tuple[int, int, int]] = []
-    out: dict[int, list[tuple[bytes, int, int]]] = {}
+    out: dict[int, list[tuple[bytes, int, int, int]]] = {}
     for doc, text in zip(ids.tolist(), texts, strict=True):
         if len(text) < LENGTH or not len(wanted):
             continue
@@ -202,38 +199,39 @@ def cut_segments(blobs: dict[int, list[bytes]], buckets: int, group: int) -> Ite
         at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
         for i in np.flatnonzero(wanted[at] == h).tolist():
             a, b = int(first[i]), int(last[i]) + LENGTH
-            segment = text[a:b]
+            segment, i_hash = text[a:b], int(h[i])
             holder = seen.setdefault(segment, doc)
             if holder != doc:
                 cover.append((doc, a, b))
             else:  # documents come in ascending order: this is the group's smallest
-                out.setdefault(int(h[i]) % buckets, []).append((segment, doc, a))
+                out.setdefault(i_hash % buckets, []).append((segment, doc, a, i_hash))
     if cover:
         yield True, group, 2, pack(np.array(cover, np.int64))
     for bucket, found in out.items():
         yield False, bucket, 2, pack(
-            np.array([len(s) for s, _, _ in found], np.int64), b"".join(s for s, _, _ in found), np.array([(d, a, group) for _, d, a in found], np.int64)
+            np.array([len(x[0]) for x in found], np.int64),
+            b"".join(x[0] for x in found),
+            np.array([(d, a, group) for _, d, a, _ in found], np.int64),
+            np.array([x[3] for x in found], np.uint64),
         )
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of `text` (symbols from 0, zeros behind its end) in the order of their first 64 symbols."""
+    """Suffixes of `text` (symbols from 0, zeros behind its end) in the order of their first 56 symbols."""
     n = len(text)
-    rank, width = text.astype(np.int64), 1
-    base = int(rank.max()) + 1
-    while width < 64:
-        steps = 6 if width == 1 else 1  # six symbols under 1024 fit a key, then pairs of ranks
-        key = np.zeros(n, np.int64)
-        for s in range(steps + (width > 1)):
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(0, n - s * width)] = rank[s * width :]
-            key = key * base + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
+    rank, width = text.astype(np.int64), 0
+    while width < 56:
+        # seven symbols under 512 fit a key, then pairs of ranks do
+        base = int(rank.max()) + 1
+        key = rank.copy()
+        for ahead in range(1, 7) if not width else (width,):
+            key *= base
+            key[: max(0, n - ahead)] += rank[ahead:]
+        order = np.argsort(key)
         sorted_key = key[order]
-        new[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        width = width * (steps + (width > 1)) if width > 1 else steps
-        rank, base = new, int(new.max()) + 1
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
+        width = 2 * width or 7
     return order
 
 
@@ -305,9 +303,10 @@ def match_segments(blobs: list[bytes]) -> Iterator[tuple[bool, int, int, bytes]]
     one anchor alone has more, its strings are taken apart by their own hashes, which any number can be.
     """
     segments: list[bytes] = []
-    owners = []
+    owners, hashes = [], []
     for blob in blobs:
-        sizes, data, owner = unpack(blob, np.int64, np.uint8, np.int64)
+        sizes, data, owner, h = unpack(blob, np.int64, np.uint8, np.int64, np.uint64)
+        hashes.append(h)
         ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         raw = data.tobytes()
         segments.extend(raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
@@ -324,7 +323,7 @@ def match_segments(blobs: list[bytes]) -> Iterator[tuple[bool, int, int, bytes]]
     if total <= SUFFIXES:
         work(list(range(len(segments))))
     else:
-        anchor = np.array([int(anchors(np.frombuffer(s[:LENGTH], np.uint8))[0][0]) for s in segments], np.uint64)
+        anchor = np.concatenate(hashes)
         order = np.argsort(anchor, kind="stable")
         size = np.array([len(segments[i]) for i in order.tolist()])
         change = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
