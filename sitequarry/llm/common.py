@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
 
 def let_go(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def parts(spark: SparkSession) -> int:
@@ -63,8 +68,6 @@ def commit(uri: str, name: str, write) -> str:
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of equal keys in batches that come sorted by them; a run may cross batches."""
-    import numpy as np
-
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -89,6 +92,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield last, pa.Table.from_batches(held)
 
 
-def column_of(batch, name: str, default):
-    """A column's Python values, nulls as `default`."""
-    return [default if v is None else v for v in batch.column(name).to_pylist()]
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about `limit` bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+            yield batch.slice(a, b - a)
+            a = b

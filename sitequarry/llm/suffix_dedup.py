@@ -27,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.common import let_go, saved, text_bytes
+from sitequarry.llm.common import let_go, saved, sliced, text_bytes
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text of a group of documents and of a bucket of anchors. Their numbers grow with the corpus.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Suffixes that are sorted at a time.
-SUFFIXES = 2 << 20
+SUFFIXES = 1 << 20
 PACKED = "to_group boolean, key int, kind int, blob binary"
 
 
@@ -112,8 +112,8 @@ def packed_texts(docs: DataFrame, groups: int) -> DataFrame:
     """Rows of kind 0 to the groups: ids, lengths and compressed texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             out = [
@@ -121,6 +121,7 @@ def packed_texts(docs: DataFrame, groups: int) -> DataFrame:
                 for g, own in dealt(group_of(ids, groups), groups)
             ]
             yield rows(out)
+            del texts, out
 
     return docs.mapInArrow(each, PACKED)
 
@@ -150,7 +151,7 @@ def sent_anchors(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     """Step 1: rows to the buckets with the different anchors of each document of a batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             hashes, owners = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -210,7 +211,7 @@ def cut_segments(blobs: dict[int, list[bytes]], buckets: int, group: int) -> Ite
     for bucket, found in out.items():
         yield False, bucket, 2, pack(
             np.array([len(x[0]) for x in found], np.int64),
-            b"".join(x[0] for x in found),
+            zstandard.compress(b"".join(x[0] for x in found), 3),
             np.array([(d, a, group) for _, d, a, _ in found], np.int64),
             np.array([x[3] for x in found], np.uint64),
         )
@@ -308,7 +309,7 @@ def match_segments(blobs: list[bytes]) -> Iterator[tuple[bool, int, int, bytes]]
         sizes, data, owner, h = unpack(blob, np.int64, np.uint8, np.int64, np.uint64)
         hashes.append(h)
         ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        raw = data.tobytes()
+        raw = zstandard.decompress(data.tobytes(), max_output_size=ends[-1] + 1)
         segments.extend(raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
         owners.append(owner.reshape(-1, 3))
     owner = np.concatenate(owners)

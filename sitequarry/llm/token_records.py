@@ -15,14 +15,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitequarry.llm.common import commit, parts, place_of, saved
+from sitequarry.llm.common import commit, parts, place_of, saved, sliced
 from sitequarry.session import fresh_dir
 
 ROW = 64
@@ -155,16 +154,6 @@ def tokens(path: str) -> Tokens:
     return _READY[path]
 
 
-def pieces_of(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about `limit` bytes of text."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else np.zeros(0)
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + limit, side="right")))
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def write_records(docs: DataFrame, path: str, end: int, folder: str) -> DataFrame:
     """Writes each document's ids with `end` behind them, in ascending doc_id order over the files; their list.
 
@@ -183,19 +172,18 @@ def write_records(docs: DataFrame, path: str, end: int, folder: str) -> DataFram
 
         def fill(stream) -> None:
             at = 0
-            for whole in batches:
-                for batch in pieces_of(whole):
-                    ids = encode.many(["" if t is None else t for t in batch.column("text").to_pylist()])
-                    owner = batch.column("doc_id").cast(pa.int64()).fill_null(low).to_numpy()
-                    head = np.stack([owner, np.full(len(owner), encode.kind.itemsize)], axis=1).astype("<i8")
-                    data = [h.tobytes() + i + tail for h, i in zip(head, ids, strict=True)]
-                    length = np.array([len(d) for d in data], dtype="<u8")
-                    front = [x.tobytes() for x in length]
-                    first, last = masked(crc32c(front)), masked(crc32c(data))
-                    stream.write(b"".join(chain.from_iterable(zip(front, (x.tobytes() for x in first), data, (x.tobytes() for x in last), strict=True))))
-                    ends = at + np.cumsum(length.astype(np.int64) + 16)
-                    index.append(np.stack([owner, ends - length.astype(np.int64) - 16, length.astype(np.int64), (length.astype(np.int64) - 16) // encode.kind.itemsize], axis=1))
-                    at = int(ends[-1])
+            for batch in sliced(batches):
+                ids = encode.many(["" if t is None else t for t in batch.column("text").to_pylist()])
+                owner = batch.column("doc_id").cast(pa.int64()).fill_null(low).to_numpy()
+                head = np.stack([owner, np.full(len(owner), encode.kind.itemsize)], axis=1).astype("<i8")
+                data = [h.tobytes() + i + tail for h, i in zip(head, ids, strict=True)]
+                length = np.array([len(d) for d in data], dtype="<u8")
+                front = [x.tobytes() for x in length]
+                first, last = masked(crc32c(front)), masked(crc32c(data))
+                stream.write(b"".join(chain.from_iterable(zip(front, (x.tobytes() for x in first), data, (x.tobytes() for x in last), strict=True))))
+                ends = at + np.cumsum(length.astype(np.int64) + 16)
+                index.append(np.stack([owner, ends - length.astype(np.int64) - 16, length.astype(np.int64), (length.astype(np.int64) - 16) // encode.kind.itemsize], axis=1))
+                at = int(ends[-1])
 
         file = commit(folder, f"part-{part:06d}.records", fill)
         rows = np.concatenate(index).astype("<i8") if index else np.zeros((0, 4), "<i8")
