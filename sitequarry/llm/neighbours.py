@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sitequarry.llm.common import grouped, let_go, saved
 
-DEGREE = 14
+DEGREE = 20
 EDGES = "node long, other long, distance double"
 
 
@@ -157,7 +157,7 @@ def improved(nodes: DataFrame, graph: DataFrame, last: DataFrame | None) -> Data
     return rows.mapInArrow(meet, EDGES), around
 
 
-def nn_graph(nodes: DataFrame, dim: int, rounds: int = 3, tables: int = 4, block: int = 256, seed: int = 5) -> DataFrame:
+def nn_graph(nodes: DataFrame, dim: int, rounds: int = 4, tables: int = 4, block: int = 256, seed: int = 5) -> DataFrame:
     """node, other, distance (squared): for each point its DEGREE nearest others found in so many rounds."""
     graph = saved(best(first_guess(nodes, dim, tables, block, seed)), "graph")
     last = None
@@ -197,7 +197,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int, ro
     return found.select("query", "node", "distance")
 
 
-def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 48, rounds: int = 8, **how) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 192, rounds: int = 12, **how) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k nearest others found.
 
     Nearness is Euclidean distance in double precision of the vectors as given, ties go to the smaller vec_id. Vectors that are null, empty or

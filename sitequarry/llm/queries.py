@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_records, warc
+from sitequarry.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, pieces, quality, suffix_dedup, token_records, warc
 from sitequarry.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_components(table(spark, folder, "documents"))
 
 
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decoded(pieces.encoded(table(spark, folder, "documents"), path), path).drop("ids", "text")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -38,6 +43,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).drop("shards")
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, folder, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
 
@@ -47,9 +56,11 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,
+    "op5_pieces": op5_pieces,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_records": op7_token_records,
     "op8_mixing": op8_mixing,
+    "op9_neighbours": op9_neighbours,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
