@@ -313,8 +313,19 @@ def match_segments(blobs: list[bytes]) -> Iterator[tuple[bool, int, int, bytes]]
         segments.extend(raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
         owners.append(owner.reshape(-1, 3))
     owner = np.concatenate(owners)
-    total = sum(map(len, segments))
     found: list[tuple[int, int, int, int]] = []
+    # equal segments are sorted once, for the smallest document that has them; others have to drop all of theirs
+    first: dict[bytes, int] = {}
+    alive = []
+    for i in np.argsort(owner[:, 0], kind="stable").tolist():
+        j = first.setdefault(segments[i], i)
+        if owner[j, 0] == owner[i, 0]:
+            alive.append(i)
+        else:
+            found.append((int(owner[i, 2]), int(owner[i, 0]), int(owner[i, 1]), int(owner[i, 1]) + len(segments[i])))
+    anchor = np.concatenate(hashes)[alive]
+    segments, owner = [segments[i] for i in alive], owner[alive]
+    total = sum(map(len, segments))
 
     def work(own: list[int]) -> None:
         for i, hit in zip(own, covered_windows([segments[i] for i in own], owner[own, 0]), strict=True):
@@ -324,7 +335,6 @@ def match_segments(blobs: list[bytes]) -> Iterator[tuple[bool, int, int, bytes]]
     if total <= SUFFIXES:
         work(list(range(len(segments))))
     else:
-        anchor = np.concatenate(hashes)
         order = np.argsort(anchor, kind="stable")
         size = np.array([len(segments[i]) for i in order.tolist()])
         change = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
