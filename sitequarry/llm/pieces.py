@@ -28,7 +28,7 @@ NONE = -np.inf
 class Pieces:
     """The vocabulary: scores of pieces, bytes for characters without a piece."""
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,25 +44,29 @@ class Pieces:
         self.unknown = min(self.score.values()) - 10
         # no piece goes on to a space behind something else, so texts fall apart in front of such spaces
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.known: dict[str, np.ndarray] = {}
+        #: Scores of pieces, and nothing for what only begins one.
+        self.begins: dict[str, float | None] = {p[:i]: None for p in self.id for i in range(1, len(p))} | self.score
+        self.known: dict[str, bytes] = {}
         self.limit = words
 
-    def best(self, text: str, skip: int = 0, over: int = 0) -> tuple[list[tuple[int, int]], float]:
-        """Pieces (start, end) of text[skip:] up to a last one that ends at len(text) - behind + over; see `border`."""
+    def best(self, text: str, skip: int = 0) -> tuple[list[tuple[int, int]], float]:
+        """The pieces (start, end) of text[skip:] of largest total score, and that score."""
         n = len(text)
         total, back = [NONE] * (n + 1), [0] * (n + 1)
         total[skip] = 0.0
+        begins = self.begins.get
         for a in range(skip, n):
             base = total[a]
             if base == NONE:
                 continue
             for b in range(a + 1, min(n, a + self.longest) + 1):
-                s = self.score.get(text[a:b])
-                if s is None:
-                    if b > a + 1:
-                        continue
-                    s = self.unknown
-                if base + s > total[b]:
+                s = begins(text[a:b], 1.0)
+                if s is None or s == 1.0:  # scores are 0 at most
+                    if b == a + 1 and base + self.unknown > total[b]:
+                        total[b], back[b] = base + self.unknown, a
+                    if s:
+                        break
+                elif base + s > total[b]:
                     total[b], back[b] = base + s, a
         cut, at = [], n
         while at > skip:
@@ -91,18 +95,16 @@ class Pieces:
                 spaces = ""
         return out + [spaces] if spaces else out
 
-    def word(self, run: str) -> np.ndarray:
-        got = self.known.get(run)
-        if got is None:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            got = np.array(self.ids_of(run, self.best(run)[0]), np.int32)
-            self.known[run] = got
+    def word(self, run: str) -> bytes:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        self.known[run] = got = np.array(self.ids_of(run, self.best(run)[0]), "<i4").tobytes()
         return got
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole prepared text."""
-        return np.concatenate([np.zeros(0, np.int32), *map(self.word, self.runs(text))])
+        known = self.known.get
+        return np.frombuffer(b"".join([known(run) or self.word(run) for run in self.runs(text)]), "<i4")
 
     def matrix(self, body: str, behind: str) -> np.ndarray:
         """The chunk's transfer matrix over border states 0 … longest - 1.
