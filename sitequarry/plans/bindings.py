@@ -12,20 +12,19 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitequarry.session import fresh_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that is read in very few pieces is spread over the cores, since the rows
-    derived from it are much larger than its own; tables of many files are left as they are."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    pieces = min(spark.sparkContext.defaultParallelism, 64)
-    return rows.repartition(pieces) if rows.rdd.getNumPartitions() < pieces else rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table read as a stream of files; the path is a pattern, so it may name one file."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
+def arriving(spark: SparkSession, sf_dir: str, name: str, files: int = 6) -> DataFrame:
+    """The same table as a stream of files that come two at a time, rows of all times in each of them."""
+    rows, folder = table(spark, sf_dir, name), fresh_dir(spark, "arriving")
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
 # --- site index: one site per order ------------------------------------------------------------
@@ -433,7 +432,7 @@ def post_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'id', doc_id, "
         f"'date', CASE WHEN doc_id % 17 = 0 THEN 'soon' ELSE concat({DOC_DATE}, 'T10:00:00') END, "
         "'status', CASE doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'private' WHEN 2 THEN NULL ELSE 'publish' END, "
-        "'title', named_struct('rendered', concat(source, ' ', substring(text, 1, 30))), "
+        "'title', named_struct('rendered', concat(source, ' ', text)), "
         "'content', named_struct('rendered', text), "
         "'excerpt', named_struct('rendered', lang), "
         "'author', CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 97 END, "

@@ -175,7 +175,7 @@ CTES: dict[str, str] = {
     "pst": r"""SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN
             (DATE '2020-01-01' + cast(doc_id % 1000 AS INTEGER)) + INTERVAL 10 HOUR END AS date,
           CASE doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'private' ELSE 'publish' END AS status,
-          concat(source, ' ', substring(text, 1, 30)) AS title, text AS content, lang AS excerpt,
+          concat(source, ' ', text) AS title, text AS content, lang AS excerpt,
           CASE WHEN doc_id % 13 <> 0 THEN doc_id % 97 END AS author, doc_id % 11 AS featured_media,
           doc_id % 25 AS c1, doc_id % 7 AS c2 FROM documents""",
     "cmt": """SELECT conv_id * 1000 + turn AS id, conv_id % 200 AS post, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 ELSE 0 END AS parent,

@@ -589,9 +589,8 @@ def manifest_written(spark, sf_dir):
 def ingest_stream(spark, sf_dir):
     out = fresh_dir(spark, "ingest")
     arriving = b.event_transfers(b.arriving(spark, sf_dir, "events"))
-    distinct = ingest.distinct_arrivals(arriving, ["domain", "source_url"])
-    ingest.ingest(distinct, out, fresh_dir(spark, "ingest-state"))
-    saved = spark.read.parquet(out)
+    ingest.save_batches(arriving, out, fresh_dir(spark, "ingest-state"))
+    saved = ingest.distinct_arrivals(spark.read.parquet(out), ["domain", "source_url"])
     return saved.select("domain", "source_url", "success", "error", "bytes")
 
 
@@ -629,8 +628,7 @@ def progress_sessions(spark, sf_dir):
 def progress_stream(spark, sf_dir):
     out = fresh_dir(spark, "progress")
     arriving = b.event_transfers(b.arriving(spark, sf_dir, "events"))
-    counts = progress.windowed_progress(arriving, "1 hour", delay="30 days")
-    progress.write_updates(counts, out, fresh_dir(spark, "progress-state"))
+    ingest.save_batches(arriving, out, fresh_dir(spark, "progress-state"), progress.windowed_progress)
     return _progress_text(progress.merge_progress(spark.read.parquet(out)))
 
 
@@ -638,5 +636,5 @@ def progress_stream(spark, sf_dir):
 def retry_stream(spark, sf_dir):
     out = fresh_dir(spark, "retries")
     arriving = b.list_responses(spark, sf_dir, b.arriving)
-    progress.write_updates(retries.retry_state(arriving), out, fresh_dir(spark, "retries-state"))
+    ingest.save_batches(arriving, out, fresh_dir(spark, "retries-state"), retries.retry_state)
     return retries.settled(retries.merge_state(spark.read.parquet(out)))

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _counts(transfers: DataFrame, window: Column, delay: str) -> DataFrame:
-    if transfers.isStreaming:
-        transfers = transfers.withWatermark("ts", delay)
+def _counts(transfers: DataFrame, window: Column) -> DataFrame:
     return (
         transfers.groupBy(window.alias("w"))
         .agg(
@@ -24,30 +22,31 @@ def _counts(transfers: DataFrame, window: Column, delay: str) -> DataFrame:
     )
 
 
-def windowed_progress(
-    transfers: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "1 hour"
-) -> DataFrame:
-    """Counts per tumbling window, or sliding with `slide`; for a table or a stream alike."""
+def windowed_progress(transfers: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts per tumbling window, or sliding with `slide`, of a table or of one batch of a stream."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return _counts(transfers, window, delay)
+    return _counts(transfers, window)
 
 
-def session_progress(transfers: DataFrame, gap_minutes: int = 10, delay: str = "1 hour") -> DataFrame:
-    """Counts per burst of activity of a site; a pause of more than the gap parts two bursts.
+def session_slots(transfers: DataFrame, gap_minutes: int = 10) -> DataFrame:
+    """Counts per site and slot as long as the gap, of a table or of one batch of a stream.
 
-    On a table, rows are first counted per site and slot as long as the gap, since rows of one slot
-    always share a burst; only slots are then put in order, however busy a site is.
+    Rows of one slot always share a burst.
     """
-    counts = [F.count(F.lit(1)).alias("done"), F.count_if(~F.col("success")).alias("failed")]
-    gap = f"{gap_minutes} minutes"
-    if transfers.isStreaming:
-        window = F.session_window("ts", gap).alias("w")
-        sessions = transfers.withWatermark("ts", delay).groupBy("domain", window).agg(*counts)
-        return sessions.select(
-            "domain", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "done", "failed"
-        )
-    slots = transfers.groupBy("domain", F.window("ts", gap).alias("slot")).agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), *counts
+    return transfers.groupBy("domain", F.window("ts", f"{gap_minutes} minutes")["start"].alias("slot")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("done"), F.count_if(~F.col("success")).alias("failed")
+    )
+
+
+def session_progress(transfers: DataFrame, gap_minutes: int = 10) -> DataFrame:
+    """Counts per burst of activity of a site; a pause of more than the gap parts two bursts."""
+    return merge_sessions(session_slots(transfers, gap_minutes), gap_minutes)
+
+
+def merge_sessions(slots: DataFrame, gap_minutes: int = 10) -> DataFrame:
+    """Bursts out of the slots of all batches: only slots are put in order, however busy a site is."""
+    slots = slots.groupBy("domain", "slot").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("done").alias("done"), F.sum("failed").alias("failed")
     )
     order = Window.partitionBy("domain").orderBy("first")
     pause = F.col("first") - F.lag("last").over(order)
@@ -64,23 +63,7 @@ def session_progress(transfers: DataFrame, gap_minutes: int = 10, delay: str = "
     )
 
 
-def write_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
-    """Save each micro-batch in a folder of its own; a repeated batch replaces its folder."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-
-
-def merge_progress(updates: DataFrame) -> DataFrame:
-    """The newest counts per window out of all saved updates; counts only grow, so the largest is newest."""
+def merge_progress(counts: DataFrame) -> DataFrame:
+    """Counts per window over the partial counts of all batches."""
     names = ["done", "succeeded", "failed", "bytes"]
-    return updates.groupBy("window_start", "window_end").agg(*[F.max(n).alias(n) for n in names])
+    return counts.groupBy("window_start", "window_end").agg(*[F.sum(n).alias(n) for n in names])

@@ -11,26 +11,19 @@ from sitequarry.schemas import RETRY_COUNT
 PAGE = ["domain", "route", "page"]
 
 
-def retry_state(responses: DataFrame, retry_count: int = RETRY_COUNT, run: str = "7 days", delay: str = "1 day") -> DataFrame:
-    """Per page the first successful attempt within the limit and the last attempt seen.
+def retry_state(responses: DataFrame, retry_count: int = RETRY_COUNT) -> DataFrame:
+    """Per page the first successful attempt within the limit and the last attempt, of a table or of one batch.
 
-    On a stream the state is kept per `run`-long time window, so that it can expire. It is combined
-    before the shuffle and needs no Python; the batch definition is pages.resolve_retries.
+    It is combined before the shuffle and needs no Python; the batch definition is pages.resolve_retries.
     """
     good = failures.is_success(F.col("status"), F.col("error")) & (F.col("attempt") <= retry_count)
-    listed = responses.where("kind = 'list' AND page >= 1")
-    keys = [F.col(k) for k in PAGE]
-    if listed.isStreaming:
-        listed = listed.withWatermark("fetched_at", delay)
-        keys.append(F.window("fetched_at", run).alias("run"))
-    state = listed.groupBy(*keys).agg(
+    return responses.where("kind = 'list' AND page >= 1").groupBy(*PAGE).agg(
         F.min(F.when(good, F.col("attempt"))).alias("attempt"), F.max("attempt").alias("last_attempt")
-    )
-    return state.select(*PAGE, "attempt", "last_attempt")
+    )
 
 
 def merge_state(updates: DataFrame) -> DataFrame:
-    """One row per page out of all saved updates; both values can be merged in any order, any number of times."""
+    """One row per page out of the states of all batches; both values can be merged in any order, any number of times."""
     return updates.groupBy(*PAGE).agg(
         F.min("attempt").alias("attempt"), F.max("last_attempt").alias("last_attempt")
     )

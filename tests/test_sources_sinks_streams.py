@@ -107,20 +107,23 @@ T0 = datetime(2024, 1, 1)
 def test_ingestion_resumes_without_repeats(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 
-    def arrive(*names):
-        rows = [("d", f"http://x/{n}", True, None, 1, T0) for n in names]
+    def arrive(*names, when=T0):
+        rows = [("d", f"http://x/{n}", True, None, 1, when) for n in names]
         spark.createDataFrame(rows, schemas.TRANSFERS).write.mode("append").parquet(source)
 
     def run():
         stream = spark.readStream.schema(schemas.TRANSFERS).parquet(source)
-        ingest.ingest(ingest.distinct_arrivals(stream, ["domain", "source_url"]), out, state)
-        return sorted(r.source_url[-1] for r in spark.read.parquet(out).collect())
+        ingest.save_batches(stream, out, state)
+        saved = ingest.distinct_arrivals(spark.read.parquet(out), ["domain", "source_url"])
+        return sorted(r.source_url[-1] for r in saved.collect())
 
     arrive("a", "b", "a")
     assert run() == ["a", "b"]
     arrive("b", "c")
     assert run() == ["a", "b", "c"]
     assert run() == ["a", "b", "c"]
+    arrive("l", when=T0 - timedelta(days=30))
+    assert run() == ["a", "b", "c", "l"]
 
 
 def test_progress_of_a_stream_equals_the_table(spark, tmp_path, rows):
@@ -129,8 +132,7 @@ def test_progress_of_a_stream_equals_the_table(spark, tmp_path, rows):
     table = spark.createDataFrame(data, schemas.TRANSFERS)
     table.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(schemas.TRANSFERS).option("maxFilesPerTrigger", 1).parquet(source)
-    counts = progress.windowed_progress(stream, "1 hour", "30 minutes", delay="7 days")
-    progress.write_updates(counts, out, str(tmp_path / "state"))
+    ingest.save_batches(stream, out, str(tmp_path / "state"), lambda batch: progress.windowed_progress(batch, "1 hour", "30 minutes"))
     merged = progress.merge_progress(spark.read.parquet(out))
     assert rows(merged) == rows(progress.windowed_progress(table, "1 hour", "30 minutes"))
     assert [tuple(r) for r in progress.session_progress(table, 10).collect()] == [("d", T0, T0 + timedelta(minutes=39 * 7 + 10), 40, 14)]
@@ -141,12 +143,10 @@ def test_sessions_of_a_stream_equal_the_table(spark, tmp_path, rows):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     minutes = [0, 3, 13, 24, 60, 61, 99, 300]
     table = spark.createDataFrame([("d", f"u{m}", True, None, 1, T0 + timedelta(minutes=m)) for m in minutes], schemas.TRANSFERS)
-    table.write.parquet(source)
-    stream = progress.session_progress(spark.readStream.schema(schemas.TRANSFERS).parquet(source), 10)
-    progress.write_updates(stream, out, str(tmp_path / "state"), mode="append")
-    closed = rows(spark.read.parquet(out), "window_start", "window_end", "done", "failed")
-    assert closed == [r for r in rows(progress.session_progress(table, 10), "window_start", "window_end", "done", "failed")
-                      if r[0] < T0 + timedelta(minutes=300)]
+    table.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(schemas.TRANSFERS).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.save_batches(stream, out, str(tmp_path / "state"), lambda batch: progress.session_slots(batch, 10))
+    assert rows(progress.merge_sessions(spark.read.parquet(out), 10)) == rows(progress.session_progress(table, 10))
 
 
 def test_retry_state_of_a_stream_equals_the_batch(spark, tmp_path):
@@ -159,7 +159,7 @@ def test_retry_state_of_a_stream_equals_the_batch(spark, tmp_path):
     table = spark.createDataFrame(data, schemas.RESPONSES)
     table.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(schemas.RESPONSES).option("maxFilesPerTrigger", 1).parquet(source)
-    progress.write_updates(retries.retry_state(stream, delay="60 days"), out, str(tmp_path / "state"))
+    ingest.save_batches(stream, out, str(tmp_path / "state"), retries.retry_state)
     state = retries.merge_state(spark.read.parquet(out))
     batch = {r.page: r.attempt for r in pages.resolve_retries(table).collect()}
     assert {r.page: r.attempt for r in state.collect()} == batch
