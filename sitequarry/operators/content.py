@@ -138,9 +138,14 @@ def comments_by(items: DataFrame, post: int | None = None, parent: int | None =
     return items
 
 
+def _site(*views: DataFrame) -> list[str]:
+    """The site as a join key: ids are unique within a site only. Views of one site may leave it out."""
+    return ["domain"] if all("domain" in v.columns for v in views) else []
+
+
 def comments_with_posts(comment_items: DataFrame, post_items: DataFrame) -> DataFrame:
     """Comments with title and author of their post, within a site when the views tell the site."""
-    keys = ["domain"] if "domain" in comment_items.columns and "domain" in post_items.columns else []
+    keys = _site(comment_items, post_items)
     post_side = post_items.select(
         *keys, F.col("id").alias("post"), F.col("title").alias("post_title"), F.col("author").alias("post_author")
     )
@@ -148,14 +153,16 @@ def comments_with_posts(comment_items: DataFrame, post_items: DataFrame) -> Data
 
 
 def term_counts(post_items: DataFrame, column: str = "categories") -> DataFrame:
-    """Posts per term."""
-    exploded = post_items.select("id", F.explode(F.array_distinct(column)).alias("term"))
-    return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n_posts"))
+    """Posts per term, within a site when the view tells the site."""
+    keys = _site(post_items)
+    exploded = post_items.select(*keys, "id", F.explode(F.array_distinct(column)).alias("term"))
+    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n_posts"))
 
 
 def terms_with_counts(term_items: DataFrame, post_items: DataFrame, column: str = "categories") -> DataFrame:
-    counts = term_counts(post_items, column).withColumnRenamed("term", "id")
-    joined = term_items.drop("count").join(counts, "id", "left")
+    keys = _site(term_items, post_items)
+    counts = term_counts(post_items if keys else post_items.drop("domain"), column).withColumnRenamed("term", "id")
+    joined = term_items.drop("count").join(counts, [*keys, "id"], "left")
     return joined.withColumn("count", F.coalesce("n_posts", F.lit(0))).drop("n_posts")
 
 
@@ -163,9 +170,15 @@ def terms_by(term_items: DataFrame, parent: int | None = None) -> DataFrame:
     return term_items if parent is None else term_items.where(F.col("parent") == parent)
 
 
-def terms_of_post(term_items: DataFrame, post_items: DataFrame, post: int, column: str = "categories") -> DataFrame:
-    ids = post_items.where(F.col("id") == post).select(F.explode(column).alias("id"))
-    return term_items.join(ids, "id", "left_semi")
+def terms_of_post(
+    term_items: DataFrame, post_items: DataFrame, post: int, column: str = "categories", domain: str | None = None
+) -> DataFrame:
+    """Terms of a post; of the posts with this id on all sites where no site is named."""
+    keys = _site(term_items, post_items)
+    if domain is not None:
+        post_items = post_items.where(F.col("domain") == domain)
+    ids = post_items.where(F.col("id") == post).select(*keys, F.explode(column).alias("id"))
+    return term_items.join(ids, [*keys, "id"], "left_semi")
 
 
 def users_with_roles(user_items: DataFrame, roles: Sequence[str] | str) -> DataFrame:
@@ -174,22 +187,26 @@ def users_with_roles(user_items: DataFrame, roles: Sequence[str] | str) -> DataF
 
 
 def authors(user_items: DataFrame, post_items: DataFrame) -> DataFrame:
-    """Users who wrote a post."""
-    wrote = post_items.select(F.col("author").alias("id")).distinct()
-    return user_items.join(wrote, "id", "left_semi")
+    """Users who wrote a post, on their own site when the views tell the site."""
+    keys = _site(user_items, post_items)
+    wrote = post_items.select(*keys, F.col("author").alias("id")).distinct()
+    return user_items.join(wrote, [*keys, "id"], "left_semi")
 
 
 def search_all(views: dict[tuple[str, str], DataFrame], words: str, types: Sequence[str] | None = None,
                subtypes: Sequence[str] | None = None) -> DataFrame:
-    """Search over several views, keyed by (type, subtype): id, title, type, subtype of what is found."""
-    found = None
+    """Search over several views, keyed by (type, subtype): id, title, type, subtype of what is found.
+
+    The site comes first when all views tell it.
+    """
+    found, keys = None, _site(*views.values())
     for (kind, subtype), items in views.items():
         if (types and kind not in types) or (subtypes and subtype not in subtypes):
             continue
         label = next(c for c in ("title", "name") if c in items.columns)
         columns = [label] + [c for c in ("content",) if c in items.columns]
         hits = search(items, words, columns).select(
-            "id", F.col(label).alias("title"), F.lit(kind).alias("type"), F.lit(subtype).alias("subtype")
+            *keys, "id", F.col(label).alias("title"), F.lit(kind).alias("type"), F.lit(subtype).alias("subtype")
         )
         found = hits if found is None else found.unionByName(hits)
     if found is None:

@@ -65,3 +65,17 @@ def test_dictionaries_and_errors(spark):
     errors = content.error_bodies(responses)
     assert [(r.code, r.data_status, r.bad_params) for r in errors.collect()] == [("rest_invalid_param", 400, ["per_page"])]
     assert content.error_counts(errors).first().n_errors == 1
+
+
+def test_sites_keep_apart(spark):
+    posts = spark.createDataFrame([("a", 1, 7, [5]), ("a", 2, 7, [5, 6]), ("b", 1, 8, [6]), ("c", 3, 9, [5])],
+                                  "domain string, id long, author long, categories array<long>")
+    terms = spark.createDataFrame([(d, i, f"{d}{i}") for d in "abc" for i in (5, 6)], "domain string, id long, name string")
+    counts = {(r.domain, r.id): r["count"] for r in content.terms_with_counts(terms, posts).collect()}
+    assert counts == {("a", 5): 2, ("a", 6): 1, ("b", 5): 0, ("b", 6): 1, ("c", 5): 1, ("c", 6): 0}
+    assert [r.name for r in content.terms_of_post(terms, posts, 1, domain="b").collect()] == ["b6"]
+    assert sorted(r.name for r in content.terms_of_post(terms, posts, 1).collect()) == ["a5", "b6"]
+    users = spark.createDataFrame([(d, i, f"{d}{i}") for d in "abc" for i in (7, 8)], "domain string, id long, name string")
+    assert sorted(r.name for r in content.authors(users, posts).collect()) == ["a7", "b8"]
+    found = content.search_all({("term", "category"): terms, ("user", "user"): users}, "b").collect()
+    assert sorted((r.domain, r.id) for r in found) == [("b", 5), ("b", 6), ("b", 7), ("b", 8)]
