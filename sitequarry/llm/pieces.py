@@ -22,6 +22,8 @@ from sitequarry.llm.common import grouped, saved, sliced
 SPACE = "▁"
 #: Characters of a chunk, and chunks (or nodes) under one node of the tree.
 CHUNK, FAN = 1 << 16, 64
+#: Characters of words that are segmented together.
+TOGETHER = 1 << 18
 NONE = -np.inf
 
 
@@ -48,6 +50,13 @@ class Pieces:
         self.begins: dict[str, float | None] = {p[:i]: None for p in self.id for i in range(1, len(p))} | self.score
         self.known: dict[str, bytes] = {}
         self.limit = words
+        # the same as a trie of arrays: edges (node, character) in order, and what each leads to; 0 is the root
+        node = {p: i for i, p in enumerate(self.begins, 1)}
+        edge = np.array([node.get(p[:-1], 0) << 21 | ord(p[-1]) for p in node], np.int64)
+        order = np.argsort(edge)
+        self.edge, self.child = edge[order], (order + 1).astype(np.int64)
+        self.node_score = np.array([NONE] + [NONE if x is None else x for x in self.begins.values()])
+        self.node_id = np.array([-1] + [self.id.get(p, -1) for p in node], np.int32)
 
     def best(self, text: str, skip: int = 0) -> tuple[list[tuple[int, int]], float]:
         """The pieces (start, end) of text[skip:] of largest total score, and that score."""
@@ -96,15 +105,73 @@ class Pieces:
         return out + [spaces] if spaces else out
 
     def word(self, run: str) -> bytes:
-        if len(self.known) > self.limit:
-            self.known.clear()
         self.known[run] = got = np.array(self.ids_of(run, self.best(run)[0]), "<i4").tobytes()
         return got
 
+    def alike(self, words: list[str]) -> None:
+        """Learns words of one length, all at once: the steps of `best` in the same order, each over all words."""
+        m, n = len(words), len(words[0])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T.astype(np.int64)
+        total, back, used = np.full((n + 1, m), NONE), np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int32)
+        total[0] = 0.0
+        for a in range(n):
+            at, node = np.arange(m), np.zeros(m, np.int64)
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                step = node << 21 | code[b - 1, at]
+                place = np.minimum(np.searchsorted(self.edge, step), len(self.edge) - 1)
+                hit = self.edge[place] == step
+                if b == a + 1:
+                    alone = np.where(hit, self.node_score[self.child[place]], NONE) == NONE
+                    worse = alone & (total[a] + self.unknown > total[b])
+                    total[b, worse], back[b, worse], used[b, worse] = total[a, worse] + self.unknown, a, -1
+                at, node = at[hit], self.child[place[hit]]
+                if not len(at):
+                    break
+                score = total[a, at] + self.node_score[node]
+                better = score > total[b, at]
+                to = at[better]
+                total[b, to], back[b, to], used[b, to] = score[better], a, self.node_id[node[better]]
+        # backwards, into the right ends of rows
+        out, begin, at, own = np.zeros((m, n), "<i4"), np.full(m, n), np.full(m, n), np.arange(m)
+        plain = np.ones(m, bool)
+        while len(own):
+            ids = used[at[own], own]
+            plain[own[ids < 0]] = False
+            begin[own] -= 1
+            out[own, begin[own]] = ids
+            at[own] = back[at[own], own]
+            own = own[at[own] > 0]
+        raw, ends = out.tobytes(), np.arange(1, m + 1) * n
+        for w, p, q, good in zip(words, (4 * (ends - n + begin)).tolist(), (4 * ends).tolist(), plain.tolist(), strict=True):
+            if good:
+                self.known[w] = raw[p:q]
+            else:  # characters without a piece become bytes
+                self.word(w)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole prepared texts; words that are new in them are learned together, by length."""
+        runs = [self.runs(t) for t in texts]
+        new = {r for own in runs for r in own if r not in self.known}
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = {r for own in runs for r in own}
+        by_length: dict[int, list[str]] = {}
+        for r in new:
+            by_length.setdefault(len(r), []).append(r)
+        for n, words in by_length.items():
+            size = TOGETHER // n
+            if len(words) < 16 or size < 16:
+                for w in words:
+                    self.word(w)
+                continue
+            for a in range(0, len(words), size):
+                self.alike(words[a : a + size])
+        known = self.known
+        return [b"".join([known[r] for r in own]) for own in runs]
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole prepared text."""
-        known = self.known.get
-        return np.frombuffer(b"".join([known(run) or self.word(run) for run in self.runs(text)]), "<i4")
+        return np.frombuffer(self.encode_all([text])[0], "<i4")
 
     def matrix(self, body: str, behind: str) -> np.ndarray:
         """The chunk's transfer matrix over border states 0 … longest - 1.
@@ -276,7 +343,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             vocabulary = pieces(path)
-            ids = [vocabulary.encode(prepared(t)).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
+            ids = vocabulary.encode_all([prepared(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     short = own.where(~giant).mapInArrow(small, f"doc_id {kind}, ids binary")

@@ -260,3 +260,13 @@ def test_pipeline(spark):
     texts = Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in kept.collect())
     assert Counter(r.text_sha256 for r in last) == texts
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == Counter(r.doc_id for r in last)
+
+
+def test_words_learned_together():
+    one, all_ = pieces.Pieces(PIECES), pieces.Pieces(PIECES, words=300)
+    dice = random.Random(8)
+    letters = "abcdeénstrioΣ語\U00010348'1▁"
+    words = ["▁" + "".join(dice.choice(letters) for _ in range(1 + i % 23)) for i in range(1500)] + ["", "▁▁▁", "z" * 700]
+    texts = ["".join(words[a : a + 60]) for a in range(0, len(words), 60)]
+    want = [b"".join(np.array(one.ids_of(r, one.best(r)[0]), "<i4").tobytes() for r in one.runs(t)) for t in texts]
+    assert all_.encode_all(texts) == want and [all_.encode(t).tobytes() for t in texts] == want
