@@ -11,12 +11,16 @@ from sitequarry.schemas import ROUTE_DEFINITION
 def is_json(body: Column) -> Column:
     """True when the whole text is one JSON value.
 
-    The text is set into a list before a closing 0: the list has two elements only if the text is
-    one complete value with nothing behind it. Repeated keys are allowed. The parser also takes
-    single-quoted strings, which are not JSON, hence the second test.
+    The text is set before a closing 0 into a list and into an object: both have two members only if the text is
+    one complete value with nothing behind it, since no text can close both. Repeated keys are allowed. The parser
+    also takes single-quoted strings and control characters in strings, which are not JSON. Without escapes and
+    proper strings, texts with those still hold a quote.
     """
-    wrapped = F.concat(F.lit("["), body, F.lit(",0]"))
-    return F.coalesce(F.json_array_length(wrapped) == 2, F.lit(False)) & ~body.rlike(r"^[\s\[{]*'")
+    in_list = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2
+    in_object = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), body, F.lit(',"b":0}')))) == 2
+    bare = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), r'"[^"\x00-\x1f]*"', "")
+    strict = ~body.rlike(r"['\x00-\x1f]") | ~bare.rlike("[\"']")
+    return F.coalesce(in_list & in_object & strict, F.lit(False))
 
 
 def json_shape(body: Column) -> Column:

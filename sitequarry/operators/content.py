@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.operators.computed import with_computed
@@ -117,11 +117,24 @@ def ordered(items: DataFrame, orderby: str = "date", order: str = "desc") -> Dat
 
 
 def page_of(sorted_items: DataFrame, page: int = 1, per_page: int = 10, offset: int | None = None) -> DataFrame:
-    """One page of a sorted collection; an offset replaces the page number."""
+    """One page of the sorted collection of one site; an offset replaces the page number."""
     skip = offset if offset is not None else (page - 1) * per_page
     return sorted_items.offset(skip).limit(per_page)
 
 
+def page_per_site(items: DataFrame, orderby: str = "date", order: str = "desc", page: int = 1, per_page: int = 10,
+                  offset: int | None = None) -> DataFrame:
+    """One page of each site's collection, with `place` in that site's order (from 1).
+
+    Rows are ranked in the tasks that read them first, so a site sends no more than the page's end from each.
+    """
+    skip = offset if offset is not None else (page - 1) * per_page
+    keys = [orderby] if orderby == "id" else [orderby, "id"]
+    window = Window.partitionBy("domain").orderBy(*[F.col(k).desc() if order == "desc" else F.col(k).asc() for k in keys])
+    placed = items.withColumn("place", F.row_number().over(window)).where(F.col("place") <= skip + per_page)
+    return placed.where(F.col("place") > skip)
+
+
 def media_by(items: DataFrame, media_type: str | None = None, mime_type: str | None = None,
              parent: int | None = None) -> DataFrame:
     for column, value in (("media_type", media_type), ("mime_type", mime_type), ("parent", parent)):

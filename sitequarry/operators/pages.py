@@ -15,6 +15,9 @@ PAGE = ["domain", "route", "page"]
 # go by (domain, route, block of pages) and no group outgrows one task.
 PAGE_BLOCK = 65536
 
+# The largest page number.
+MOST_PAGES = 2**31 - 1
+
 # What ends a route at a page, in the order it is tested.
 STOPS = ["status", "invalid_json", "dict", "empty_list", "other_type"]
 
@@ -22,16 +25,21 @@ STOPS = ["status", "invalid_json", "dict", "empty_list", "other_type"]
 def request_plan(routes: DataFrame, page_counts: DataFrame | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
     """One row per page of each list route with `url`.
 
-    `page_counts(domain, route, total_pages)` gives the pages known so far; other routes get page 1.
+    `page_counts(domain, route, total_pages)` gives the pages known so far; other routes get page 1, and so do those
+    that announce more pages than a page number can count. A route of many pages is spread over tasks by blocks.
     """
     planned = routes.where("action = 'list'").select("domain", "route", "url")
     if page_counts is None:
         planned = planned.withColumn("pages", F.lit(1).cast("bigint"))
     else:
+        known = F.when(F.col("total_pages").between(1, MOST_PAGES), F.col("total_pages"))
         planned = planned.join(page_counts.select(*ROUTE, "total_pages"), ROUTE, "left").withColumn(
-            "pages", F.greatest(F.coalesce("total_pages", F.lit(1)), F.lit(1)).cast("bigint")
+            "pages", F.coalesce(known, F.lit(1)).cast("bigint")
         )
-    rows = planned.select("domain", "route", "url", F.explode(F.sequence(F.lit(1).cast("bigint"), "pages")).alias("page"))
+    blocks = planned.withColumn("block", F.explode(_blocks_up_to(F.col("pages")))).repartition(*ROUTE, "block")
+    first = F.col("block") * PAGE_BLOCK + 1
+    inside = F.sequence(first, F.least("pages", first + (PAGE_BLOCK - 1)))
+    rows = blocks.select("domain", "route", "url", F.explode(inside).alias("page"))
     return rows.select(
         "domain",
         "route",
@@ -42,6 +50,36 @@ def request_plan(routes: DataFrame, page_counts: DataFrame | None = None, page_s
     )
 
 
+def next_requests(
+    routes: DataFrame, pages: DataFrame, retry_count: int = RETRY_COUNT, page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """What a run asks for next: for each open list route its first page without a success, and the attempt's number.
+
+    `pages` comes from resolve_retries. A route is closed by a page that stops it, by the announced number of pages, or
+    by a page whose tries are used up.
+    """
+    planned = routes.where("action = 'list'").select(*ROUTE, "url")
+    good = pages.where("NOT failed")
+    after = good.where("stop IS NULL").select(*ROUTE, (F.col("page") + 1).alias("page"))
+    ahead = planned.select(*ROUTE, F.lit(1).alias("page")).unionByName(after).join(good.select(*PAGE), PAGE, "left_anti")
+    ahead = ahead.groupBy(*ROUTE).agg(F.min("page").alias("page"))
+    ends = pages.groupBy(*ROUTE).agg(
+        F.min(F.when(~F.col("failed") & F.col("stop").isNotNull(), F.col("page"))).alias("first_stop"),
+        F.max("total_pages").alias("total_pages"),
+    )
+    tried = pages.where("failed").select(*PAGE, "tries")
+    announced = F.when(F.col("total_pages") != 0, F.greatest("total_pages", F.lit(1)))
+    is_open = ~F.coalesce((F.col("first_stop") < F.col("page")) | (F.col("page") > announced), F.lit(False))
+    joined = planned.join(ahead, ROUTE).join(ends, ROUTE, "left").join(tried, PAGE, "left")
+    return joined.where(is_open & (F.coalesce("tries", F.lit(0)) < retry_count)).select(
+        *ROUTE,
+        F.lit("list").alias("kind"),
+        urls.page_url(F.col("url"), F.col("page"), page_size).alias("url"),
+        "page",
+        (F.coalesce("tries", F.lit(0)) + 1).cast("int").alias("attempt"),
+    )
+
+
 def plan_against_captures(plan: DataFrame, responses: DataFrame) -> DataFrame:
     """Plan rows with the number of captured attempts; pages without any are not fetched."""
     seen = responses.where("kind = 'list'").groupBy(*PAGE).agg(F.count(F.lit(1)).alias("attempts"))

@@ -425,11 +425,10 @@ def event_transfers(events: DataFrame) -> DataFrame:
 DOC_DATE = "date_add(DATE '2020-01-01', cast(doc_id % 1000 AS INT))"
 
 
-def post_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts out of documents, as JSON text; every 13th has no author, every 17th a bad date."""
-    return table(spark, sf_dir, "documents").selectExpr(
+def _post_json(own_id: str) -> str:
+    return (
         "to_json(named_struct("
-        "'id', doc_id, "
+        f"'id', {own_id}, "
         f"'date', CASE WHEN doc_id % 17 = 0 THEN 'soon' ELSE concat({DOC_DATE}, 'T10:00:00') END, "
         "'status', CASE doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'private' WHEN 2 THEN NULL ELSE 'publish' END, "
         "'title', named_struct('rendered', concat(source, ' ', text)), "
@@ -442,6 +441,33 @@ def post_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def post_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts out of documents, as JSON text; every 13th has no author, every 17th a bad date."""
+    return table(spark, sf_dir, "documents").selectExpr(_post_json("doc_id"))
+
+
+def site_post_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same posts dealt to three sites, which count their ids from the start each."""
+    return table(spark, sf_dir, "documents").selectExpr("concat('s', doc_id % 3, '.example.com') AS domain", _post_json("doc_id div 3"))
+
+
+def site_term_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms at each of the three sites."""
+    return table(spark, sf_dir, "nation").selectExpr("*", "explode(array(0, 1, 2)) AS site").selectExpr(
+        "concat('s', site, '.example.com') AS domain",
+        "to_json(named_struct('id', n_nationkey, 'name', n_name, 'slug', lower(n_name), "
+        "'parent', n_regionkey, 'taxonomy', 'category')) AS record_json",
+    )
+
+
+def site_user_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dealt to the three sites, which count their ids from the start each."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('s', c_custkey % 3, '.example.com') AS domain",
+        "to_json(named_struct('id', c_custkey div 3, 'name', c_name)) AS record_json",
+    )
+
+
 def comment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "to_json(named_struct("

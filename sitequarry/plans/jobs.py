@@ -44,7 +44,7 @@ def dump(
     include_unknown: bool = True,
     retry_count: int = RETRY_COUNT,
 ) -> dict[str, DataFrame]:
-    """Records, documents and statistics out of captured responses."""
+    """Records, documents and statistics out of captured responses; of routes saved under one name the last stays."""
     planned = routes.dispatch(routes.explode_routes(site_index), known_routes, include_unknown)
     wanted = planned.where("action <> 'skip'").select("domain", "route", planned.action.alias("kind"))
     captured = responses.join(wanted, ["domain", "route", "kind"], "left_semi")
@@ -56,13 +56,17 @@ def dump(
         .unionByName(documents.where("body IS NOT NULL").select("domain", "route")),
         ["domain", "route"], "left_semi",
     )
+    files = routes.mark_overwritten(written)
+    # a later route of the same name replaces what an earlier one wrote
+    lost = files.where("overwritten").select("domain", "route")
+    lasting = outcomes.join(lost, ["domain", "route"], "left_anti")
     return {
         "plan": planned,
         "pages": resolved,
         "outcomes": outcomes,
-        "records": pages.records(captured, resolved, outcomes),
-        "documents": documents,
-        "files": routes.mark_overwritten(written),
+        "records": pages.records(captured, resolved, lasting),
+        "documents": documents.join(lost, ["domain", "route"], "left_anti"),
+        "files": files,
         "summary": pages.route_summary(resolved, outcomes),
         "statistics": pages.run_statistics(planned, documents, captured),
     }

@@ -182,6 +182,10 @@ CTES: dict[str, str] = {
           CASE WHEN role = 'user' THEN conv_id % 50 ELSE 0 END AS author,
           CASE WHEN turn % 4 = 3 THEN 'hold' ELSE 'approved' END AS status FROM conversations""",
     "ptm": "SELECT id, c1 AS term FROM pst UNION SELECT id, c2 FROM pst",
+    "spst": """SELECT concat('s', id % 3, '.example.com') AS domain, id // 3 AS id, date, status, title, content, author, c1, c2 FROM pst""",
+    "sptm": "SELECT domain, id, c1 AS term FROM spst UNION SELECT domain, id, c2 FROM spst",
+    "strm": """SELECT concat('s', k, '.example.com') AS domain, cast(n_nationkey AS BIGINT) AS id, n_name AS name
+          FROM nation, (VALUES (0), (1), (2)) AS sites(k)""",
     "evt": f"""SELECT concat('u', user_id, '.example.com') AS domain, concat('https://cdn.example.com/f', event_id, '.bin') AS source_url,
           {b.EVENT_SUCCESS} AS success, CASE WHEN NOT ({b.EVENT_SUCCESS}) THEN 'HTTP 500' END AS error,
           {b.EVENT_BYTES} AS bytes, ts FROM events""",
@@ -404,6 +408,24 @@ _SELECTS: dict[str, str] = {
     "posts_with_status": "SELECT id, status FROM pst WHERE status = 'publish'",
     "posts_search": "SELECT id, title FROM pst WHERE contains(lower(title), 'the th') OR contains(lower(content), 'the th')",
     "posts_page": "SELECT id FROM pst WHERE status = 'publish' ORDER BY date DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40",
+    "posts_page_per_site": """SELECT domain, cast(place AS INTEGER) AS place, id FROM (SELECT domain, id, row_number() OVER (
+        PARTITION BY domain ORDER BY date DESC NULLS LAST, id DESC) AS place FROM spst WHERE status = 'publish') WHERE place BETWEEN 21 AND 40""",
+    "terms_with_counts_per_site": """SELECT domain, id, name, (SELECT count(*) FROM sptm WHERE sptm.domain = strm.domain AND term = strm.id) AS count
+        FROM strm""",
+    "terms_of_post_per_site": """SELECT domain, id, name FROM strm WHERE domain = 's1.example.com' AND id IN (
+        SELECT term FROM sptm WHERE domain = 's1.example.com' AND id = 33)""",
+    "authors_per_site": """SELECT domain, id, name FROM (SELECT concat('s', c_custkey % 3, '.example.com') AS domain, c_custkey // 3 AS id,
+        c_name AS name FROM customer) SEMI JOIN (SELECT domain, author AS id FROM spst) USING (domain, id)""",
+    "search_all_per_site": """SELECT domain, id, title, 'post' AS type, 'post' AS subtype FROM spst
+        WHERE contains(lower(title), 'red') OR contains(lower(content), 'red')
+        UNION ALL SELECT domain, id, name, 'term', 'category' FROM strm WHERE contains(lower(name), 'red')""",
+    "next_requests": """SELECT domain, route, cast(f AS INTEGER) AS page, cast(coalesce(t, 0) + 1 AS INTEGER) AS attempt FROM (
+        SELECT named.domain, named.route, coalesce(c, 0) + 1 AS f FROM named LEFT JOIN (SELECT domain, route, count(*) AS c FROM (
+          SELECT domain, route, page, row_number() OVER (PARTITION BY domain, route ORDER BY page) AS rn FROM shp) WHERE page = rn GROUP BY ALL)
+          USING (domain, route) WHERE action = 'list')
+        LEFT JOIN (SELECT domain, route, page AS f, count(*) FILTER (WHERE attempt <= 5) AS t FROM lst GROUP BY ALL) USING (domain, route, f)
+        LEFT JOIN stp USING (domain, route) LEFT JOIN fst USING (domain, route)
+        WHERE coalesce(t, 0) < 5 AND (first_stop IS NULL OR first_stop >= f) AND (coalesce(total_pages, 0) = 0 OR f <= greatest(total_pages, 1))""",
     "media_filtered": """SELECT p_partkey AS id, p_name AS title, p_partkey % 100 AS parent, concat('https://cdn.example.com/', p_partkey, '.png') AS source_url
         FROM part WHERE p_size % 3 = 0 AND p_size % 4 = 0""",
     "comments_filtered": "SELECT id, post, parent FROM cmt WHERE author = 0 AND status = 'approved'",

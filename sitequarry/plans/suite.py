@@ -165,6 +165,12 @@ def plan_against_captures(spark, sf_dir):
     return pages.plan_against_captures(request_plan(spark, sf_dir), b.responses(spark, sf_dir))
 
 
+@query
+def next_requests(spark, sf_dir):
+    planned = routes.dispatch(_routes(spark, sf_dir), seed_catalogue(spark))
+    return pages.next_requests(planned, _resolved(spark, sf_dir)).select("domain", "route", "page", "attempt")
+
+
 @query
 def retry_resolution(spark, sf_dir):
     return _resolved(spark, sf_dir).select("domain", "route", "page", "tries", "attempt", "status", "failed")
@@ -523,6 +529,43 @@ def search_all(spark, sf_dir):
     return content.search_all(views, "red")
 
 
+def _site_posts(spark, sf_dir):
+    return content.posts(b.site_post_records(spark, sf_dir))
+
+
+@query
+def posts_page_per_site(spark, sf_dir):
+    found = content.page_per_site(content.with_status(_site_posts(spark, sf_dir)), "date", "desc", page=2, per_page=20)
+    return found.select("domain", "place", "id")
+
+
+@query
+def terms_with_counts_per_site(spark, sf_dir):
+    terms = content.terms(b.site_term_records(spark, sf_dir))
+    return content.terms_with_counts(terms, _site_posts(spark, sf_dir)).select("domain", "id", "name", "count")
+
+
+@query
+def terms_of_post_per_site(spark, sf_dir):
+    terms = content.terms(b.site_term_records(spark, sf_dir))
+    return content.terms_of_post(terms, _site_posts(spark, sf_dir), post=33, domain="s1.example.com").select("domain", "id", "name")
+
+
+@query
+def authors_per_site(spark, sf_dir):
+    users = content.users(b.site_user_records(spark, sf_dir))
+    return content.authors(users, _site_posts(spark, sf_dir)).select("domain", "id", "name")
+
+
+@query
+def search_all_per_site(spark, sf_dir):
+    views = {
+        ("post", "post"): _site_posts(spark, sf_dir),
+        ("term", "category"): content.terms(b.site_term_records(spark, sf_dir)),
+    }
+    return content.search_all(views, "red")
+
+
 @query
 def dictionary_entries(spark, sf_dir):
     documents = pages.dict_documents(b.dict_responses(spark, sf_dir)).where("route = '/wp/v2/types'")

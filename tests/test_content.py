@@ -79,3 +79,11 @@ def test_sites_keep_apart(spark):
     assert sorted(r.name for r in content.authors(users, posts).collect()) == ["a7", "b8"]
     found = content.search_all({("term", "category"): terms, ("user", "user"): users}, "b").collect()
     assert sorted((r.domain, r.id) for r in found) == [("b", 5), ("b", 6), ("b", 7), ("b", 8)]
+
+
+def test_pages_of_several_sites(spark):
+    rows = [(d, json.dumps({"id": i, "date": f"2024-01-{1 + i % 3:02d}T00:00:00"})) for d, n in [("a", 9), ("b", 4)] for i in range(n)]
+    posts = content.posts(spark.createDataFrame(rows, "domain string, record_json string"))
+    found = [(r.domain, r.place, r.id) for r in content.page_per_site(posts, page=2, per_page=3).orderBy("domain", "place").collect()]
+    assert found == [("a", 4, 7), ("a", 5, 4), ("a", 6, 1), ("b", 4, 0)]
+    assert [r.id for r in content.page_per_site(posts, "id", "asc", per_page=1, offset=3).orderBy("domain").collect()] == [3, 3]

@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from sitequarry import schemas
 from sitequarry.operators import pages, routes
 from sitequarry.operators.pages import assemble, resolve_retries
@@ -174,3 +176,18 @@ def test_plan_of_the_literal_dump_case(spark):
     captured = capture(spark, [("/wp/v2/posts", 1, 1, 200, "[1]")])
     fetched = {r.page: r.fetched for r in pages.plan_against_captures(plan, captured).collect()}
     assert fetched == {1: True, 2: False, 3: False}
+
+
+def test_next_requests_and_huge_headers(spark):
+    kinds = "domain string, route string, action string, url string"
+    routes = spark.createDataFrame([("d", r, "list", "https://d" + r) for r in ("/new", "/open", "/again", "/used", "/stopped", "/told", "/gap")], kinds)
+    rows = [("/open", 1, False, None, 1, None), ("/open", 2, False, None, 1, None), ("/again", 1, True, None, 2, None), ("/used", 1, True, None, 5, None),
+            ("/stopped", 1, False, None, 1, None), ("/stopped", 2, False, 3, 1, None), ("/told", 1, False, None, 1, 2), ("/told", 2, False, None, 1, None),
+            ("/gap", 1, False, None, 1, None), ("/gap", 3, False, None, 1, None)]
+    seen = spark.createDataFrame([("d", *r) for r in rows], "domain string, route string, page int, failed boolean, stop int, tries long, total_pages long")
+    assert {(r.route, r.page, r.attempt) for r in pages.next_requests(routes, seen).collect()} == {("/new", 1, 1), ("/open", 3, 1), ("/again", 1, 3), ("/gap", 2, 1)}
+    counts = spark.createDataFrame([("d", "/open", 9_000_000_000_000), ("d", "/told", 150_000), ("d", "/gap", 3)], "domain string, route string, total_pages long")
+    planned = pages.request_plan(routes, counts).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("last"))
+    assert {r.route: (r.n, r["last"]) for r in planned.collect()} == {
+        "/new": (1, 1), "/open": (1, 1), "/again": (1, 1), "/used": (1, 1), "/stopped": (1, 1), "/told": (150_000, 150_000), "/gap": (3, 3),
+    }

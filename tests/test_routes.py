@@ -142,3 +142,20 @@ def test_orders(spark):
     table = routes_table(spark, {"/b": None, "/Z": None, "/é": None, "/a": None})
     assert [r.route for r in routes.in_index_order(table).collect()] == ["/b", "/Z", "/é", "/a"]
     assert [r.route for r in routes.in_name_order(table).collect()] == sorted(["/b", "/Z", "/é", "/a"])
+
+
+def test_strict_json(spark):
+    import json
+
+    texts = ['{"a":\'b\'}', '{"a":"x\ty"}', '{"a":1,"a":"it\'s"}', '[1] x', '1,0],[', '[1],0],[2', '1,"b":0},{', '{\n"a": "\\\\", "b\'": "\\"\'"}', "'a'", '["a\nb"]',
+             "", " ", "1", '"x\'"', '[1,\t2]', '{"a":"\\u0009"}', '["\\""]', "{'a':1}", '["a","b\x01","c"]']
+
+    def valid(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+
+    got = {r.v: r.ok for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", json_shapes.is_json(F.col("v")).alias("ok")).collect()}
+    assert got == {t: valid(t) for t in texts}
