@@ -38,6 +38,12 @@ def test_dump_counts_add_up(spark):
     files = done["files"]
     names = files.select("domain", "out_name").distinct().count()
     assert files.where("NOT overwritten").count() == names < files.count()
+    # what is saved under a name comes from that writer only
+    saved = done["documents"].where("body IS NOT NULL").select("domain", "out_name", "route")
+    saved = saved.unionByName(done["records"].select("domain", "out_name", "route")).distinct()
+    assert saved.groupBy("domain", "out_name").count().where("count > 1").count() == 0
+    lost = files.where("overwritten").select("domain", "route")
+    assert saved.join(lost, ["domain", "route"], "left_semi").count() == 0 < saved.count()
 
 
 def test_getfiles_counts_add_up(spark):
