@@ -447,7 +447,7 @@ _SELECTS: dict[str, str] = {
     "error_messages": f"""SELECT url, cast(status AS INTEGER) AS status, concat('WordPress API error for ', url, ' (HTTP ', status, '): API request failed',
         {_HINTS}) AS error_message FROM (SELECT DISTINCT concat('https://', domain, '/wp-json', route) AS url, status
           FROM (SELECT domain, route, status FROM lst UNION ALL SELECT domain, route, status FROM dct) WHERE status >= 400)""",
-    "archive_written": """SELECT domain, concat(replace(trim(route, '/'), '/', '_'), '.jsonl') AS out_name,
+    "archive_written": """SELECT domain, route, concat(replace(trim(route, '/'), '/', '_'), '.jsonl') AS out_name,
         cast(page AS INTEGER) AS page, cast(idx AS INTEGER) AS idx, record_json FROM rec""",
     "documents_written": "SELECT domain, out_name, route, body FROM doc WHERE body IS NOT NULL",
     "index_snapshot_written": "SELECT domain, true AS saved FROM ord WHERE variant NOT IN (0, 1, 2, 6, 7, 8, 10)",
@@ -468,6 +468,23 @@ _SELECTS: dict[str, str] = {
         cast(last_attempt AS INTEGER) AS last_attempt, CASE WHEN attempt IS NULL THEN 'failed' ELSE 'success' END AS outcome FROM (
         SELECT domain, route, page, min(attempt) FILTER (WHERE attempt <= 5 AND status BETWEEN 200 AND 399) AS attempt,
           max(attempt) AS last_attempt FROM lst GROUP BY ALL) WHERE attempt IS NOT NULL OR last_attempt >= 5""",
+    "sites_read": "SELECT input FROM inp",
+    "responses_read": """SELECT domain, route, 'list' AS kind, cast(page AS INTEGER) AS page, cast(attempt AS INTEGER) AS attempt,
+        cast(status AS INTEGER) AS status FROM lst""",
+    "media_written": "SELECT domain, target_path, source_url AS content FROM oco WHERE download AND success",
+    "dump_job": """SELECT domain, route, out_name, cast(page AS INTEGER) AS page, cast(idx AS INTEGER) AS idx, record_json FROM rec
+        JOIN (SELECT domain, route, out_name, row_number() OVER (PARTITION BY domain, out_name ORDER BY route_pos DESC) AS place
+          FROM named JOIN outc USING (domain, route) WHERE action = 'list' AND complete) USING (domain, route) WHERE place = 1""",
+}
+# written tables and whole jobs give what their last operator gives
+_SELECTS |= {
+    name: _SELECTS[of]
+    for name, of in {
+        "statistics_written": "transfer_statistics",
+        "ping_job": "site_health",
+        "analyze_job": "category_statistics",
+        "getfiles_job": "next_manifest",
+    }.items()
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions import failures, json_shapes, text
 from sitequarry.operators import catalogue, content, media, pages, probe, routes, sites
 from sitequarry.plans import bindings as b
+from sitequarry.plans import jobs
 from sitequarry.session import fresh_dir
 from sitequarry.sources import captures, fetch, sinks
 from sitequarry.sources.catalogue import parse_catalogue, seed_catalogue
@@ -625,6 +626,64 @@ def manifest_written(spark, sf_dir):
     )
 
 
+@query
+def sites_read(spark, sf_dir):
+    out = fresh_dir(spark, "sites")
+    b.sites(spark, sf_dir).write.parquet(out)
+    return captures.read_sites(spark, out)
+
+
+@query
+def responses_read(spark, sf_dir):
+    """Captures saved twice, read back once each."""
+    out = fresh_dir(spark, "responses")
+    captured = b.list_responses(spark, sf_dir)
+    captured.unionByName(captured).write.parquet(out)
+    read = captures.distinct_captures(captures.read_responses(spark, out))
+    return read.select("domain", "route", "kind", "page", "attempt", "status")
+
+
+@query
+def statistics_written(spark, sf_dir):
+    out = fresh_dir(spark, "statistics")
+    sinks.write_statistics(transfer_statistics(spark, sf_dir), out)
+    return spark.read.parquet(out)
+
+
+@query
+def media_written(spark, sf_dir):
+    """Files fetched, with their URLs as contents."""
+    out = fresh_dir(spark, "media")
+    fetched = _outcomes(spark, sf_dir).where("fetched")
+    sinks.write_media(fetched.withColumn("content", F.encode("source_url", "UTF-8")), out)
+    return spark.read.parquet(out).withColumn("content", F.decode("content", "UTF-8"))
+
+
+# --- whole jobs --------------------------------------------------------------------------------
+
+
+@query
+def ping_job(spark, sf_dir):
+    names = b.index_domains(spark, sf_dir).select(F.col("domain").alias("input"))
+    return jobs.ping(names, b.site_index(spark, sf_dir))["health"]
+
+
+@query
+def analyze_job(spark, sf_dir):
+    return jobs.analyze(b.site_index(spark, sf_dir), seed_catalogue(spark))["statistics"]
+
+
+@query
+def dump_job(spark, sf_dir):
+    return jobs.dump(b.site_index(spark, sf_dir), seed_catalogue(spark), b.responses(spark, sf_dir))["records"]
+
+
+@query
+def getfiles_job(spark, sf_dir):
+    inputs = (make(spark, sf_dir) for make in (b.item_media, b.manifest, b.existing_files, b.item_transfers))
+    return jobs.getfiles(*inputs, now=1.8e9)["manifest"]
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 

@@ -26,6 +26,10 @@ def build_session(master: str | None = None, app: str = "sitequarry", **extra: s
     return builder.getOrCreate()
 
 
+#: Folders of local sessions without the setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
@@ -36,9 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="sitequarry-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # the setting itself can't be changed in a running session
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="sitequarry-")
+    return _OWN[application]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
