@@ -157,7 +157,8 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     Documents whose sets of 5-word shingles are alike (100 * intersection >= percent * union) are linked; a component is
     named by its smallest doc_id, and that document is kept. Null and empty texts, and texts without words, have no
     shingles and are linked with nothing. Equal sets are one set, held by their smallest doc_id. Rows that
-    repeat a doc_id share its component: the smallest of those of its rows. A null doc_id is its own component.
+    repeat a doc_id share its component: the smallest of those of its rows. A row without a doc_id has the component of
+    the rows whose set equals its own; where there are none, its component_id is null and it is kept. It links nothing.
 
     Sets that share a band are candidates. Links to the smallest id of a band's bucket give groups (no pairs are made);
     each group's full sets are then compared once, in one task where they fit a block, else in one task
