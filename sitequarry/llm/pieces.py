@@ -1,87 +1,70 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding with the ids of the model's own merges.
 
-The encoding of a text is its segmentation of largest total score under the scores stored in the vocabulary file. A giant text
-is split into chunks. A chunk's matrix tells, for each number i of its first characters that a piece from before
-has taken and each number j of characters behind it that its own last piece takes, the best score between. Max-plus
-products of the matrices are associative: they are combined in a tree, the best states at the chunks' borders are
-found downwards in it, and then each chunk is traced back on its own.
+No piece of the vocabulary goes on to a space behind something else, so merges never cross the border of a word-like run
+(spaces and what follows up to the next space): a text's ids are those of its runs, each of which is encoded once and remembered. A
+giant text is cut only where no piece has the two characters beside the cut next to each other; its chunks are encoded by tasks
+of their own.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.common import grouped, saved, sliced
+from sitequarry.llm.common import sliced
 
 SPACE = "▁"
-#: Characters of a chunk, and chunks (or nodes) under one node of the tree.
+#: Characters of a chunk at least, and chunks of a giant text that are handed on together.
 CHUNK, FAN = 1 << 16, 64
-#: Characters of words that are segmented together.
-TOGETHER = 1 << 18
-NONE = -np.inf
+#: Bytes of texts that are encoded together, and runs that are learned in one call.
+TOGETHER, LEARNT = 1 << 20, 1 << 13
+#: Appended to a model file, this message turns off the space that the model puts in front of a text.
+BARE = b"\x1a\x02\x18\x00"
 
 
 class Pieces:
-    """The vocabulary: scores of pieces, bytes for characters without a piece."""
+    """The vocabulary: ranks of pieces, bytes for characters without a piece."""
 
     def __init__(self, path: str, words: int = 500_000):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as source:
+            model = sentencepiece.SentencePieceProcessor(model_proto=source.read() + BARE)
+        #: Encodes prepared texts and runs of them.
+        self.model = model
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.text = {i: model.id_to_piece(i) for i in plain}
         self.id = {p: i for i, p in self.text.items()}
         self.score = {p: model.get_score(i) for p, i in self.id.items()}
-        self.longest = max(map(len, self.id))
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
-        #: A character without a piece costs more than any piece.
-        self.unknown = min(self.score.values()) - 10
         # no piece goes on to a space behind something else, so texts fall apart in front of such spaces
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        #: Scores of pieces, and nothing for what only begins one.
-        self.begins: dict[str, float | None] = {p[:i]: None for p in self.id for i in range(1, len(p))} | self.score
+        #: Characters that lie next to each other in some piece; a merge crosses no other place.
+        self.beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
         self.limit = words
-        # the same as a trie of arrays: edges (node, character) in order, and what each leads to; 0 is the root
-        node = {p: i for i, p in enumerate(self.begins, 1)}
-        edge = np.array([node.get(p[:-1], 0) << 21 | ord(p[-1]) for p in node], np.int64)
-        order = np.argsort(edge)
-        self.edge, self.child = edge[order], (order + 1).astype(np.int64)
-        self.node_score = np.array([NONE] + [NONE if x is None else x for x in self.begins.values()])
-        self.node_id = np.array([-1] + [self.id.get(p, -1) for p in node], np.int32)
-
-    def best(self, text: str, skip: int = 0) -> tuple[list[tuple[int, int]], float]:
-        """The pieces (start, end) of text[skip:] of largest total score, and that score."""
-        n = len(text)
-        total, back = [NONE] * (n + 1), [0] * (n + 1)
-        total[skip] = 0.0
-        begins = self.begins.get
-        for a in range(skip, n):
-            base = total[a]
-            if base == NONE:
-                continue
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                s = begins(text[a:b], 1.0)
-                if s is None or s == 1.0:  # scores are 0 at most
-                    if b == a + 1 and base + self.unknown > total[b]:
-                        total[b], back[b] = base + self.unknown, a
-                    if s:
-                        break
-                elif base + s > total[b]:
-                    total[b], back[b] = base + s, a
-        cut, at = [], n
-        while at > skip:
-            cut.append((back[at], at))
-            at = back[at]
-        return cut[::-1], total[n]
+
+    def best(self, text: str) -> tuple[list[tuple[int, int]], float]:
+        """The pieces (start, end) of a short text by the model's rule written out, and their score.
+
+        Of all neighbours whose union is a piece, those of best rank are joined, the leftmost first, until none are left.
+        Slow: tests hold what the library gives for runs against it.
+        """
+        cut = [(i, i + 1) for i in range(len(text))]
+        while True:
+            ranks = [self.score.get(text[p[0] : q[1]], -np.inf) for p, q in zip(cut[:-1], cut[1:], strict=True)]
+            if not ranks or max(ranks) == -np.inf:
+                return cut, sum(self.score.get(text[p:q], 0.0) for p, q in cut)
+            i = ranks.index(max(ranks))
+            cut[i : i + 2] = [(cut[i][0], cut[i + 1][1])]
 
     def ids_of(self, text: str, cut: list[tuple[int, int]]) -> list[int]:
         out: list[int] = []
@@ -104,68 +87,35 @@ class Pieces:
                 spaces = ""
         return out + [spaces] if spaces else out
 
-    def word(self, run: str) -> bytes:
-        self.known[run] = got = np.array(self.ids_of(run, self.best(run)[0]), "<i4").tobytes()
-        return got
-
-    def alike(self, words: list[str]) -> None:
-        """Learns words of one length, all at once: the steps of `best` in the same order, each over all words."""
-        m, n = len(words), len(words[0])
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T.astype(np.int64)
-        total, back, used = np.full((n + 1, m), NONE), np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int32)
-        total[0] = 0.0
-        for a in range(n):
-            at, node = np.arange(m), np.zeros(m, np.int64)
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                step = node << 21 | code[b - 1, at]
-                place = np.minimum(np.searchsorted(self.edge, step), len(self.edge) - 1)
-                hit = self.edge[place] == step
-                if b == a + 1:
-                    alone = np.where(hit, self.node_score[self.child[place]], NONE) == NONE
-                    worse = alone & (total[a] + self.unknown > total[b])
-                    total[b, worse], back[b, worse], used[b, worse] = total[a, worse] + self.unknown, a, -1
-                at, node = at[hit], self.child[place[hit]]
-                if not len(at):
-                    break
-                score = total[a, at] + self.node_score[node]
-                better = score > total[b, at]
-                to = at[better]
-                total[b, to], back[b, to], used[b, to] = score[better], a, self.node_id[node[better]]
-        # backwards, into the right ends of rows
-        out, begin, at, own = np.zeros((m, n), "<i4"), np.full(m, n), np.full(m, n), np.arange(m)
-        plain = np.ones(m, bool)
-        while len(own):
-            ids = used[at[own], own]
-            plain[own[ids < 0]] = False
-            begin[own] -= 1
-            out[own, begin[own]] = ids
-            at[own] = back[at[own], own]
-            own = own[at[own] > 0]
-        raw, ends = out.tobytes(), np.arange(1, m + 1) * n
-        for w, p, q, good in zip(words, (4 * (ends - n + begin)).tolist(), (4 * ends).tolist(), plain.tolist(), strict=True):
-            if good:
-                self.known[w] = raw[p:q]
-            else:  # characters without a piece become bytes
-                self.word(w)
+    def chunks(self, text: str, least: int) -> Iterator[str]:
+        """The text in parts of `least` characters and as many more as it takes to a place that no piece crosses."""
+        a = 0
+        while a < len(text):
+            b = a + least
+            while b < len(text) and text[b - 1 : b + 1] in self.beside:
+                b += 1
+            yield text[a:b]
+            a = b
+
+    def learn(self, words: list[str]) -> None:
+        ids = self.model.encode(words, num_threads=1)
+        raw = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        a = 0
+        for w, own in zip(words, ids, strict=True):
+            b = a + 4 * len(own)
+            self.known[w] = raw[a:b]
+            a = b
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole prepared texts; words that are new in them are learned together, by length."""
+        """Packed ids of whole prepared texts or chunks; runs that are new in them are learned together."""
         runs = [self.runs(t) for t in texts]
         new = {r for own in runs for r in own if r not in self.known}
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = {r for own in runs for r in own}
-        by_length: dict[int, list[str]] = {}
-        for r in new:
-            by_length.setdefault(len(r), []).append(r)
-        for n, words in by_length.items():
-            size = TOGETHER // n
-            if len(words) < 16 or size < 16:
-                for w in words:
-                    self.word(w)
-                continue
-            for a in range(0, len(words), size):
-                self.alike(words[a : a + size])
+        words = list(new)
+        for a in range(0, len(words), LEARNT):
+            self.learn(words[a : a + LEARNT])
         known = self.known
         return [b"".join([known[r] for r in own]) for own in runs]
 
@@ -173,64 +123,6 @@ class Pieces:
         """Ids of a whole prepared text."""
         return np.frombuffer(self.encode_all([text])[0], "<i4")
 
-    def matrix(self, body: str, behind: str) -> np.ndarray:
-        """The chunk's transfer matrix over border states 0 … longest - 1.
-
-        From the first place where the text falls apart all ways in go on alike, so only what lies before it is done for
-        each way in.
-        """
-        w, n, whole = self.longest, len(body), body + behind
-        cuts = [i for i in range(1, n) if whole[i] == SPACE and whole[i - 1] != SPACE] if self.apart else []
-        first = next((i for i in cuts if i >= w), None)
-        out = np.full((w, w), NONE)
-        if first is None:
-            for i in range(min(w, n + 1)):
-                out[i] = self._leave(whole, i, n)
-            return out
-        last = cuts[-1]
-        middle = sum(self.best(r)[1] for r in self.runs(whole[first:last])) + self._leave(whole[last:], 0, n - last)
-        for i in range(w):
-            out[i] = self.best(whole[:first], skip=i)[1] + middle
-        return out
-
-    def _leave(self, whole: str, skip: int, n: int) -> np.ndarray:
-        """Best scores of ways from `skip` that end j characters behind place n, by j; the piece that crosses n counts in full."""
-        w = self.longest
-        total = np.full(n + w, NONE)
-        total[skip] = 0.0
-        for a in range(skip, n):
-            if total[a] == NONE:
-                continue
-            for b in range(a + 1, min(len(whole), a + w) + 1):
-                s = self.score.get(whole[a:b], self.unknown if b == a + 1 else None)
-                if s is not None and total[a] + s > total[b]:
-                    total[b] = total[a] + s
-        return total[n : n + w]
-
-    def trace(self, body: str, behind: str, enter: int, leave: int) -> np.ndarray:
-        """Ids of the pieces that start in the chunk, given its border states."""
-        if not enter and not leave and self.apart:
-            return self.encode(body)
-        text = body + behind[:leave]
-        # the last piece has to start inside the body
-        n, w = len(body), self.longest
-        total, back = [NONE] * (len(text) + 1), [0] * (len(text) + 1)
-        total[enter] = 0.0
-        for a in range(enter, n):
-            if total[a] == NONE:
-                continue
-            for b in range(a + 1, min(len(text), a + w) + 1):
-                if n < b < len(text):
-                    continue
-                s = self.score.get(text[a:b], self.unknown if b == a + 1 else None)
-                if s is not None and total[a] + s > total[b]:
-                    total[b], back[b] = total[a] + s, a
-        cut, at = [], len(text)
-        while at > enter:
-            cut.append((back[at], at))
-            at = back[at]
-        return np.array(self.ids_of(text, cut[::-1]), np.int32)
-
     def decode(self, ids: np.ndarray) -> str:
         out, raw = [], bytearray()
         for i in ids.tolist():
@@ -261,109 +153,42 @@ def prepared(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
-
-
-def borders(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
-    """States between neighbours on a best way through from `enter` to `leave`: forwards by sums, backwards by choice."""
-    reach = [np.where(np.arange(len(matrices[0])) == enter, 0.0, NONE)]
-    for m in matrices[:-1]:
-        reach.append((reach[-1][:, None] + m).max(axis=0))
-    states = [leave]
-    for r, m in zip(reversed(reach), reversed(matrices), strict=True):
-        states.append(int(np.argmax(r + m[:, states[-1]])))
-    return states[::-1]
-
-
-def _chunks(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row, no, body and behind: the chunks of prepared texts of more than CHUNK characters."""
-    text = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    long = docs.select("doc_id", "row", text.alias("text")).withColumn("n", F.ceil(F.length("text") / CHUNK).cast("int"))
-    each = long.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"))
-    at = F.col("no") * CHUNK + 1
-    return each.select("doc_id", "row", "no", F.substring("text", at, F.lit(CHUNK)).alias("body"), F.substring("text", at + CHUNK, F.lit(width)).alias("behind"))
-
-
-def _scan(chunks: DataFrame, path: str, width: int) -> DataFrame:
-    """row, no, enter and leave of each chunk."""
-
-    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pieces(path)
-            m = [own.matrix(a, b).tobytes() for a, b in zip(batch.column("body").to_pylist(), batch.column("behind").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), pa.array(m, pa.binary())], names=["row", "no", "m"])
-
-    def load(blob: bytes) -> np.ndarray:
-        return np.frombuffer(blob).reshape(width, width)
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (row, up), group in grouped(batches, ["row", "up"]):
-            ms = [load(x) for x in group.column("m").to_pylist()]
-            while len(ms) > 1:
-                ms = [product(*ms[i : i + 2]) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([up], pa.int32()), pa.array([ms[0].tobytes()])], names=["row", "no", "m"])
-
-    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (row, _), group in grouped(batches, ["row", "up"]):
-            ms = [load(x) for x in group.column("m").to_pylist()]
-            s = borders(ms, group.column("enter")[0].as_py(), group.column("leave")[0].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row] * len(ms)), pa.array(group.column("no").to_pylist(), pa.int32()), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())],
-                names=["row", "no", "enter", "leave"],
-            )
-
-    up = F.floor(F.col("no") / FAN).cast("int").alias("up")
-    levels = [saved(chunks.select("row", "no", "body", "behind").mapInArrow(transfer, "row string, no int, m binary"), "transfers")]
-    while (levels[-1].agg(F.max("no")).first()[0] or 0) > 0:
-        rows = levels[-1].select("row", "no", "m", up).repartition("row", "up").sortWithinPartitions("row", "up", "no")
-        levels.append(saved(rows.mapInArrow(combine, "row string, no int, m binary"), "transfers"))
-    # a text begins in state 0, and its last piece ends with it
-    states = levels[-1].select("row", "no", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
-    for level in reversed(levels[:-1]):
-        above = states.select(F.col("row").alias("_row"), F.col("no").alias("_no"), "enter", "leave")
-        rows = level.select("row", "no", "m", up).join(above, (F.col("row") == F.col("_row")) & (F.col("up") == F.col("_no")))
-        rows = rows.select("row", "up", "no", "m", "enter", "leave").repartition("row", "up").sortWithinPartitions("row", "up", "no")
-        states = saved(rows.mapInArrow(down, "row string, no int, enter int, leave int"), "states")
-    return states
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (packed little-endian 32-bit integers) of each row of docs.
+    """doc_id, ids (packed little-endian 32-bit integers) of each row of docs: those that the model's library gives.
 
     Null and empty texts have no ids. Texts up to CHUNK characters are encoded where they are read; only giant ones move,
     as chunks, and meet again by row. A row is told by doc_id and text, so rows that repeat both are
-    encoded once for all and appear as often as they occur.
+    encoded once for all and appear as often as they occur. A giant text without a place to cut is one chunk.
     """
-    width = pieces(path).longest
+    least, fan = CHUNK, FAN
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text")
-    giant = F.coalesce(F.length("text"), F.lit(0)) >= CHUNK
+    giant = F.coalesce(F.length("text"), F.lit(0)) >= least
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            vocabulary = pieces(path)
-            ids = vocabulary.encode_all([prepared(t) for t in batch.column("text").to_pylist()])
+        for batch in sliced(batches, TOGETHER):
+            ids = pieces(path).encode_all([prepared(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    short = own.where(~giant).mapInArrow(small, f"doc_id {kind}, ids binary")
-    long = own.where(giant).withColumn("row", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("text")).cast("binary"), 256))
-    chunks = _chunks(long.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")), width)
-    chunks = saved(chunks.repartition("row", "no"), "chunks")
-    states = _scan(chunks, path, width)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
+                bodies = list(pieces(path).chunks(prepared(text.as_py()), least))
+                for a in range(0, len(bodies), fan):
+                    part = bodies[a : a + fan]
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(part)), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part)], names=["row", "no", "body"])
 
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vocabulary = pieces(path)
-            ids = [
-                vocabulary.trace(r["body"], r["behind"], r["enter"], r["leave"]).astype("<i4").tobytes()
-                for r in batch.select(["body", "behind", "enter", "leave"]).to_pylist()
-            ]
+            ids = [pieces(path).encode_all([b])[0] for b in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), pa.array(ids, pa.binary())], names=["row", "no", "ids"])
 
-    traced = chunks.join(states, ["row", "no"]).select("row", "no", "body", "behind", "enter", "leave").mapInArrow(trace, "row string, no int, ids binary")
+    short = own.where(~giant).mapInArrow(small, f"doc_id {kind}, ids binary")
+    long = own.where(giant).withColumn("row", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("text")).cast("binary"), 256))
+    chunks = long.groupBy("row").agg(F.first("text").alias("text")).mapInArrow(cut, "row string, no int, body string")
+    coded = chunks.repartition("row", "no").mapInArrow(each, "row string, no int, ids binary")
     # a document's ids are one value, as its text was
-    joined = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
+    joined = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     joined = joined.select(F.col("row").alias("_row"), F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"))
     giants = long.select("doc_id", "row").join(joined, F.col("row") == F.col("_row")).select("doc_id", "ids")
     return short.unionByName(giants)

@@ -270,3 +270,20 @@ def test_words_learned_together():
     texts = ["".join(words[a : a + 60]) for a in range(0, len(words), 60)]
     want = [b"".join(np.array(one.ids_of(r, one.best(r)[0]), "<i4").tobytes() for r in one.runs(t)) for t in texts]
     assert all_.encode_all(texts) == want and [all_.encode(t).tobytes() for t in texts] == want
+
+
+def test_pieces_are_those_of_the_model(spark, docs, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = ["▁", " ", "a ", "\0a  b", "<s> é\U00010348", "x" * 300, "▁a▁▁b" * 40, "語é" * 90, "aa\n\n\n\tb" * 30]
+    rows = given.unionByName(docs.selectExpr("doc_id - 1000 AS doc_id", "text")).unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(odd, 1)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    for chunk, fan in ((pieces.CHUNK, pieces.FAN), (37, 3)):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        monkeypatch.setattr(pieces, "FAN", fan)
+        got = by_id(pieces.encoded(rows, PIECES))
+        assert got.keys() == texts.keys()
+        for i, t in texts.items():
+            assert np.frombuffer(got[i].ids, "<i4").tolist() == model.encode(t), (chunk, i)
