@@ -14,8 +14,8 @@ from sitequarry.llm.common import grouped, let_go, saved
 from sitequarry.llm.components import components
 
 SHINGLE = 5
-#: A pair at 0.85 shares none of the bands with probability (1 - 0.85 ** ROWS) ** BANDS, about 7e-6.
-BANDS, ROWS = 25, 6
+#: Coordinates of a signature.
+SIZE = 150
 #: Documents with more shingles than a task should hold, or more than so many documents, are compared in blocks.
 BLOCK_SHINGLES, BLOCK_DOCUMENTS = 1 << 19, 256
 
@@ -31,6 +31,15 @@ class Words(dict):
 _KNOWN = Words()
 
 
+def rows_of(percent: int) -> int:
+    """Coordinates of a band: as many as leave a pair at `percent` without a common band with probability 1e-5 at most.
+
+    That is (1 - p ** rows) ** (SIZE // rows): 25 bands of 6 (7e-6) at 0.85, 30 bands of 5 (7e-6) at 0.80.
+    """
+    p = percent / 100
+    return max((r for r in range(1, 7) if (1 - p**r) ** (SIZE // r) <= 1e-5), default=1)
+
+
 def mixed64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,7 +73,7 @@ def second(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(own: np.ndarray, size: int = BANDS * ROWS, block: int = 1024) -> np.ndarray:
+def signature(own: np.ndarray, size: int = SIZE, block: int = 1024) -> np.ndarray:
     """Circulant MinHash: the first permutation orders the elements, the second is applied to their places shifted by 1, 2, … `size`.
 
     The universe is the 32-bit numbers, places wrap around it. Both permutations are bijections.
@@ -77,17 +86,19 @@ def signature(own: np.ndarray, size: int = BANDS * ROWS, block: int = 1024) -> n
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
+def band_keys(sig: np.ndarray, width: int) -> np.ndarray:
+    bands = len(sig) // width
+    rows = sig[: bands * width].reshape(bands, width).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64)
+    for r in range(width):
         key = mixed64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
     return key.view(np.int64)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the whole set as text, null for an empty one) and bands of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    width = rows_of(percent)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +108,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                 n.append(len(own))
                 keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
                 if len(own):
-                    bands.append(band_keys(signature(own)))
-                ends.append(ends[-1] + (BANDS if len(own) else 0))
+                    bands.append(band_keys(signature(own), width))
+                ends.append(ends[-1] + (SIZE // width if len(own) else 0))
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.ListArray.from_arrays(np.array(ends, np.int32), flat)],
@@ -165,7 +176,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     for each two blocks of the group, which give at most a link for each set. Only candidates' texts are read again.
     """
     own = docs.select("doc_id", "text")
-    sketches = saved(sketched(own), "sketches")
+    sketches = saved(sketched(own, percent), "sketches")
     sets = sketches.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("holder"))
     sets = saved(sets, "sets")
     holders = sketches.join(sets, (sketches["doc_id"] == sets["holder"]) & (sketches["set_key"] == sets["set_key"]), "left_semi")

@@ -287,3 +287,20 @@ def test_pieces_are_those_of_the_model(spark, docs, monkeypatch):
         assert got.keys() == texts.keys()
         for i, t in texts.items():
             assert np.frombuffer(got[i].ids, "<i4").tolist() == model.encode(t), (chunk, i)
+
+
+def test_near_stage_drops_pairs_from_80_percent(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = {}
+    for a in range(40):
+        own = [f"{a}{w}" for w in words]
+        other = own[:178] + [f"x{w}" for w in own[178:]]  # 174 of 218 shingles in common: 0.798
+        near = own[:180] + [f"y{w}" for w in own[180:]]  # 176 of 216: 0.815
+        texts |= {3 * a: " ".join(own), 3 * a + 1: " ".join(near), 3 * a + 2: " ".join(other)}
+    sets = {i: set(near_dedup.shingles(t).tolist()) for i, t in texts.items()}
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 80 <= alike(0, 1) < 85 and alike(0, 2) < 80 and alike(1, 2) < 80
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {i for i in texts if i % 3 != 1}
+    assert {r.doc_id for r in near_dedup.near_components(docs).where("kept").collect()} == set(texts)
+    assert near_dedup.rows_of(85) == 6 and near_dedup.rows_of(80) == 5
