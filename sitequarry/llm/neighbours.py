@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitequarry.llm.common import grouped, let_go, saved
+from sitequarry.llm.common import let_go, parts, saved
 
 DEGREE = 20
+#: Rows of starting edges that a partition should have at least, in blocks.
+BLOCKS = 4
 EDGES = "node long, other long, distance double"
 
 
@@ -55,7 +57,8 @@ def squares(x: np.ndarray) -> np.ndarray:
 def first_guess(nodes: DataFrame, dim: int, tables: int, block: int, seed: int) -> DataFrame:
     """Starting edges: points in the order of their signs against random planes, compared in runs of `block` points.
 
-    Runs are cut by position, so that many points with one code are no large group.
+    Runs are cut by position, so that many points with one code are no large group. A partition holds several blocks, so no
+    point is alone in its run; few points make one partition, and up to 2 * block rows make one run, whatever the session's settings are.
     """
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(tables, 12, dim))
@@ -91,8 +94,9 @@ def first_guess(nodes: DataFrame, dim: int, tables: int, block: int, seed: int)
                 yield pa.Table.from_batches(held).combine_chunks()
 
         for run in runs():
-            ids = run.column("node").to_numpy()
-            d = squares(matrix(run.column("v").combine_chunks()))
+            # a run over several tables has a point several times
+            ids, first = np.unique(run.column("node").to_numpy(), return_index=True)
+            d = squares(matrix(run.column("v").combine_chunks())[first])
             np.fill_diagonal(d, np.inf)
             k = min(DEGREE, len(ids) - 1)
             if k < 1:
@@ -101,8 +105,9 @@ def first_guess(nodes: DataFrame, dim: int, tables: int, block: int, seed: int)
             yield edge_batch(np.repeat(ids, k), ids[near.ravel()], np.take_along_axis(d, near, axis=1).ravel())
 
     coded = nodes.mapInArrow(code, "t int, place double, node long, v array<double>")
-    spread = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.repartitionByRange(spread, "t", "place").sortWithinPartitions("t", "place").select("node", "v")
+    spread = min(parts(nodes.sparkSession), nodes.count() * tables // (BLOCKS * block))
+    dealt = coded.repartitionByRange(spread, "t", "place") if spread > 1 else coded.coalesce(1)
+    ordered = dealt.sortWithinPartitions("t", "place").select("node", "v")
     return ordered.mapInArrow(compare, EDGES)
 
 

@@ -304,3 +304,29 @@ def test_near_stage_drops_pairs_from_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {i for i in texts if i % 3 != 1}
     assert {r.doc_id for r in near_dedup.near_components(docs).where("kept").collect()} == set(texts)
     assert near_dedup.rows_of(85) == 6 and near_dedup.rows_of(80) == 5
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_neighbours_of_few_points(spark, monkeypatch, n):
+    dice = np.random.default_rng(n)
+    points = [dice.normal(size=8).astype(np.float32).tolist() for _ in range(n)]
+    rows = [(100 * i + j, p) for i, p in enumerate(points) for j in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    nodes, _ = neighbours.points(frame, 11)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        edges = neighbours.first_guess(nodes, 8, tables=4, block=256, seed=5).select("node", "other").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    degrees = Counter(r.node for r in edges)
+    assert len(edges) == len(set(edges)) and all(r.node != r.other for r in edges)
+    assert degrees == Counter({100 * i: min(n - 1, neighbours.DEGREE) for i in range(n) if n > 1})
+    monkeypatch.setattr(neighbours, "let_go", lambda spark: None)
+    got = {}
+    for r in neighbours.neighbours(frame, rounds=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    live = {i: np.array(v) for i, v in rows}
+    for q in range(0, 100 * n, 100):
+        want = sorted((float(np.sqrt(((live[i] - live[q]) ** 2).sum())), i) for i in live if i != q)[:10]
+        assert sorted(got[q]) == [(k, i) for k, (_, i) in enumerate(want, 1)]
