@@ -330,3 +330,8 @@ def test_neighbours_of_few_points(spark, monkeypatch, n):
     for q in range(0, 100 * n, 100):
         want = sorted((float(np.sqrt(((live[i] - live[q]) ** 2).sum())), i) for i in live if i != q)[:10]
         assert sorted(got[q]) == [(k, i) for k, (_, i) in enumerate(want, 1)]
+
+
+def test_best_names_an_other_once(spark):
+    edges = spark.createDataFrame([(1, j, j + e) for j in range(2, 40) for e in (0.0, 1e-12, 2e-12)], "node long, other long, distance double")
+    assert sorted((r.other, r.distance) for r in neighbours.best(edges).collect()) == [(j, float(j)) for j in range(2, 22)]
