@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitequarry.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, pieces, quality, suffix_dedup, token_records, warc
+from sitequarry.llm import (
+    exact_dedup, line_dedup, mixing, near_dedup, negatives, neighbours, packing, pieces, quality, suffix_dedup, token_records, warc, whitening,
+)
 from sitequarry.llm.common import table
 
 
@@ -51,6 +54,21 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(table(spark, folder, "documents"), path)[1].drop("row")
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.components_of(table(spark, folder, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -62,6 +80,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLES = {
@@ -69,4 +90,5 @@ ORACLES = {
     "op3_warc": warc.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op13_negatives": negatives.SQL,
 }
