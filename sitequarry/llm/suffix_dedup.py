@@ -10,8 +10,9 @@ Everything moves as packed rows of numpy arrays, addressed to a bucket of anchor
 2. A bucket tells each group of documents which of its anchors occur in two documents or more.
 3. A group cuts the segments of those anchors and sends each different one once, with its smallest doc_id; other documents of the
    group that hold it know already that they have to drop it.
-4. A bucket sorts the suffixes of its segments, expands intervals on their Burrows-Wheeler transform until all
-   common prefixes under LENGTH are known, and so has the classes of equal strings. It tells groups which are covered.
+4. A bucket settles segments that are equal as a whole, keeping one. It sorts the suffixes of those that differ, expands intervals on
+   their Burrows-Wheeler transform until all common prefixes under LENGTH are known, and so has the classes of
+   equal strings. It tells groups which are covered.
 5. A group merges the covered ranges of its documents and cuts them out.
 """
 
@@ -32,9 +33,9 @@ from sitequarry.llm.common import let_go, saved, sliced, text_bytes
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text of a group of documents and of a bucket of anchors. Their numbers grow with the corpus.
-GROUP_BYTES = 4 << 20
-#: Suffixes that are sorted at a time.
-SUFFIXES = 1 << 20
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Suffixes that are sorted at a time, and bytes of text whose anchors are found at a time.
+SUFFIXES, PART = 1 << 17, 1 << 18
 PACKED = "to_group boolean, key int, kind int, blob binary"
 
 
@@ -43,9 +44,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every string of LENGTH bytes in `data`: the hash of its anchor and the anchor's place."""
+def runs(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that lie in `data` one behind the other: every run of strings that share an anchor, in order.
+
+    Number of the text, hash of the anchor, first and last start in the text, and the anchor's distance from the first start.
+    """
     n = len(data) - GRAM + 1
+    strings = np.maximum(sizes - LENGTH + 1, 0)
+    if not strings.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     power = data.astype(np.uint64) + np.uint64(1)
     # hashes of 1, 2, 4, … bytes, doubled by shifting and adding
     step, factor = 1, 0x9E3779B97F4A7C15
@@ -53,37 +60,37 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power = power[:-step] * np.uint64(factor) + power[step:]
         step, factor = step * 2, factor * factor & 0xFFFFFFFFFFFFFFFF
     h = mixed(power)
-    low, width = h, 1
+    # half of the hash and the place behind it: the smallest is the first of those with the smallest half
+    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    width = 1
     while width * 2 <= WINDOW:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[: n - WINDOW + 1], low[WINDOW - width : n - width + 1])
-    # the first place of the smallest hash at or behind each start
-    hit = np.empty(len(low), np.int64)
-    order = np.argsort(h, kind="stable")
-    value = h[order]
-    left = np.searchsorted(value, low, side="left")
-    single = np.ones(len(value), bool)
-    single[1:] &= value[1:] != value[:-1]
-    single[:-1] &= value[1:] != value[:-1]
-    one = single[left]
-    hit[one] = order[left[one]]
-    rest = np.flatnonzero(~one)
-    if len(rest):
-        # hashes that occur more than once, in the order of (hash, place): the first at or behind the start
-        many, kinds = order[~single], np.unique(value[~single])
-        code = np.searchsorted(kinds, h[many]) * (n + 1) + many
-        hit[rest] = many[np.searchsorted(code, np.searchsorted(kinds, low[rest]) * (n + 1) + rest)]
-    return low, hit
-
-
-def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last start of every run of strings that share an anchor place."""
-    low, hit = anchors(data)
-    edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
-    first = np.concatenate([[0], edge])
-    last = np.concatenate([edge, [len(hit)]]) - 1
-    return low[first], first, last
+    hit = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    edge = np.zeros(len(hit) + 1, bool)
+    edge[1:-1] = hit[1:] != hit[:-1]
+    some = strings > 0
+    edge[starts[some]] = edge[starts[some] + strings[some]] = True
+    first = np.flatnonzero(edge[:-1])
+    last = np.append(first[1:], len(hit)) - 1
+    text = np.searchsorted(ends, first, side="right")
+    real = first - starts[text] < strings[text]  # others cross the end of a text
+    first, last, text = first[real], last[real], text[real]
+    return text, h[hit[first]], first - starts[text], last - starts[text], hit[first] - first
+
+
+def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The runs of all texts, in parts that fit a processor's cache; a longer text is a part of its own."""
+    a, sizes = 0, np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART, side="right")))
+        text, *rest = runs(sizes[a:b], np.frombuffer(b"".join(texts[a:b]), np.uint8))
+        yield text + a, *rest
+        a = b
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -97,11 +104,11 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(blob[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds, strict=True)]
 
 
-def dealt(keys: np.ndarray, count: int) -> list[tuple[int, np.ndarray]]:
-    """Indices by key, for keys under `count`."""
+def dealt(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Indices by key, for the keys that occur."""
     order = np.argsort(keys, kind="stable")
-    cut = np.searchsorted(keys[order], np.arange(count + 1))
-    return [(k, order[cut[k] : cut[k + 1]]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else order
+    return [(int(keys[order[a]]), order[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
 
 
 def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -118,7 +125,7 @@ def packed_texts(docs: DataFrame, groups: int) -> DataFrame:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             out = [
                 (True, g, 0, pack(ids[own], np.array([len(texts[i]) for i in own], np.int64), squeeze.compress(b"".join(texts[i] for i in own))))
-                for g, own in dealt(group_of(ids, groups), groups)
+                for g, own in dealt(group_of(ids, groups))
             ]
             yield rows(out)
             del texts, out
@@ -134,7 +141,8 @@ def rows(out: list[tuple[bool, int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def documents_of(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+def documents_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, turns and texts of a group's documents. Rows of one id with other texts have turns from 0, by text; equal rows share one."""
     ids, texts = [], []
     for blob in blobs:
         own, sizes, data = unpack(blob, np.int64, np.int64, np.uint8)
@@ -144,7 +152,13 @@ def documents_of(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         texts.extend(data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
     ids = np.concatenate(ids)
     order = np.argsort(ids, kind="stable")
-    return ids[order], [texts[i] for i in order.tolist()]
+    if (np.diff(ids[order]) == 0).any():
+        order = np.array(sorted(order.tolist(), key=lambda i: (ids[i], texts[i])))
+    ids, texts = ids[order], [texts[i] for i in order.tolist()]
+    turns = np.zeros(len(ids), np.int64)
+    for i in (np.flatnonzero(np.diff(ids) == 0) + 1).tolist():
+        turns[i] = turns[i - 1] + (texts[i] != texts[i - 1])
+    return ids, turns, texts
 
 
 def sent_anchors(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
@@ -153,18 +167,14 @@ def sent_anchors(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            hashes, owners = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                if len(data) >= LENGTH:
-                    hashes.append(np.unique(runs(data)[0]))
-                    owners.append(np.full(len(hashes[-1]), i, np.uint32))
-            if hashes:
-                h, owner = np.concatenate(hashes), np.concatenate(owners)
-                small = np.uint16 if len(ids) <= 1 << 16 else np.uint32
-                yield rows(
-                    [(False, b, 1, pack(ids, h[own], owner[own].astype(small), np.array([small().itemsize]))) for b, own in dealt((h % np.uint64(buckets)).astype(np.int64), buckets)]
-                )
+            found = list(runs_of([(t or "").encode() for t in batch.column("text").to_pylist()]))
+            owner, h = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            order = np.lexsort((owner, h))
+            owner, h = owner[order], h[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
+            owner, h = owner[new], h[new]
+            small = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+            yield rows([(False, b, 1, pack(ids, h[own], owner[own].astype(small), np.array([small().itemsize]))) for b, own in dealt((h % np.uint64(buckets)).astype(np.int64))])
 
     return docs.mapInArrow(each, PACKED)
 
@@ -183,56 +193,54 @@ def shared_anchors(key: tuple, blobs: list[bytes], groups: int) -> list[tuple[bo
     differ = np.maximum.reduceat(owner, begin) != np.minimum.reduceat(owner, begin)
     keep = np.repeat(differ, np.diff(np.append(begin, len(h))))
     h, group = h[keep], group_of(owner[keep], groups)
-    return [(True, g, 1, pack(np.unique(h[own]))) for g, own in dealt(group, groups)]
+    return [(True, g, 1, pack(np.unique(h[own]))) for g, own in dealt(group)]
 
 
 def cut_segments(blobs: dict[int, list[bytes]], buckets: int, group: int) -> Iterator[tuple[bool, int, int, bytes]]:
     """Step 3: each different segment of a shared anchor once, to its bucket; what the group itself knows to be covered."""
-    ids, texts = documents_of(blobs[0])
+    ids, turns, texts = documents_of(blobs[0])
     wanted = np.unique(np.concatenate([unpack(b, np.uint64)[0] for b in blobs.get(1, [])] or [np.zeros(0, np.uint64)]))
+    if not len(wanted):
+        return
     seen: dict[bytes, int] = {}
-    cover: list[tuple[int, int, int]] = []
-    out: dict[int, list[tuple[bytes, int, int, int]]] = {}
-    for doc, text in zip(ids.tolist(), texts, strict=True):
-        if len(text) < LENGTH or not len(wanted):
-            continue
-        h, first, last = runs(np.frombuffer(text, np.uint8))
-        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        for i in np.flatnonzero(wanted[at] == h).tolist():
-            a, b = int(first[i]), int(last[i]) + LENGTH
-            segment, i_hash = text[a:b], int(h[i])
-            holder = seen.setdefault(segment, doc)
-            if holder != doc:
-                cover.append((doc, a, b))
+    cover: list[tuple[int, int, int, int]] = []
+    out: dict[int, list[tuple[bytes, int, int, int, int, int]]] = {}
+    ids_, turns_ = ids.tolist(), turns.tolist()
+    for found in runs_of(texts):
+        shared = wanted[np.minimum(np.searchsorted(wanted, found[1]), len(wanted) - 1)] == found[1]
+        for i, h, a, b, at in zip(*(f[shared].tolist() for f in found), strict=True):
+            segment, doc = texts[i][a : b + LENGTH], ids_[i]
+            if seen.setdefault(segment, doc) != doc:
+                cover.append((doc, turns_[i], a, b + LENGTH))
             else:  # documents come in ascending order: this is the group's smallest
-                out.setdefault(i_hash % buckets, []).append((segment, doc, a, i_hash))
+                out.setdefault(h % buckets, []).append((segment, h, doc, turns_[i], a, at))
     if cover:
         yield True, group, 2, pack(np.array(cover, np.int64))
-    for bucket, found in out.items():
-        yield False, bucket, 2, pack(
-            np.array([len(x[0]) for x in found], np.int64),
-            zstandard.compress(b"".join(x[0] for x in found), 3),
-            np.array([(d, a, group) for _, d, a, _ in found], np.int64),
-            np.array([x[3] for x in found], np.uint64),
-        )
+    for bucket, some in out.items():
+        segment, h, doc, turn, first, at = zip(*some, strict=True)
+        sizes = np.array([len(x) for x in segment], np.int64)
+        inner = pack(np.array(h, np.uint64), np.array(doc, np.int64), np.array(turn, np.int32), np.array(first, np.int32), np.array(at, np.int8), b"".join(segment))
+        yield False, bucket, 2, pack(np.array([group], np.int64), sizes.astype(np.int16), zstandard.compress(inner, 3), np.array([len(inner)]))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of `text` (symbols from 0, zeros behind its end) in the order of their first 56 symbols."""
+    """Suffixes of `text` (symbols from 0, zeros behind its end) in the order of their first LENGTH symbols, or more."""
     n = len(text)
-    rank, width = text.astype(np.int64), 0
-    while width < 56:
-        # seven symbols under 512 fit a key, then pairs of ranks do
+    rank, width, fold = text.astype(np.int64), 1, 7
+    while width < LENGTH:
+        # seven symbols under 512 fit a key, then three ranks under 2**21 do, or two of any
         base = int(rank.max()) + 1
+        fold = 7 if width == 1 else 3 if base < 1 << 21 else 2
         key = rank.copy()
-        for ahead in range(1, 7) if not width else (width,):
+        for ahead in range(width, fold * width, width):
             key *= base
             key[: max(0, n - ahead)] += rank[ahead:]
         order = np.argsort(key)
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        width = 2 * width or 7
+        width *= fold
+        if width < LENGTH:
+            sorted_key = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
     return order
 
 
@@ -300,82 +308,102 @@ def covered_windows(segments: list[bytes], holder: np.ndarray) -> list[np.ndarra
 def match_segments(blobs: list[bytes]) -> Iterator[tuple[bool, int, int, bytes]]:
     """Step 4: the covered ranges of a bucket's segments, told to the groups that sent them.
 
-    Strings of different anchors never meet, so a bucket is worked off in parts of whole anchors under SUFFIXES; where
-    one anchor alone has more, its strings are taken apart by their own hashes, which any number can be.
+    Strings of different anchors never meet. So an anchor whose segments are left with one document, once equal ones are settled, is
+    done, and the others are worked off in parts of whole anchors under SUFFIXES; one that alone has more is taken apart.
     """
     segments: list[bytes] = []
-    owners, hashes = [], []
+    columns: list[tuple[np.ndarray, ...]] = []
     for blob in blobs:
-        sizes, data, owner, h = unpack(blob, np.int64, np.uint8, np.int64, np.uint64)
-        hashes.append(h)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        raw = zstandard.decompress(data.tobytes(), max_output_size=ends[-1] + 1)
-        segments.extend(raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
-        owners.append(owner.reshape(-1, 3))
-    owner = np.concatenate(owners)
-    found: list[tuple[int, int, int, int]] = []
-    # equal segments are sorted once, for the smallest document that has them; others have to drop all of theirs
-    first: dict[bytes, int] = {}
-    alive = []
-    for i in np.argsort(owner[:, 0], kind="stable").tolist():
-        j = first.setdefault(segments[i], i)
-        if owner[j, 0] == owner[i, 0]:
-            alive.append(i)
+        group, sizes, inner, size = unpack(blob, np.int64, np.int16, np.uint8, np.int64)
+        h, *rest, data = unpack(zstandard.decompress(inner.tobytes(), max_output_size=int(size[0])), np.uint64, np.int64, np.int32, np.int32, np.int8, np.uint8)
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        raw = data.tobytes()
+        segments.extend(raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+        columns.append((h, *(c.astype(np.int64) for c in rest), np.full(len(h), group[0])))
+    h, doc, turn, start, at, group = (np.concatenate(c) for c in zip(*columns, strict=True))
+    found: list[np.ndarray] = []
+
+    def covered(i: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Bytes a to b of the segments i are covered."""
+        found.append(np.stack([group[i], doc[i], turn[i], start[i] + a, start[i] + b], axis=1))
+
+    def settled(pieces: list[bytes], own: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Which pieces (of the segments own, from a on) stay: of equal ones those of the smallest document; the others are covered whole."""
+        docs = doc[own]
+        order = np.argsort(docs, kind="stable")
+        first: dict[bytes, int] = {}
+        of = np.empty(len(own), np.int64)
+        for i, d in zip(order.tolist(), docs[order].tolist(), strict=True):
+            of[i] = first.setdefault(pieces[i], d)
+        gone = np.flatnonzero(of != docs)
+        if len(gone):
+            covered(own[gone], a[gone], a[gone] + np.array([len(pieces[i]) for i in gone.tolist()]))
+        return np.flatnonzero(of == docs)
+
+    def work(pieces: list[bytes], own: np.ndarray, a: np.ndarray) -> None:
+        which, begin, end = [], [], []
+        for k, hit in enumerate(covered_windows(pieces, doc[own])):
+            if hit.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                which.extend([k] * (len(edge) // 2))
+                begin.extend(edge[0::2].tolist())
+                end.extend(edge[1::2].tolist())
+        if which:
+            covered(own[which], a[which] + np.array(begin), a[which] + np.array(end) - 1 + LENGTH)
+
+    def apart(own: np.ndarray, low: int, high: int) -> None:
+        """Strings of one frequent anchor that begin low to high bytes behind it, by halves of that range until they fit.
+
+        Their pieces overlap by a string at most, and equal pieces are settled in each half; pieces of one string each are settled by that alone.
+        """
+        size = np.array([len(segments[i]) for i in own.tolist()])
+        a, b = np.maximum(at[own] + low, 0), np.minimum(at[own] + high + LENGTH, size)
+        some = b - a >= LENGTH
+        own, a, b = own[some], a[some], b[some]
+        pieces = [segments[i][p:q] for i, p, q in zip(own.tolist(), a.tolist(), b.tolist(), strict=True)]
+        left = settled(pieces, own, a)
+        pieces, own, a = [pieces[i] for i in left.tolist()], own[left], a[left]
+        if low == high or len(np.unique(doc[own])) < 2:
+            return
+        if sum(map(len, pieces)) <= SUFFIXES:
+            work(pieces, own, a)
         else:
-            found.append((int(owner[i, 2]), int(owner[i, 0]), int(owner[i, 1]), int(owner[i, 1]) + len(segments[i])))
-    anchor = np.concatenate(hashes)[alive]
-    segments, owner = [segments[i] for i in alive], owner[alive]
-    total = sum(map(len, segments))
-
-    def work(own: list[int]) -> None:
-        for i, hit in zip(own, covered_windows([segments[i] for i in own], owner[own, 0]), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            found.extend((int(owner[i, 2]), int(owner[i, 0]), int(owner[i, 1] + a), int(owner[i, 1] + b - 1 + LENGTH)) for a, b in edge.reshape(-1, 2).tolist())
-
-    if total <= SUFFIXES:
-        work(list(range(len(segments))))
-    else:
-        order = np.argsort(anchor, kind="stable")
-        size = np.array([len(segments[i]) for i in order.tolist()])
-        change = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
-        weight = np.add.reduceat(size, change)
-        held: list[int] = []
-        held_size = 0
-        for a, b, w in zip(change.tolist(), [*change[1:].tolist(), len(order)], weight.tolist(), strict=True):
-            if w > SUFFIXES:
-                apart(order[a:b].tolist(), segments, owner, found)
-                continue
-            if held_size + w > SUFFIXES and held:
-                work(held)
-                held, held_size = [], 0
-            held.extend(order[a:b].tolist())
-            held_size += w
+            middle = (low + high) // 2
+            apart(own, low, middle)
+            apart(own, middle + 1, high)
+
+    left = settled(segments, np.arange(len(segments)), np.zeros(len(segments), np.int64))
+    left = left[np.argsort(h[left], kind="stable")]
+    size = np.array([len(segments[i]) for i in left.tolist()], np.int64)
+    change = np.flatnonzero(np.concatenate([[True], h[left][1:] != h[left][:-1]])) if len(left) else left
+    docs = doc[left]
+    several = np.maximum.reduceat(docs, change) != np.minimum.reduceat(docs, change) if len(left) else change
+    weight = np.add.reduceat(size, change) if len(left) else change
+    held, held_size = [], 0
+
+    def flush() -> None:
         if held:
-            work(held)
+            own = np.concatenate(held)
+            work([segments[i] for i in own.tolist()], own, np.zeros(len(own), np.int64))
+
+    for a, b, w, more in zip(change.tolist(), [*change[1:].tolist(), len(left)], weight.tolist(), several.tolist(), strict=True):
+        if not more:
+            continue
+        if w > SUFFIXES:
+            apart(left[a:b], 1 - WINDOW, 0)
+            continue
+        if held_size + w > SUFFIXES:
+            flush()
+            held, held_size = [], 0
+        held.append(left[a:b])
+        held_size += w
+    flush()
     if found:
-        table = np.array(found, np.int64)
-        for g, own in dealt(table[:, 0], int(table[:, 0].max()) + 1):
+        table = np.concatenate(found)
+        for g, own in dealt(table[:, 0]):
             yield True, g, 2, pack(table[own, 1:])
 
 
-def apart(own: list[int], segments: list[bytes], owner: np.ndarray, found: list) -> None:
-    """Strings of one very frequent anchor, each on its own, in parts by hash."""
-    parts = 1 + sum(len(segments[i]) - LENGTH + 1 for i in own) * (LENGTH + 1) // SUFFIXES
-    for part in range(parts):
-        strings, where = [], []
-        for i in own:
-            s = segments[i]
-            for a in range(len(s) - LENGTH + 1):
-                w = s[a : a + LENGTH]
-                if int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % parts == part:
-                    strings.append(w)
-                    where.append((owner[i, 2], owner[i, 0], owner[i, 1] + a))
-        if strings:
-            at = np.array(where, np.int64)
-            hit = np.concatenate(covered_windows(strings, at[:, 1]))
-            found.extend((g, d, p, p + LENGTH) for g, d, p in at[hit].tolist())
-
-
 def merged(ranges: np.ndarray) -> np.ndarray:
     """Maximal runs of the ranges (first, end)."""
     ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
@@ -387,12 +415,20 @@ def merged(ranges: np.ndarray) -> np.ndarray:
 
 def remaining(blobs: dict[int, list[bytes]]) -> Iterator[tuple[int, int, np.ndarray, bytes]]:
     """Step 5: doc_id, length, removed runs and remaining bytes of each document of a group."""
-    ids, texts = documents_of(blobs[0])
-    cover = np.concatenate([unpack(b, np.int64)[0].reshape(-1, 3) for b in blobs.get(2, [])] or [np.zeros((0, 3), np.int64)])
-    cover = cover[np.argsort(cover[:, 0], kind="stable")]
-    for doc, text in zip(ids.tolist(), texts, strict=True):
-        a, b = np.searchsorted(cover[:, 0], [doc, doc + 1])
-        gone = merged(cover[a:b, 1:]) if b > a else np.zeros((0, 2), np.int64)
+    ids, turns, texts = documents_of(blobs[0])
+    cover = np.concatenate([unpack(b, np.int64)[0].reshape(-1, 4) for b in blobs.get(2, [])] or [np.zeros((0, 4), np.int64)])
+    cover = cover[np.lexsort((cover[:, 1], cover[:, 0]))]
+    # documents and cover are in one order: a row's place in the documents, found by its id and then its turn
+    place = np.searchsorted(ids, cover[:, 0]) if len(ids) else np.zeros(0, np.int64)
+    for k in np.flatnonzero(cover[:, 1] > 0).tolist():
+        place[k] += int(np.searchsorted(turns[place[k] : np.searchsorted(ids, cover[k, 0], side="right")], cover[k, 1]))
+    edges = np.searchsorted(place, np.arange(len(ids) + 1))
+    last = None
+    for i, (doc, turn, text) in enumerate(zip(ids.tolist(), turns.tolist(), texts, strict=True)):
+        if last is None or last[:2] != (doc, turn):  # equal rows are cut alike
+            last = doc, turn, i
+        a, b = edges[last[2]], edges[last[2] + 1]
+        gone = merged(cover[a:b, 2:]) if b > a else np.zeros((0, 2), np.int64)
         ends = [0, *gone.ravel().tolist(), len(text)]
         yield doc, len(text), gone, b"".join(text[p:q] for p, q in zip(ends[0::2], ends[1::2], strict=True))
 
@@ -401,12 +437,12 @@ def suffix_dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     """For each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked, spans and kept).
 
     Each byte covered by a LENGTH-byte string that also starts in a document with a smaller doc_id is removed. A null
-    text is an empty one. Rows that repeat a doc_id must be equal; each gets its row. Rows without a doc_id are left whole and
-    cover nothing.
+    text is an empty one. Rows that repeat a doc_id are documents of that id each: they cover nothing of each other, and each
+    gets its row. Rows without a doc_id are left whole and cover nothing.
     """
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = text_bytes(own)
-    groups = buckets = 1 + total // GROUP_BYTES
+    groups, buckets = 1 + total // GROUP_BYTES, 1 + total // BUCKET_BYTES
     texts = packed_texts(own, groups)
 
     def each_bucket(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
