@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sitequarry.llm.byte_pairs import letters
 from sitequarry.llm.common import commit, parts, place_of, saved, sliced
 from sitequarry.session import fresh_dir
 
@@ -93,52 +94,88 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return (((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(0xA282EAD8)).astype("<u4")
 
 
+#: The parts of a tokenizer file that Tokens knows how to run word by word.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
 class Tokens:
     """Ids of whole texts from a tokenizer of the tokenizers library, as packed little-endian integers.
 
-    Its normalizer and its split never look across ASCII white space, so words are encoded once and remembered, and so are the
-    pieces into which its own pattern cuts them. Texts with letters beyond Latin or with control characters,
-    where normal forms or cases may differ, are encoded whole. Both memories are emptied when they are full.
+    If the file has just the parts above, nothing looks across ASCII white space, so words are encoded once and remembered.
+    Texts with letters beyond Latin or with control characters, where normal forms or cases may differ, are encoded whole by the library, as are
+    all texts if the file has other parts. Words are remembered in two generations: when the first is full it takes the place of
+    the second, and words found there move up.
     """
 
     PLAIN = regex.compile("[\t-\r -~¡-¬®-įı-ɏ]*")
 
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 300_000):
+    def __init__(self, path: str, words: int = 400_000):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.letters = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cut = regex.compile(json.loads(Path(path).read_text())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.cut = regex.compile(SPLIT)
+        self.model = self._model(json.loads(Path(path).read_text()))
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.limits = words, pieces
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece that is cut and in lower case already, straight from the model."""
-        if not piece.isascii():
-            piece = self.letters.pre_tokenize_str(piece)[0][0]
-        return np.array([k.id for k in self.model.tokenize(piece)], dtype=self.kind).tobytes()
+        self.past: dict[bytes, bytes] = {}
+        self.limit = words
+
+    def _model(self, parts: dict):
+        """The merges as tiktoken runs them, with a zero byte for the word end; None if the file has other parts."""
+        model, split = parts["model"], parts["pre_tokenizer"]
+        known = (parts["normalizer"] or {}).get("normalizers") == NORMAL and (split or {}).get("type") == "Sequence" and len(split["pretokenizers"]) == 2
+        if not known or model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END:
+            return None
+        cut, letter = split["pretokenizers"]
+        known = cut == {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+        known = known and letter["type"] == "ByteLevel" and not letter["add_prefix_space"] and not letter["use_regex"]
+        if not known or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
+            return None
+        of = letters()
+        ranks = {}
+        for token, i in model["vocab"].items():
+            plain = token.removesuffix(WORD_END)
+            if token not in {t["content"] for t in parts["added_tokens"]}:
+                ranks[bytes(of[c] for c in plain) + b"\0" * (plain != token)] = i
+        ends = [ranks.get(bytes([b, 0])) for b in range(256)]
+        join = lambda pair: (pair if isinstance(pair, list) else pair.split(" "))
+        merged = [model["vocab"].get("".join(join(m))) for m in model["merges"]]
+        # merges must come in the order of their ids, behind the bytes that take the word end
+        if None in ends or None in merged or merged != sorted(set(merged)) or max(ends) > merged[0] or len(ranks) != 512 + len(merged):
+            return None
+        import tiktoken
+
+        self.line = ranks[b"\n"]
+        return tiktoken.Encoding("file", pat_str=r"[^\x00\n]+\x00|\n", mergeable_ranks=ranks, special_tokens={})
+
+    def _learn(self, new: list[bytes]) -> None:
+        """All new words in one go: pieces get the word end behind them, and the id of a line end stands between words."""
+        marked = self.cut.sub("\\g<0>\0", b"\n".join([*new, b""]).decode().lower())
+        ids = np.array(self.model.encode_ordinary(marked), self.kind)
+        last = np.flatnonzero(ids == self.line)
+        data, size = ids.tobytes(), self.kind.itemsize
+        first = [0, *((last[:-1] + 1) * size).tolist()]
+        self.words.update((w, data[a:b]) for w, a, b in zip(new, first, (last * size).tolist(), strict=True))
 
     def many(self, texts: list[str]) -> list[bytes]:
-        plain = [self.PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        plain = [self.model is not None and self.PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         split = [t.encode().split() if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.words) > self.limits[0]:
-            self.words.clear()
-        if len(self.pieces) > self.limits[1]:
-            self.pieces.clear()
-        new = list(set(chain.from_iterable(s for s in split if s)).difference(self.words))
-        cut = [self.cut.findall(w.decode().lower()) for w in new]
-        self.pieces.update((p, self._piece(p)) for p in set(chain.from_iterable(cut)).difference(self.pieces))
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
-        self.words.update((w, b"".join(map(piece, c))) for w, c in zip(new, cut, strict=True))
-        rest = iter(self._pack([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [next(rest) if s is None else b"".join(map(word, s)) for s in split]
+        if len(self.words) > self.limit:
+            self.past, self.words = self.words, {}
+        new = set(chain.from_iterable(s for s in split if s)).difference(self.words)
+        if self.past:
+            again = new.intersection(self.past)
+            self.words.update((w, self.past[w]) for w in again)
+            new -= again
+        if new:
+            self._learn(list(new))
+        word = self.words.__getitem__
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        others = iter([np.array(e.ids, dtype=self.kind).tobytes() for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)])
+        return [next(others) if s is None else b"".join(map(word, s)) for s in split]
 
 
 _READY: dict[str, Tokens] = {}
@@ -159,7 +196,8 @@ def write_records(docs: DataFrame, path: str, end: int, folder: str) -> DataFram
 
     Returned: part (the order of files), file, index, n_docs, n_tokens, and base, the ids in all files before. Documents are
     dealt by ranges of doc_id before they are encoded, so that ids are made once and never shuffled.
-    A null text is an empty one, a null doc_id comes first and is written as the smallest number.
+    A null text is an empty one, a null doc_id comes first and is written as the smallest number. Rows that repeat a doc_id come in
+    the order of their texts' digests, so that reruns agree; they are dealt by range together with it, so no file starts between them.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
@@ -193,7 +231,8 @@ def write_records(docs: DataFrame, path: str, end: int, folder: str) -> DataFram
             names=["part", "file", "index", "n_docs", "n_tokens"],
         )
 
-    own = docs.select("doc_id", "text").repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts(spark), "doc_id")
+    own = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = saved(own.mapInArrow(write, "part long, file string, index string, n_docs long, n_tokens long"), "record-files")
     # a row per file
     return files.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens"))
