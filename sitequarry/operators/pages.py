@@ -51,18 +51,19 @@ def request_plan(routes: DataFrame, page_counts: DataFrame | None = None, page_s
 
 
 def next_requests(
-    routes: DataFrame, pages: DataFrame, retry_count: int = RETRY_COUNT, page_size: int = PAGE_SIZE
+    routes: DataFrame, pages: DataFrame, retry_count: int = RETRY_COUNT, page_size: int = PAGE_SIZE, ahead: int = 1
 ) -> DataFrame:
     """What a run asks for next: for each open list route its first page without a success, and the attempt's number.
 
     `pages` comes from resolve_retries. A route is closed by a page that stops it, by the announced number of pages, or
-    by a page whose tries are used up.
+    by a first open page whose tries are used up. With `ahead` over 1 the pages behind the first are asked for too: up to the announced
+    number, or `ahead` in all where none is announced; pages that have an answer or no try left are not asked for again.
     """
     planned = routes.where("action = 'list'").select(*ROUTE, "url")
     good = pages.where("NOT failed")
     after = good.where("stop IS NULL").select(*ROUTE, (F.col("page") + 1).alias("page"))
-    ahead = planned.select(*ROUTE, F.lit(1).alias("page")).unionByName(after).join(good.select(*PAGE), PAGE, "left_anti")
-    ahead = ahead.groupBy(*ROUTE).agg(F.min("page").alias("page"))
+    first = planned.select(*ROUTE, F.lit(1).alias("page")).unionByName(after).join(good.select(*PAGE), PAGE, "left_anti")
+    first = first.groupBy(*ROUTE).agg(F.min("page").alias("page"))
     ends = pages.groupBy(*ROUTE).agg(
         F.min(F.when(~F.col("failed") & F.col("stop").isNotNull(), F.col("page"))).alias("first_stop"),
         F.max("total_pages").alias("total_pages"),
@@ -70,8 +71,19 @@ def next_requests(
     tried = pages.where("failed").select(*PAGE, "tries")
     announced = F.when(F.col("total_pages") != 0, F.greatest("total_pages", F.lit(1)))
     is_open = ~F.coalesce((F.col("first_stop") < F.col("page")) | (F.col("page") > announced), F.lit(False))
-    joined = planned.join(ahead, ROUTE).join(ends, ROUTE, "left").join(tried, PAGE, "left")
-    return joined.where(is_open & (F.coalesce("tries", F.lit(0)) < retry_count)).select(
+    joined = planned.join(first, ROUTE).join(ends, ROUTE, "left").join(tried, PAGE, "left")
+    wanted = joined.where(is_open & (F.coalesce("tries", F.lit(0)) < retry_count))
+    if ahead > 1:
+        known = F.when(announced <= MOST_PAGES, announced)
+        last = F.least(F.coalesce(known, F.col("page") + (ahead - 1)), F.col("first_stop") - 1)
+        spans = wanted.select(*ROUTE, "url", "page", F.greatest("page", last).cast("bigint").alias("last"))
+        # long spans are cut into blocks before they become pages
+        blocks = spans.withColumn("block", F.explode(F.sequence(_block(F.col("page")), _block(F.col("last"))))).repartition(*ROUTE, "block")
+        begin = F.greatest(F.col("page").cast("bigint"), F.col("block") * PAGE_BLOCK + 1)
+        inside = F.sequence(begin, F.least("last", (F.col("block") + 1) * PAGE_BLOCK))
+        spread = blocks.select(*ROUTE, "url", F.explode(inside).alias("page")).withColumn("page", F.col("page").cast("int"))
+        wanted = spread.join(good.select(*PAGE), PAGE, "left_anti").join(tried, PAGE, "left").where(F.coalesce("tries", F.lit(0)) < retry_count)
+    return wanted.select(
         *ROUTE,
         F.lit("list").alias("kind"),
         urls.page_url(F.col("url"), F.col("page"), page_size).alias("url"),
@@ -137,6 +149,15 @@ def resolve_retries(responses: DataFrame, retry_count: int = RETRY_COUNT) -> Dat
     return pages.withColumn("failed", F.col("attempt").isNull())
 
 
+def merge_resolved(parts: DataFrame) -> DataFrame:
+    """One row per page out of what resolve_retries gave for different tries of it."""
+    names = ["status", "stop", "n_records", "total_pages", "total_records"]
+    pages = parts.groupBy(*PAGE).agg(
+        F.sum("tries").alias("tries"), F.min("attempt").alias("attempt"), *[F.min_by(n, "attempt").alias(n) for n in names]
+    )
+    return pages.withColumn("failed", F.col("attempt").isNull())
+
+
 def _first_page_number(name: str) -> Column:
     """Totals are taken from page 1 with status 200 only."""
     return F.when((F.col("page") == 1) & (F.col("status") == 200), json_shapes.header_number(F.col("headers"), name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, urls
@@ -35,23 +35,38 @@ def first_probes(unknown: DataFrame) -> DataFrame:
 
     `unknown` holds domain, route, route_json.
     """
-    wanted = _defined(unknown).where("NOT regex AND endpoints > 0 AND paginated AND link IS NOT NULL")
-    return _as_plan(wanted.withColumn("url", urls.probe_url(F.col("link"))), 1)
+    return _plan(_defined(unknown).withColumn("probe", F.explode(_wanted(first=True))))
 
 
 def second_probes(unknown: DataFrame, probes: DataFrame) -> DataFrame:
     """The plain request of the routes that the first one left undecided."""
-    wanted = _defined(unknown).where("NOT regex AND endpoints > 0 AND link IS NOT NULL")
-    decided = _first_results(probes).where("paginated_answer IS NOT NULL").select(*ROUTE)
-    left = wanted.where("NOT paginated").unionByName(
-        wanted.where("paginated").join(decided, ROUTE, "left_anti").select(wanted.columns)
-    )
-    return _as_plan(left.withColumn("url", F.col("link")), 2)
+    return _plan(_answered(unknown, probes).withColumn("probe", F.explode(_wanted(second=True))))
+
+
+def probe_plan(unknown: DataFrame, probes: DataFrame) -> DataFrame:
+    """Both requests of each route, as far as it needs them: definitions are parsed once, answers joined once."""
+    return _plan(_answered(unknown, probes).withColumn("probe", F.explode(_wanted(first=True, second=True))))
+
+
+def _answered(unknown: DataFrame, probes: DataFrame) -> DataFrame:
+    return _defined(unknown).join(_first_results(probes), ROUTE, "left")
+
+
+def _wanted(first: bool = False, second: bool = False) -> Column:
+    """Numbers of the requests that a route needs."""
+    asks = ~F.col("regex") & (F.col("endpoints") > 0) & F.col("link").isNotNull() & F.col("paginated").isNotNull()
+    needs = []
+    if first:
+        needs.append(F.when(asks & F.col("paginated"), 1))
+    if second:
+        needs.append(F.when(asks & (~F.col("paginated") | F.col("paginated_answer").isNull()), 2))
+    return F.array_compact(F.array(*needs))
 
 
-def _as_plan(rows: DataFrame, probe: int) -> DataFrame:
+def _plan(rows: DataFrame) -> DataFrame:
+    url = F.when(F.col("probe") == 1, urls.probe_url(F.col("link"))).otherwise(F.col("link"))
     return rows.select(
-        "domain", "route", F.lit("probe").alias("kind"), "url", F.lit(probe).alias("page"), F.lit(1).alias("attempt")
+        "domain", "route", F.lit("probe").alias("kind"), url.alias("url"), F.col("probe").alias("page"), F.lit(1).alias("attempt")
     )
 
 

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt over tasks by key: what follows makes much out of each, and a given file may be one split."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def arriving(spark: SparkSession, sf_dir: str, name: str, files: int = 6) -> DataFrame:
     """The same table as a stream of files that come two at a time, rows of all times in each of them."""
     rows, folder = table(spark, sf_dir, name), fresh_dir(spark, "arriving")
@@ -94,9 +99,8 @@ def _piece(route: str, link: str | None, endpoints: str, base: str = "https://@/
 
 
 def orders_numbered(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", f"{DOMAIN} AS domain", f"{VARIANT} AS variant"
-    )
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.selectExpr("o_orderkey", f"{DOMAIN} AS domain", f"{VARIANT} AS variant")
 
 
 def site_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +142,43 @@ def index_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_numbered(spark, sf_dir).select("domain")
 
 
+# --- sites that answer by themselves: one per customer ---------------------------------------------
+
+CRAWL_DOMAIN = "concat('k', c_custkey, '.example.org')"
+#: Routes of each such site; the last is a dictionary.
+CRAWL_ROUTES = ["/wp/v2/posts", "/wp/v2/pages", "/wp/v2/types"]
+CRAWL_PAGES = 7
+
+
+def crawl_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = ",".join(_piece(r, "list", "paginated") for r in CRAWL_ROUTES)
+    body = F.replace(F.lit(f'{{"routes":{{{routes}}}}}'), F.lit("@"), F.col("domain"))
+    sites_ = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr(f"{CRAWL_DOMAIN} AS domain")
+    return sites_.select(
+        "domain", F.expr("timestamp_seconds(1700000000)").alias("fetched_at"), F.lit(200).alias("status"),
+        F.lit(None).cast("string").alias("error"), body.alias("body"),
+    )
+
+
+def answer(url: str, attempt: int) -> tuple[int, dict[str, str], str]:
+    """What the site of customer c says, by c % 5. 0: announces its 7 pages, page 3 fails twice. 1: announces nothing, page 8 is
+    an empty list. 2: page 4 always fails. 3: page 6 is no list. 4: announces, and every first try breaks off."""
+    site = int(url.split("//k")[1].split(".")[0])
+    if "?" not in url:
+        return 200, {}, f'{{"site":{site}}}'
+    page, kind = int(url.split("?page=")[1].split("&")[0]), site % 5
+    if kind == 4 and attempt == 1:
+        raise ConnectionError("reset")
+    if (kind == 0 and page == 3 and attempt <= 2) or (kind == 2 and page == 4):
+        return 503, {}, '{"code":"busy"}'
+    if kind == 3 and page == 6:
+        return 200, {}, '{"id":6}'
+    headers = {"X-WP-TotalPages": str(CRAWL_PAGES)} if kind in (0, 4) else {}
+    if page > CRAWL_PAGES:
+        return 200, headers, "[]"
+    return 200, headers, f'[{{"id":{page * 10 + 1}}},{{"id":{page * 10 + 2}}}]'
+
+
 # --- routes by customer: sites with many routes --------------------------------------------------
 
 # Routes by order number; @ stands for the order number, so these routes are all different.
@@ -367,7 +408,8 @@ TRANSFER_BYTES = "(l_partkey % 500) * 1000 + l_linenumber"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return spread(items, "l_orderkey")
 
 
 def item_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,6 +339,11 @@ _SELECTS: dict[str, str] = {
         CASE WHEN route LIKE '%/feed' THEN NULL ELSE concat('[{"length":', length(url), '}]') END AS body,
         CASE WHEN route LIKE '%/feed' THEN 'TimeoutError: read timed out' END AS error FROM (
           SELECT domain, route, concat(self_url, '?page=1&order=asc&orderby=id&per_page=100') AS url FROM named WHERE action = 'list')""",
+    "crawled_records": f"""SELECT {b.CRAWL_DOMAIN} AS domain, route, concat(replace(trim(route, '/'), '/', '_'), '.jsonl') AS out_name,
+        cast(page AS INTEGER) AS page, cast(idx AS INTEGER) AS idx, concat('{{"id":', page * 10 + idx + 1, '}}') AS record_json
+        FROM customer, (VALUES {', '.join(f"('{r}')" for r in b.CRAWL_ROUTES[:2])}) AS r(route), generate_series(1, {b.CRAWL_PAGES}) AS p(page),
+          generate_series(0, 1) AS i(idx) WHERE c_custkey % 5 <> 2 AND (c_custkey % 5 <> 3 OR page < 6)""",
+    "fetch_lanes": """SELECT domain, count(*) AS n_requests, true AS within_lanes, true AS in_turn FROM named WHERE action = 'list' GROUP BY domain""",
     "probe_plan": """SELECT domain, route, 1 AS probe, concat(self_url, '?per_page=1&page=1') AS url FROM clc
           WHERE rule <> 'regex' AND endpoints > 0 AND paginated AND self_url IS NOT NULL
         UNION ALL SELECT domain, route, 2, self_url FROM clc WHERE rule NOT IN ('regex', 'first_protected', 'first_list')

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text
 from sitequarry.operators import catalogue, content, media, pages, probe, routes, sites
 from sitequarry.plans import bindings as b
-from sitequarry.plans import jobs
-from sitequarry.session import fresh_dir
+from sitequarry.plans import crawl, jobs
+from sitequarry.session import fresh_dir, stored
 from sitequarry.sources import captures, fetch, sinks
 from sitequarry.sources.catalogue import parse_catalogue, seed_catalogue
 from sitequarry.streaming import ingest, progress, retries
@@ -230,6 +230,29 @@ def bulk_fetch(spark, sf_dir):
     return fetch.fetch(pages.request_plan(planned), transport).drop("headers", "fetched_at")
 
 
+@query
+def crawled_records(spark, sf_dir):
+    """A dump driven to its end, broken off after two rounds and taken up again."""
+    how = {"folder": fresh_dir(spark, "crawl"), "tasks": 8, "per_site": 2, "tell_attempt": True}
+    inputs = b.crawl_index(spark, sf_dir), seed_catalogue(spark), b.answer
+    crawl.crawl(*inputs, most_rounds=2, **how)
+    return crawl.dump(*inputs, **how)["records"]
+
+
+@query
+def fetch_lanes(spark, sf_dir):
+    """Fetching in lanes: how many each site's requests took, and whether answers came in the order of their turns."""
+    planned = routes.dispatch(_routes(spark, sf_dir), seed_catalogue(spark))
+    requests = stored(fetch.lanes(pages.request_plan(planned), tasks=16, per_site=3), "lanes")
+    found = stored(fetch.fetch(requests, lambda url: (200, {}, "[]"), tasks=16, per_site=3), "answers")
+    timed = found.join(requests.select("domain", "route", "page", "lane", "turn"), ["domain", "route", "page"])
+    earlier = F.lag("fetched_at").over(Window.partitionBy("domain", "lane").orderBy("turn"))
+    ordered = timed.withColumn("late", F.coalesce(F.col("fetched_at") < earlier, F.lit(False)))
+    return ordered.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n_requests"), (F.countDistinct("lane") <= 3).alias("within_lanes"), (~F.bool_or("late")).alias("in_turn")
+    )
+
+
 # --- probes and catalogue ----------------------------------------------------------------------
 
 
@@ -239,8 +262,7 @@ def _unknown(spark, sf_dir):
 
 @query
 def probe_plan(spark, sf_dir):
-    unknown = _unknown(spark, sf_dir)
-    plan = probe.first_probes(unknown).unionByName(probe.second_probes(unknown, b.probes(spark, sf_dir)))
+    plan = probe.probe_plan(_unknown(spark, sf_dir), b.probes(spark, sf_dir))
     return plan.select("domain", "route", F.col("page").alias("probe"), "url")
 
 
