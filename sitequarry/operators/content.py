@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitequarry.operators import positions
 from sitequarry.operators.computed import with_computed
 
 POST = (
@@ -122,6 +123,15 @@ def page_of(sorted_items: DataFrame, page: int = 1, per_page: int = 10, offset:
     return sorted_items.offset(skip).limit(per_page)
 
 
+def page_by_position(items: DataFrame, orderby: str = "date", order: str = "desc", page: int = 1, per_page: int = 10,
+                     offset: int | None = None) -> DataFrame:
+    """One page of the collection, however late, with `position` from 1: the collection is sorted into ranges, and only those that the page
+    overlaps are read for it."""
+    skip = offset if offset is not None else (page - 1) * per_page
+    keys = [orderby] if orderby == "id" else [orderby, "id"]
+    return positions.page_at(*positions.placed(items, positions.sort_keys(keys, order)), skip, per_page)
+
+
 def page_per_site(items: DataFrame, orderby: str = "date", order: str = "desc", page: int = 1, per_page: int = 10,
                   offset: int | None = None) -> DataFrame:
     """One page of each site's collection, with `place` in that site's order (from 1).

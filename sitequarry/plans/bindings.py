@@ -462,6 +462,9 @@ def event_transfers(events: DataFrame) -> DataFrame:
     )
 
 
+#: Texts looked for through an index: common and rare ones, two words, another case, too short for a gram, found nowhere.
+SEARCHED = ["The TH", "red", "ing ", "er", "LICENSE", "é", "qzxv", "nation", "e"]
+
 # --- archived records --------------------------------------------------------------------------
 
 DOC_DATE = "date_add(DATE '2020-01-01', cast(doc_id % 1000 AS INT))"

@@ -413,6 +413,22 @@ _SELECTS: dict[str, str] = {
     "posts_with_status": "SELECT id, status FROM pst WHERE status = 'publish'",
     "posts_search": "SELECT id, title FROM pst WHERE contains(lower(title), 'the th') OR contains(lower(content), 'the th')",
     "posts_page": "SELECT id FROM pst WHERE status = 'publish' ORDER BY date DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40",
+    "posts_page_late": """SELECT id, position FROM (SELECT id, row_number() OVER (ORDER BY date NULLS FIRST, id) AS position FROM pst)
+        WHERE position BETWEEN 151 AND 187""",
+    "posts_search_indexed": f"""SELECT word, id, title FROM pst JOIN (SELECT unnest([{', '.join(_text(w) for w in b.SEARCHED)}]) AS word) w
+        ON contains(lower(title), lower(word)) OR contains(lower(content), lower(word))""",
+    "search_all_per_site_indexed": f"""SELECT domain, word, id, title, type, subtype FROM (
+          SELECT domain, id, title, content, 'post' AS type, 'post' AS subtype FROM spst
+          UNION ALL SELECT domain, id, name, NULL, 'term', 'category' FROM strm)
+        JOIN (SELECT unnest([{', '.join(_text(w) for w in b.SEARCHED)}]) AS word) w
+        ON contains(lower(title), lower(word)) OR coalesce(contains(lower(content), lower(word)), false)""",
+    "records_in_server_order": """SELECT domain, route, cast(page AS INTEGER) AS page, cast(idx AS INTEGER) AS idx,
+        row_number() OVER (ORDER BY domain, route, page, idx) AS position FROM rec""",
+    "routes_in_index_order": "SELECT domain, route_pos, route, row_number() OVER (ORDER BY domain, route_pos) AS position FROM rts",
+    "routes_in_name_order": "SELECT domain, route, row_number() OVER (ORDER BY domain, route) AS position FROM cust",
+    "media_rejects_of_files": """SELECT domain, place AS line_no, raw, CASE m WHEN 0 THEN 'blank' WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'no_source_url'
+        WHEN 3 THEN 'null_source_url' WHEN 6 THEN 'source_url_is_no_text' ELSE 'not_an_object' END AS reject_reason FROM (
+          SELECT *, row_number() OVER (PARTITION BY domain ORDER BY line_no) AS place FROM pmd) WHERE m <= 6""",
     "posts_page_per_site": """SELECT domain, cast(place AS INTEGER) AS place, id FROM (SELECT domain, id, row_number() OVER (
         PARTITION BY domain ORDER BY date DESC NULLS LAST, id DESC) AS place FROM spst WHERE status = 'publish') WHERE place BETWEEN 21 AND 40""",
     "terms_with_counts_per_site": """SELECT domain, id, name, (SELECT count(*) FROM sptm WHERE sptm.domain = strm.domain AND term = strm.id) AS count

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text
-from sitequarry.operators import catalogue, content, media, pages, probe, routes, sites
+from sitequarry.operators import catalogue, content, media, pages, positions, probe, routes, search_index, sites
 from sitequarry.plans import bindings as b
 from sitequarry.plans import crawl, jobs
 from sitequarry.session import fresh_dir, stored
@@ -136,6 +136,18 @@ def routes_dispatched_without_dicts(spark, sf_dir):
     return routes.dispatch(_routes(spark, sf_dir), known, absent_categories=["public-dict"])
 
 
+@query
+def routes_in_index_order(spark, sf_dir):
+    rows = _routes(spark, sf_dir).select("domain", "route_pos", "route")
+    return positions.with_positions(rows, positions.sort_keys(["domain", "route_pos"]))
+
+
+@query
+def routes_in_name_order(spark, sf_dir):
+    rows = b.customer_routes(spark, sf_dir).select("domain", "route")
+    return positions.with_positions(rows, positions.sort_keys(["domain", "route"]))
+
+
 @query
 def output_collisions(spark, sf_dir):
     planned = routes.dispatch(_routes(spark, sf_dir), seed_catalogue(spark))
@@ -199,6 +211,12 @@ def archived_records(spark, sf_dir):
     return pages.records(b.responses(spark, sf_dir), resolved, pages.assemble(resolved))
 
 
+@query
+def records_in_server_order(spark, sf_dir):
+    rows = archived_records(spark, sf_dir).select("domain", "route", "page", "idx")
+    return positions.with_positions(rows, positions.sort_keys(["domain", "route", "page", "idx"]))
+
+
 @query
 def dict_documents(spark, sf_dir):
     return pages.dict_documents(b.responses(spark, sf_dir))
@@ -337,6 +355,16 @@ def media_rejects(spark, sf_dir):
     return media.media_rejects(b.page_media(spark, sf_dir))
 
 
+@query
+def media_rejects_of_files(spark, sf_dir):
+    """Media lists written to their sites' folders and read back, with the numbers that lines have in their file."""
+    out = fresh_dir(spark, "sites-saved")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n")
+    lists = b.page_media(spark, sf_dir).groupBy("domain").agg(lines.alias("text"))
+    sinks.write_files(lists.select(F.concat("domain", F.lit("/data/wp_v2_media.jsonl")).alias("target_path"), F.encode("text", "UTF-8").alias("content")), out)
+    return media.media_rejects(captures.read_media_lines(spark, out))
+
+
 @query
 def media_targets(spark, sf_dir):
     return media.with_targets(media.media_urls(b.page_media(spark, sf_dir)))
@@ -495,8 +523,29 @@ def posts_search(spark, sf_dir):
 
 @query
 def posts_page(spark, sf_dir):
-    ordered = content.ordered(content.with_status(_posts(spark, sf_dir)), "date", "desc")
-    return content.page_of(ordered, page=3, per_page=20).select("id")
+    return content.page_by_position(content.with_status(_posts(spark, sf_dir)), "date", "desc", page=3, per_page=20).select("id")
+
+
+@query
+def posts_page_late(spark, sf_dir):
+    """A page far behind the first, oldest posts first."""
+    found = content.page_by_position(_posts(spark, sf_dir), "date", "asc", offset=150, per_page=37)
+    return found.select("id", "position")
+
+
+@query
+def posts_search_indexed(spark, sf_dir):
+    index = search_index.build(_posts(spark, sf_dir).select("id", "title", "content"))
+    return search_index.search(*index, b.SEARCHED).select("word", "id", "title")
+
+
+@query
+def search_all_per_site_indexed(spark, sf_dir):
+    views = {
+        ("post", "post"): _site_posts(spark, sf_dir),
+        ("term", "category"): content.terms(b.site_term_records(spark, sf_dir)),
+    }
+    return search_index.search_all(views, b.SEARCHED)
 
 
 @query
