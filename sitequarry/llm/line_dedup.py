@@ -16,11 +16,12 @@ HEIGHT = 3
 
 
 def line_windows(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
-    """doc_id, pos (from 0) and digest of every run of `height` consecutive lines."""
+    """doc_id, mark (of the text), pos (from 0) and digest of every run of `height` consecutive lines."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    cut = docs.select("doc_id", lines.alias("lines")).where(F.size("lines") >= height)
+    cut = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines")).where(F.size("lines") >= height)
     return cut.select(
         "doc_id",
+        "mark",
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(1), F.size("lines") - (height - 1)),
@@ -31,7 +32,7 @@ def line_windows(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
-    """doc_id and pos of all windows but the first of each digest in the order of (doc_id, pos).
+    """doc_id, mark and pos of all windows but the first of each digest in the order of (doc_id, mark, pos).
 
     Firsts are found with counts combined in the map tasks and written, so that the join that follows has two
     shuffled sides and a digest of any frequency can be split.
@@ -39,7 +40,7 @@ def later_windows(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     firsts = (
         line_windows(docs, height)
         .groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "mark", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("digest", "first")
     )
@@ -47,8 +48,8 @@ def later_windows(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     every = line_windows(docs, height)
     return (
         every.join(firsts, "digest")
-        .where(~F.struct(F.col("doc_id"), F.col("pos")).eqNullSafe(F.col("first")))
-        .select("doc_id", "pos")
+        .where(~F.struct(F.col("doc_id"), F.col("mark"), F.col("pos")).eqNullSafe(F.col("first")))
+        .select("doc_id", "mark", "pos")
     )
 
 
@@ -57,13 +58,13 @@ def line_dedup(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
 
     Lines end at "\\n" alone and are compared exactly, empty ones too. Texts under `height` lines are left as they
     are; a null text is an empty one, which is one empty line. Windows are judged on the input. Rows that repeat a
-    doc_id are one document: the text that comes first by its windows counts, and all get the same positions removed.
+    doc_id with other texts are documents of their own, in the order of a hash of their texts; rows that repeat both are one document, and all of
+    them get the same lines removed.
     """
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    places = (
-        later_windows(own, height).groupBy("doc_id").agg(F.collect_set("pos").alias("places")).withColumnRenamed("doc_id", "of")
-    )
-    joined = own.join(places, own["doc_id"].eqNullSafe(places["of"]), "left").select("doc_id", "text", "places")
+    places = later_windows(own, height).groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("by")).agg(F.collect_set("pos").alias("places"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("by"))
+    joined = own.join(places, same, "left").select("doc_id", "text", "places")
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

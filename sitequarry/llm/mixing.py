@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitequarry.llm.common import WORD, saved
+from sitequarry.llm.common import WORD, parts, saved
 
 
-def sizes(docs: DataFrame, seed: str) -> DataFrame:
-    """doc_id, source, size in words, and draw: the document's place in a fixed random order."""
+def sizes(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
+    """source, size in words, and draw, the row's place in a fixed random order, with the columns of docs to keep.
+
+    The text is part of the draw, so rows that repeat a doc_id, or have none, are spread too; only equal rows share a place.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    place = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(text.cast("binary")))
     return docs.select(
-        "doc_id",
+        *keep,
         "source",
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")).alias("draw"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.md5(place.cast("binary")).alias("draw"),
     )
 
 
@@ -124,77 +129,169 @@ def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return ended.groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
 
 
-def mix_plan(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, depth: int = 4, seed: int = 17
-) -> DataFrame:
-    """For each row: doc_id, size, source_size, target, taken, and shards, the output shard of each copy taken.
+#: Times that a source goes on behind a document that does not fit.
+ROUNDS = 4
 
-    A source's documents are put into about sqrt(n) blocks by a fixed random key. Whole passes come first, then
-    whole blocks until the next would exceed the target, then documents of that block in their random order as
-    far as they fit, then the one document of the block whose size comes nearest to what is missing. Blocks of a
-    source, pass after pass, are its draws; the splitting tree deals runs of them to 2**depth shards. Same rows, same mix.
-    A null text has size 0, a null source is a source of its own and comes last. Rows that repeat a
-    doc_id count each. Documents without words are taken with their blocks.
+
+def position() -> Column:
+    return F.struct("block", "draw", "size")
+
+
+def within(cut: Column) -> Column:
+    """Whether a row is taken by a cut: small enough for what was missing then, and not behind its place."""
+    return (F.col("size") <= cut["lack"]) & (position() <= cut["upto"])
+
+
+def filled(placed: DataFrame, per_source: DataFrame, rounds: int) -> DataFrame:
+    """rank and cuts: up to where, and up to which size, rows of each source are taken beyond its whole passes.
+
+    Rows lie in the order of their blocks and, in a block, of their draws. A round goes through those that are no larger than what is missing and
+    takes them as far as their running sum fits; the next round does so with what is still missing then, which is less than the first row that did
+    not fit. So a very long document is passed over, blocks behind it are used, and what is missing shrinks from round to round. Last, the
+    row whose size comes nearest is taken if that brings the source nearer to its target. Running sums go over sums of
+    blocks; in one block of each source they go over rows.
     """
-    sized = saved(sizes(docs, f":{seed}"), "sizes")
+    none = F.array().cast("array<struct<lack:double,upto:struct<block:bigint,draw:string,size:bigint>>>")
+    state = saved(per_source.select("rank", F.col("rest").alias("lack"), none.alias("cuts")), "fill")
+    for _ in range(rounds):
+        left = placed.join(state, "rank").where((F.col("size") <= F.col("lack")) & ~F.exists("cuts", within))
+        sums = left.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.max("lack").alias("lack"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("rank").orderBy("block")))
+        over = F.col("upto") > F.col("lack")
+        # the block in which the sum is exceeded; if there is none, everything is taken
+        blocks = sums.groupBy("rank").agg(
+            F.min(F.when(over, F.struct("block", (F.col("upto") - F.col("words")).alias("before")))).alias("at"), F.max("block").alias("last"), F.sum("words").alias("words")
+        )
+        blocks = saved(blocks, "fill-blocks")
+        edge = left.join(blocks.select("rank", F.col("at.block").alias("block"), F.col("at.before").alias("before")), ["rank", "block"])
+        sofar = F.col("before") + F.sum("size").over(Window.partitionBy("rank").orderBy("draw", "size"))  # equal rows together
+        fits = edge.withColumn("sofar", sofar).where(F.col("sofar") <= F.col("lack"))
+        fits = fits.groupBy("rank").agg(F.max(F.struct("draw", "size")).alias("to"), F.max("sofar").alias("sofar"))
+        cut = blocks.join(fits, "rank", "left").select(
+            "rank",
+            F.struct(
+                F.coalesce("at.block", "last").alias("block"),
+                F.when(F.col("at").isNull(), "~").otherwise(F.coalesce("to.draw", F.lit(""))).alias("draw"),
+                F.coalesce("to.size", F.lit(0).cast("long")).alias("size"),
+            ).alias("upto"),
+            F.coalesce("sofar", "at.before", "words").alias("got"),
+        )
+        state = saved(
+            state.join(cut, "rank", "left").select(
+                "rank",
+                (F.col("lack") - F.coalesce("got", F.lit(0))).alias("lack"),
+                F.when(F.col("upto").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(F.struct("lack", "upto")))).alias("cuts"),
+            ),
+            "fill",
+        )
+    left = placed.join(state.where("lack > 0"), "rank").where(~F.exists("cuts", within) & (F.col("size") > 0))
+    miss = F.abs(F.col("lack") - F.col("size"))
+    best = left.groupBy("rank").agg(F.min(F.struct(miss.alias("miss"), F.struct("block", "draw", "size").alias("at"))).alias("best"))
+    best = best.select("rank", "best.at")
+    # of equal rows all are taken or none
+    equal = placed.join(best, "rank").where(position() == F.col("at")).groupBy("rank", "at").agg(F.count(F.lit(1)).alias("n"))
+    better = F.abs(F.col("lack") - F.col("n") * F.col("at.size")) < F.col("lack")
+    picked = state.join(equal, "rank", "left").select("rank", "cuts", F.when(better, F.col("at")).alias("pick"))
+    return saved(picked, "cuts")
+
+
+def extra() -> Column:
+    """Whether a row is taken once more than its source's whole passes."""
+    return F.exists("cuts", within) | F.coalesce(position() == F.col("pick"), F.lit(False))
+
+
+def planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, depth: int | None, seed: int, rounds: int) -> DataFrame:
+    """Per source what a row needs to know: of, rank, source_size, target, full, n_blocks, cuts, pick, ends."""
+    sized = saved(sizes(docs, seed), "sizes")
     per_source = saved(targets(sized, weights, share, most), "targets")
-    slot = F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.col("n_blocks"))
-    plan = per_source.withColumnRenamed("source", "of")
     # few rows, one per source; without a hint Spark's own threshold decides
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", slot)
-    sums = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    in_order = Window.partitionBy("rank").orderBy("block")
-    blocks = sums.withColumn("upto", F.sum("words").over(in_order)).select(
-        "rank",
-        "block",
-        (F.col("upto") <= F.col("rest")).alias("whole"),
-        # what the block after the last whole one still has to give
-        F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")), F.col("rest") - (F.col("upto") - F.col("words"))).alias("lack"),
-    )
-    blocks = saved(blocks, "blocks")
-    drawn = blocks.groupBy("rank").agg(F.count(F.when(F.col("whole") | F.col("lack").isNotNull(), 1)).alias("part"))
-    quotas = per_source.join(drawn, "rank").select("rank", (F.col("full") * F.col("n_blocks") + F.col("part")).alias("quota"))
-    ends = split_tree(quotas, depth, seed)
-    per_source = saved(per_source.join(ends, "rank"), "plan").withColumnRenamed("source", "of")
-
-    placed = sized.join(per_source, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", slot)
-    beside = placed.join(blocks, ["rank", "block"])
-    by_draw = Window.partitionBy("rank", "block").orderBy("draw", "size")
-    block = Window.partitionBy("rank", "block")
-    lacking = (
-        beside.withColumn("fits", F.coalesce(F.sum("size").over(by_draw.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("lack"), F.lit(False)))
-        .withColumn("gap", F.col("lack") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(block))
-        .withColumn("miss", F.when(~F.col("fits"), F.abs(F.col("gap") - F.col("size"))))
-        .withColumn("turn", F.row_number().over(block.orderBy(F.col("miss").asc_nulls_last(), "draw", "size")))
-    )
-    extra = F.col("whole") | F.col("fits") | F.coalesce((F.col("turn") == 1) & (F.col("miss") < F.col("gap")), F.lit(False))
-    copies = F.col("full") + F.when(extra, 1).otherwise(0)
+    placed = sized.join(per_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    placed = saved(placed.select("rank", block_of().alias("block"), "draw", "size"), "placed")
+    per_source = per_source.join(filled(placed, per_source, rounds), "rank")
+    # blocks drawn in part count as drawn
+    drawn = F.coalesce(F.array_max(F.transform("cuts", lambda c: c["upto"]["block"])), F.lit(-1)) + 1
+    drawn = F.greatest(drawn, F.coalesce(F.col("pick.block"), F.lit(-1)) + 1)
+    quotas = per_source.select("rank", (F.col("full") * F.col("n_blocks") + drawn).alias("quota"))
+    if depth is None:
+        words = per_source.agg(F.sum("target")).first()[0] or 0
+        depth = min(16, max(4, int(words / SHARD_WORDS).bit_length()))
+    return saved(per_source.join(split_tree(quotas, depth, seed), "rank"), "plan").withColumnRenamed("source", "of")
+
+
+#: Words of a shard at most, up to 2**16 shards.
+SHARD_WORDS = 1 << 27
+
+
+def block_of() -> Column:
+    return F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.col("n_blocks"))
+
+
+def with_shards(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (source, size, draw) with their source's plan and `shards`, the output shard of each copy taken."""
+    beside = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block_of())
+    copies = F.col("full") + F.when(extra(), 1).otherwise(0)
     unit = lambda c: F.when(c < F.col("full"), c).otherwise(F.col("full")) * F.col("n_blocks") + F.col("block")
     shard = lambda c: F.size(F.filter("ends", lambda e: e <= unit(c)))
     shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return lacking.withColumn("shards", shards).select(
-        "doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), "shards"
-    )
+    return beside.withColumn("shards", shards)
+
+
+def mix_plan(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, depth: int | None = None, seed: int = 17, rounds: int = ROUNDS
+) -> DataFrame:
+    """For each row: doc_id, size, source_size, target, taken, and shards, the output shard of each copy taken.
+
+    A source's documents are put into about sqrt(n) blocks by a fixed random key. Whole passes come first; what is then missing is taken
+    from the blocks in order, as `filled` says. Blocks of a source, pass after pass, are its draws; the splitting tree deals runs of them to
+    2**depth shards (from the words of the mix, if not given). Same rows, same mix.
+    A null text has size 0, a null source is a source of its own and comes last. Rows that repeat a
+    doc_id count each; of equal rows all are taken or none. Documents without words are taken with those around them. No rows give none;
+    other columns of docs are not read.
+    """
+    plan = planned(docs, weights, share, most, depth, seed, rounds)
+    rows = with_shards(sizes(docs, seed, "doc_id"), plan)
+    return rows.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), "shards")
 
 
-def mixed(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, depth: int | None = None, seed: int = 17, rounds: int = ROUNDS) -> DataFrame:
     """The mix itself: rows of `docs` with all their columns, a row for each copy taken, dealt to shards and shuffled in them.
 
-    A shard is a run of rows of one partition, in a random order that reruns repeat.
+    A shard is a run of rows of one partition, in a random order that reruns repeat. Each row has its own copies, also where rows repeat a doc_id.
     """
-    plan = mix_plan(docs, seed=seed, **how).groupBy(F.col("doc_id").alias("of")).agg(F.max("shards").alias("_shards"))
-    whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(F.col("doc_id").alias("_id"), whole.alias("_row")).join(plan, F.col("_id").eqNullSafe(F.col("of")))
-    dealt = rows.select("_row", "_id", F.posexplode("_shards").alias("_copy", "_shard"))
-    dealt = dealt.repartition("_shard", F.pmod(F.xxhash64("_id", "_copy"), F.lit(8))).sortWithinPartitions(
-        "_shard", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy"))
-    )
+    plan = planned(docs, weights, share, most, depth, seed, rounds)
+    whole = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    rows = with_shards(sizes(docs.withColumn("_row", whole), seed, "_row"), plan)
+    dealt = rows.select("_row", "draw", F.posexplode("shards").alias("_copy", "_shard"))
+    n = max(parts(docs.sparkSession), 1 << (depth or 4))
+    dealt = dealt.repartition(n, "_shard", F.pmod(F.xxhash64("draw", "_copy"), F.lit(8)))
+    dealt = dealt.sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), F.col("draw"), F.col("_copy")))
     return dealt.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _rounds(rounds: int) -> str:
+    """Common table expressions of the rounds: l<r> what is missing before round r, g<r> what the round takes, and e<r> its cut."""
+    out, taken = ["l0 AS (SELECT rank, rest AS lack FROM u)"], []
+    for r in range(rounds):
+        gone = " AND ".join(f"NOT coalesce(d.size <= c{k}.lack AND (d.block, d.draw, d.size) <= (c{k}.b, c{k}.d, c{k}.s), false)" for k in taken) or "true"
+        joins = " ".join(f"LEFT JOIN e{k} c{k} ON c{k}.rank = d.rank" for k in taken)
+        out.append(f"""
+y{r} AS (SELECT d.rank, d.block, d.draw, d.size, l.lack FROM d JOIN l{r} l ON l.rank = d.rank {joins} WHERE d.size <= l.lack AND {gone}),
+b{r} AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY block) AS upto FROM (SELECT rank, block, sum(size) AS words, max(lack) AS lack FROM y{r} GROUP BY ALL)),
+a{r} AS (SELECT rank, min(block) FILTER (WHERE upto > lack) AS block, min(upto - words) FILTER (WHERE upto > lack) AS before, max(block) AS final, sum(words) AS words
+         FROM b{r} GROUP BY rank),
+f{r} AS (SELECT rank, max(draw) AS d, arg_max(size, (draw, size)) AS s, max(sofar) AS sofar FROM (
+           SELECT y.*, a.before + sum(y.size) OVER (PARTITION BY y.rank ORDER BY y.draw, y.size) AS sofar FROM y{r} y JOIN a{r} a ON a.rank = y.rank AND a.block = y.block)
+         WHERE sofar <= lack GROUP BY rank),
+e{r} AS (SELECT a.rank, l.lack, coalesce(a.block, a.final) AS b, CASE WHEN a.block IS NULL THEN '~' ELSE coalesce(f.d, '') END AS d, coalesce(f.s, 0) AS s,
+           coalesce(f.sofar, a.before, a.words)::BIGINT AS got FROM a{r} a JOIN l{r} l ON l.rank = a.rank LEFT JOIN f{r} f ON f.rank = a.rank),
+l{r + 1} AS (SELECT l.rank, l.lack - coalesce(e.got, 0) AS lack FROM l{r} l LEFT JOIN e{r} e ON e.rank = l.rank)""")
+        taken.append(r)
+    return ",\n".join(out)
+
+
 SQL = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '') || ':17') AS draw FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, '') || ':17:' || md5(coalesce(text, ''))) AS draw FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM p),
@@ -212,17 +309,13 @@ q AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size)
 u AS (SELECT *, CASE WHEN passes >= 2 THEN 0::DOUBLE ELSE target - passes * source_size END AS rest FROM q),
 d AS (SELECT s.doc_id, s.size, s.draw, u.*, ('0x' || substr(s.draw, 1, 8))::BIGINT % u.n_blocks AS block
       FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source),
-k AS (SELECT rank, block, sum(size)::BIGINT AS words, max(rest) AS rest FROM d GROUP BY ALL),
-c AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY block)::BIGINT AS upto FROM k),
-b AS (SELECT rank, block, upto <= rest AS whole,
-             CASE WHEN upto > rest AND upto - words <= rest THEN rest - (upto - words) END AS lack FROM c),
-x AS (SELECT d.*, whole, lack,
-             coalesce(sum(size) OVER (PARTITION BY d.rank, d.block ORDER BY draw, size ROWS UNBOUNDED PRECEDING) <= lack, false) AS fit
-      FROM d JOIN b ON d.rank = b.rank AND d.block = b.block),
-y AS (SELECT *, lack - sum(CASE WHEN fit THEN size ELSE 0 END) OVER (PARTITION BY rank, block) AS gap FROM x),
-z AS (SELECT *, CASE WHEN NOT fit THEN abs(gap - size) END AS miss FROM y),
-n AS (SELECT *, row_number() OVER (PARTITION BY rank, block ORDER BY miss NULLS LAST, draw, size) AS turn FROM z)
-SELECT doc_id, size, source_size, target,
-       (size * (passes + CASE WHEN whole OR fit OR coalesce(turn = 1 AND miss < gap, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM n
+""" + _rounds(ROUNDS) + """,
+t0 AS (SELECT d.*, """ + " OR ".join(f"coalesce(d.size <= e{r}.lack AND (d.block, d.draw, d.size) <= (e{r}.b, e{r}.d, e{r}.s), false)" for r in range(ROUNDS)) + """ AS fit
+       FROM d """ + " ".join(f"LEFT JOIN e{r} ON e{r}.rank = d.rank" for r in range(ROUNDS)) + f"""),
+m AS (SELECT t0.rank, lack, block, draw, size, row_number() OVER (PARTITION BY t0.rank ORDER BY abs(lack - size), block, draw, size) AS turn
+      FROM t0 JOIN l{ROUNDS} l ON l.rank = t0.rank AND l.lack > 0 WHERE NOT fit AND size > 0),
+k AS (SELECT m.rank, m.block, m.draw, m.size FROM m JOIN d ON turn = 1 AND d.rank = m.rank AND d.block = m.block AND d.draw = m.draw AND d.size = m.size
+      GROUP BY ALL HAVING abs(any_value(m.lack) - count(*) * any_value(m.size)) < any_value(m.lack))
+SELECT doc_id, t0.size, source_size, target, (t0.size * (passes + CASE WHEN fit OR k.rank IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM t0 LEFT JOIN k ON k.rank = t0.rank AND k.block = t0.block AND k.draw = t0.draw AND k.size = t0.size
 """

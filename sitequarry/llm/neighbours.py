@@ -29,10 +29,14 @@ def points(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """Different vectors (node, v), named by their smallest vec_id, and the `keep` smallest vec_ids of each (node, vec_id).
 
     Equal vectors are one point of the graph. A search needs no more than its `keep` smallest ids of a point, so
-    ranks stop there before rows are shuffled. Ids are read as they are; a vec_id that occurs twice is two rows.
+    ranks stop there before rows are shuffled. Ids are read as they are; a vec_id that occurs twice is two rows. Vectors of
+    another length than most (than the longest of equally common ones) take no part.
     """
     own = usable(vectors).withColumn("key", F.md5(F.to_binary(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","), F.lit("utf-8"))))
     own = saved(own, "vectors")
+    # a row per length
+    length = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    own = own.where(F.size("v") == (length["d"] if length else 0))
     nodes = saved(own.groupBy("key").agg(F.min("vec_id").alias("node"), F.min("v").alias("v")), "points")
     ranked = own.select("key", "vec_id").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("turn") <= keep)
     members = ranked.join(nodes.select("key", "node").hint("merge"), "key").select("node", "vec_id")
@@ -208,7 +212,8 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = 19
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k nearest others found.
 
     Nearness is Euclidean distance in double precision of the vectors as given, ties go to the smaller vec_id. Vectors that are null, empty or
-    zero, or hold null or non-finite components, take no part. All vectors have one length.
+    zero, or hold null or non-finite components, take no part, and if lengths differ only those of the commonest length do. Rows that
+    repeat a vec_id are searched for and found each.
     """
     nodes, members = points(vectors, k + 1)
     sample = nodes.select(F.size("v").alias("n")).first()

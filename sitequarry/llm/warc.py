@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -20,12 +23,16 @@ FRAME = 0xFD2FB528
 FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def record(page_id: int | None, url: str | None, html: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record; a revisit has no payload but tells its length and digest."""
+def record(page_id: int | None, url: str | None, html: bytes, size: int, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A WARC/1.1 record; a revisit has no payload but tells its length and digest.
+
+    The block of a response is the page alone, without the HTTP headers that were never kept; Content-Type says so.
+    """
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {size}",
         *([] if url is None else [f"WARC-Target-URI: {url.translate({10: '%0A', 13: '%0D'})}"]),
@@ -36,8 +43,19 @@ def record(page_id: int | None, url: str | None, html: bytes, size: int, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + html + b"\r\n\r\n"
 
 
+def _sha1(told: str) -> str:
+    """A digest as bare hex; the standard lets it be written in base 32 too."""
+    value = told.partition(":")[2] or told
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
 def parse(raw: bytes) -> dict:
-    """The fields of a record; raises ValueError where headers, lengths or the digest don't fit."""
+    """The fields of a record; raises ValueError where headers, lengths or the digest don't fit.
+
+    Records of other archives may have a block with HTTP headers, which are cut off, and may leave out the payload's digest and length,
+    which are then taken from the payload of a response and are null for a revisit. Record types beside response and revisit come back
+    with their block as payload.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or not lines[0].startswith("WARC/1."):
@@ -45,24 +63,33 @@ def parse(raw: bytes) -> dict:
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or name.lower() in fields:
+        name = name.strip().lower()
+        # the only header that may repeat
+        if not colon or (name in fields and name != "warc-concurrent-to"):
             raise ValueError(f"bad or repeated header {line[:80]!r}")
-        fields[name.lower()] = value.strip()
-    missing = {"warc-type", "warc-record-id", "warc-payload-digest", "content-length", "x-payload-length"} - fields.keys()
+        fields[name] = value.strip()
+    missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys()
     if missing:
         raise ValueError(f"headers missing: {sorted(missing)}")
     n = int(fields["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit the record")
-    number = lambda x: int(x[len("<urn:page:") : -1]) if x and len(x) > len("<urn:page:>") else None
-    kind, digest, payload = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), rest[:n]
-    if kind == "response" and (n != int(fields["x-payload-length"]) or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError("payload and digest differ")
-    if kind not in ("response", "revisit") or (kind == "revisit") != ("warc-refers-to" in fields):
-        raise ValueError(f"bad record type {kind}")
+    own = re.compile(r"<urn:page:(-?\d+)>")
+    number = lambda x: int(m[1]) if x and (m := own.fullmatch(x)) else None
+    kind, payload = fields["warc-type"], rest[:n]
+    if fields.get("content-type", "").startswith("application/http"):
+        payload = payload.partition(b"\r\n\r\n")[2]
+    digest, size = fields.get("warc-payload-digest"), fields.get("x-payload-length")
+    digest = _sha1(digest) if digest else None
+    if kind == "response":
+        if digest not in (None, hashlib.sha1(payload).hexdigest()) or size not in (None, str(len(payload))):
+            raise ValueError("payload and digest differ")
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    if kind == "revisit" and "warc-refers-to" not in fields:
+        raise ValueError("a revisit that refers to nothing")
     return {
-        "page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": int(fields["x-payload-length"]),
-        "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None,
+        "page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": None if size is None else int(size),
+        "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("warc-refers-to")), "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -144,8 +171,9 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """Writes an archive from each partition; part, file and n_records of each.
 
     A null html is an empty payload, a null url leaves its header out. Rows that repeat a page_id are records of their own; if
-    theirs is the largest page_id of equal payloads, all of them are responses.
+    theirs is the largest page_id of equal payloads, all of them are responses. WARC-Date is the time of the call.
     """
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -154,7 +182,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
             for batch in batches:
                 for i in range(batch.num_rows):
                     page_id, url, html, size, digest, refers_to = (batch.column(k)[i].as_py() for k in range(6))
-                    yield record(page_id, url, html or b"", size, digest, refers_to)
+                    yield record(page_id, url, html or b"", size, digest, refers_to, date)
 
         def fill(stream) -> None:
             nonlocal n
@@ -167,7 +195,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """A row per record of the archives listed in column file, checked; payload is null for revisits."""
+    """A row per response or revisit in the archives listed in column file, checked; payload is null for revisits."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -178,7 +206,10 @@ def read_warc(files: DataFrame) -> DataFrame:
                 held, size = [], 0
                 with store.open_input_stream(name, compression=None) as source:
                     for raw in read_archive(source):
-                        held.append(parse(raw))
+                        fields = parse(raw)
+                        if fields["record_type"] not in ("response", "revisit"):
+                            continue
+                        held.append(fields)
                         size += len(raw)
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, kinds)
