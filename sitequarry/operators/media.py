@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text, urls
 from sitequarry.operators.computed import with_computed
+from sitequarry.operators.skew import heavy_keys, spread_join
 
 TARGET = ["domain", "target_path"]
 URL = ["domain", "source_url"]
@@ -107,15 +108,20 @@ def download_plan(
     """Each row of `targets` with `download`, or the reason it is skipped or needs no transfer.
 
     Only a site with a checkpoint that is not empty skips what is there (`skip_reason`). Otherwise a
-    file that exists is not skipped but done without a transfer (`already_there`).
+    file that exists is not skipped but done without a transfer (`already_there`). Where the targets tell that a path leads out of its
+    site's folder (`unsafe_path`), it is skipped too.
     """
     active = manifest if resume else manifest.limit(0)
     resumed = active.select("domain").distinct().withColumn("resumed", F.lit(True))
-    joined = targets.join(_presence(active, existing_files), TARGET, "left").join(resumed, "domain", "left")
+    # only targets that a checkpoint or a file tells of need to know whether their site is resumed
+    busy = heavy_keys(existing_files.select("domain").unionByName(active.select("domain")), ["domain"])
+    known = spread_join(_presence(active, existing_files), resumed, ["domain"], "left", by=["target_path"], heavy=busy)
+    joined = targets.join(known, TARGET, "left")
     in_checkpoint = F.coalesce("in_checkpoint", F.lit(False))
     file_exists = F.coalesce("file_exists", F.lit(False))
     resumed_site = F.coalesce("resumed", F.lit(False))
-    reason = F.when(resumed_site & in_checkpoint, "in_checkpoint").when(resumed_site & file_exists, "file_exists")
+    unsafe = F.col("unsafe_path") if "unsafe_path" in targets.columns else F.lit(False)
+    reason = F.when(resumed_site & in_checkpoint, "in_checkpoint").when(resumed_site & file_exists, "file_exists").when(unsafe, "unsafe_path")
     return joined.select(
         *targets.columns,
         reason.alias("skip_reason"),
@@ -137,13 +143,10 @@ def present_but_not_checkpointed(targets: DataFrame, manifest: DataFrame, existi
 
 
 def last_transfers(transfers: DataFrame) -> DataFrame:
-    """The latest outcome per URL; at the same time a success goes before a failure.
-
-    Each column is picked on its own, so that a reader of the numbers only needs no sorted aggregate.
-    """
-    order = F.unix_micros("ts") * 2 + F.col("success").cast("int")
-    latest = [F.max_by(c, order).alias(c) for c in ("success", "error", "bytes")]
-    return transfers.groupBy(*URL).agg(*latest, F.max("ts").alias("ts"))
+    """The latest outcome per URL; at the same time a success goes before a failure, and of equal outcomes the larger in bytes
+    and then by its error, so that all columns are of one row."""
+    last = F.max(F.struct("ts", "success", "bytes", "error")).alias("t")
+    return transfers.groupBy(*URL).agg(last).select(*URL, "t.success", "t.error", "t.bytes", "t.ts")
 
 
 def with_outcomes(plan: DataFrame, transfers: DataFrame) -> DataFrame:
@@ -214,7 +217,8 @@ def next_manifest(manifest: DataFrame, outcomes: DataFrame, now: float, resume:
     added = added.withColumn("last_updated", F.lit(None).cast("double"))
     merged = old.unionByName(added).groupBy("domain", "path").agg(F.max("last_updated").alias("last_updated"))
     updated = F.when(F.col("active"), F.lit(now)).otherwise(F.col("last_updated"))
-    return merged.join(active, "domain", "left").select("domain", "path", updated.alias("last_updated"))
+    joined = spread_join(merged, active, ["domain"], "left", by=["path"], heavy=heavy_keys(manifest, ["domain"]))
+    return joined.select("domain", "path", updated.alias("last_updated"))
 
 
 def wrong_lengths(existing_files: DataFrame, expected: DataFrame) -> DataFrame:

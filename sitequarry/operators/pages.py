@@ -244,10 +244,11 @@ def kept_pages(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 def records(responses: DataFrame, pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Records of all kept pages: domain, route, out_name, page, idx, record_json.
 
-    Bodies are shuffled once, by page and attempt, so a large route spreads over many tasks.
+    Bodies are shuffled once, by page and attempt, so a large route spreads over many tasks. A kept page was won with status 200 by
+    a body that is no error, so those of failed tries stay where they are read.
     """
     kept = kept_pages(pages, outcomes).select(*PAGE, "attempt")
-    bodies = responses.where("kind = 'list'").select(*PAGE, "attempt", "body")
+    bodies = responses.where("kind = 'list' AND status = 200 AND error IS NULL").select(*PAGE, "attempt", "body")
     return (
         bodies.join(kept, [*PAGE, "attempt"])
         .select(*PAGE, F.posexplode(json_shapes.list_records(F.col("body"))).alias("idx", "record_json"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, urls
 from sitequarry.operators.computed import with_computed
+from sitequarry.operators.skew import spread_join
 from sitequarry.schemas import CATEGORIES, DUMP_CATEGORIES, PUBLIC_DICT, PUBLIC_LIST, UNKNOWN
 
 
@@ -53,16 +54,17 @@ def _first_match(known_routes: DataFrame, order: Sequence[str]) -> DataFrame:
 def categorise(routes: DataFrame, known_routes: DataFrame) -> DataFrame:
     """Routes with the category the analysis gives them, `unknown` when not in the catalogue.
 
-    The catalogue side stays far below Spark's broadcast threshold; a larger one falls back to a
-    shuffled join by itself.
+    A catalogue below Spark's broadcast threshold is broadcast; with a larger one the commonest routes, which nearly all sites have, are
+    dealt to many tasks by site.
     """
     ranked = _first_match(known_routes, CATEGORIES)
-    return routes.join(ranked, "route", "left").withColumn("category", F.coalesce("category", F.lit(UNKNOWN)))
+    joined = spread_join(routes, ranked, ["route"], "left", by=["domain"])
+    return joined.withColumn("category", F.coalesce("category", F.lit(UNKNOWN)))
 
 
 def unknown_routes(routes: DataFrame, known_routes: DataFrame) -> DataFrame:
     known = known_routes.where(F.col("category").isin(CATEGORIES)).select("route")
-    return routes.join(known, "route", "left_anti")
+    return spread_join(routes, known, ["route"], "left_anti", by=["domain"])
 
 
 def present_in_index(candidates: DataFrame, routes: DataFrame) -> DataFrame:
@@ -105,7 +107,8 @@ def dispatch(
     """
     ranked = _first_match(known_routes, DUMP_CATEGORIES)
     definition = F.col("definition")
-    joined = with_computed(routes.join(ranked, "route", "left"), definition=json_shapes.route_definition(F.col("route_json")))
+    matched = spread_join(routes, ranked, ["route"], "left", by=["domain"])
+    joined = with_computed(matched, definition=json_shapes.route_definition(F.col("route_json")))
     joined = with_computed(
         joined,
         link=json_shapes.self_link(definition),

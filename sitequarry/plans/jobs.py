@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitequarry.operators import catalogue, media, pages, probe, routes, sites
 from sitequarry.schemas import RETRY_COUNT
+from sitequarry.session import stored
 
 
 def ping(site_names: DataFrame, site_index: DataFrame, https: bool = True) -> dict[str, DataFrame]:
@@ -44,13 +46,18 @@ def dump(
     include_unknown: bool = True,
     retry_count: int = RETRY_COUNT,
 ) -> dict[str, DataFrame]:
-    """Records, documents and statistics out of captured responses; of routes saved under one name the last stays."""
-    planned = routes.dispatch(routes.explode_routes(site_index), known_routes, include_unknown)
+    """Records, documents and statistics out of captured responses; of routes saved under one name the last stays.
+
+    The plan and the numbers of the pages are written once. What the plan does not want is left out of the numbers, so the bodies of list
+    pages move once, with the pages that are kept.
+    """
+    planned = stored(routes.dispatch(routes.explode_routes(site_index), known_routes, include_unknown), "plan")
     wanted = planned.where("action <> 'skip'").select("domain", "route", planned.action.alias("kind"))
-    captured = responses.join(wanted, ["domain", "route", "kind"], "left_semi")
-    resolved = pages.resolve_retries(captured, retry_count)
-    outcomes = pages.assemble(resolved)
-    documents = pages.dict_documents(captured)
+    lists, dicts = (wanted.where(F.col("kind") == kind).select("domain", "route") for kind in ("list", "dict"))
+    resolved = stored(pages.resolve_retries(responses, retry_count).join(lists, ["domain", "route"], "left_semi"), "pages")
+    outcomes = stored(pages.assemble(resolved), "outcomes")
+    documents = pages.dict_documents(responses).join(dicts, ["domain", "route"], "left_semi")
+    times = responses.select("domain", "route", "kind", "fetched_at").join(wanted, ["domain", "route", "kind"], "left_semi")
     written = planned.join(
         outcomes.where("outcome = 'complete'").select("domain", "route")
         .unionByName(documents.where("body IS NOT NULL").select("domain", "route")),
@@ -64,11 +71,11 @@ def dump(
         "plan": planned,
         "pages": resolved,
         "outcomes": outcomes,
-        "records": pages.records(captured, resolved, lasting),
+        "records": pages.records(responses, resolved, lasting),
         "documents": documents.join(lost, ["domain", "route"], "left_anti"),
         "files": files,
         "summary": pages.route_summary(resolved, outcomes),
-        "statistics": pages.run_statistics(planned, documents, captured),
+        "statistics": pages.run_statistics(planned, documents, times),
     }
 
 

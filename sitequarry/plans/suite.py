@@ -167,10 +167,15 @@ def _resolved(spark, sf_dir):
     return pages.resolve_retries(b.responses(spark, sf_dir))
 
 
+def _pages(spark, sf_dir):
+    """The same numbers, written once for those who read them more than once."""
+    return stored(_resolved(spark, sf_dir), "pages")
+
+
 @query
 def request_plan(spark, sf_dir):
     planned = routes.dispatch(_routes(spark, sf_dir), seed_catalogue(spark))
-    return pages.request_plan(planned, pages.assemble(_resolved(spark, sf_dir)))
+    return pages.request_plan(planned, pages.assemble(_pages(spark, sf_dir)))
 
 
 @query
@@ -181,7 +186,7 @@ def plan_against_captures(spark, sf_dir):
 @query
 def next_requests(spark, sf_dir):
     planned = routes.dispatch(_routes(spark, sf_dir), seed_catalogue(spark))
-    return pages.next_requests(planned, _resolved(spark, sf_dir)).select("domain", "route", "page", "attempt")
+    return pages.next_requests(planned, _pages(spark, sf_dir)).select("domain", "route", "page", "attempt")
 
 
 @query
@@ -197,17 +202,17 @@ def retry_resolution_two_tries(spark, sf_dir):
 
 @query
 def page_assembly(spark, sf_dir):
-    return pages.assemble(_resolved(spark, sf_dir))
+    return pages.assemble(_pages(spark, sf_dir))
 
 
 @query
 def dropped_routes(spark, sf_dir):
-    return pages.dropped_routes(pages.assemble(_resolved(spark, sf_dir)))
+    return pages.dropped_routes(pages.assemble(_pages(spark, sf_dir)))
 
 
 @query
 def archived_records(spark, sf_dir):
-    resolved = _resolved(spark, sf_dir)
+    resolved = _pages(spark, sf_dir)
     return pages.records(b.responses(spark, sf_dir), resolved, pages.assemble(resolved))
 
 
@@ -224,7 +229,7 @@ def dict_documents(spark, sf_dir):
 
 @query
 def route_summary(spark, sf_dir):
-    resolved = _resolved(spark, sf_dir)
+    resolved = _pages(spark, sf_dir)
     return pages.route_summary(resolved, pages.assemble(resolved))
 
 
