@@ -244,13 +244,16 @@ def kept_pages(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 def records(responses: DataFrame, pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Records of all kept pages: domain, route, out_name, page, idx, record_json.
 
-    Bodies are shuffled once, by page and attempt, so a large route spreads over many tasks. A kept page was won with status 200 by
+    Bodies are shuffled once, by page, so a large route spreads over many tasks; those of a table in buckets of pages are not shuffled. A kept page was won with status 200 by
     a body that is no error, so those of failed tries stay where they are read.
     """
-    kept = kept_pages(pages, outcomes).select(*PAGE, "attempt")
+    kept = kept_pages(pages, outcomes).select(*PAGE, F.col("attempt").alias("won"))
     bodies = responses.where("kind = 'list' AND status = 200 AND error IS NULL").select(*PAGE, "attempt", "body")
+    same = [bodies[c] == kept[c] for c in PAGE]
+    # a page has few tries; as a difference the try is no key of the join, whose keys are then those of the buckets
+    joined = bodies.join(kept, same[0] & same[1] & same[2] & (F.col("attempt") - F.col("won") == 0))
     return (
-        bodies.join(kept, [*PAGE, "attempt"])
+        joined.select(*[bodies[c] for c in PAGE], "body")
         .select(*PAGE, F.posexplode(json_shapes.list_records(F.col("body"))).alias("idx", "record_json"))
         .select(
             "domain",

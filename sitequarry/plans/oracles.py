@@ -422,6 +422,12 @@ _SELECTS: dict[str, str] = {
           UNION ALL SELECT domain, id, name, NULL, 'term', 'category' FROM strm)
         JOIN (SELECT unnest([{', '.join(_text(w) for w in b.SEARCHED)}]) AS word) w
         ON contains(lower(title), lower(word)) OR coalesce(contains(lower(content), lower(word)), false)""",
+    "stored_records": """SELECT domain, route, concat(replace(trim(route, '/'), '/', '_'), '.jsonl') AS out_name,
+        cast(page AS INTEGER) AS page, cast(idx AS INTEGER) AS idx, record_json FROM rec""",
+    "checkpoint_grown": """SELECT domain, path, CASE WHEN domain IN (SELECT domain FROM oco WHERE outcome <> 'skipped') THEN 1.8e9 ELSE 1.7e9 END AS last_updated,
+        compacted FROM (SELECT domain, path FROM man UNION SELECT domain, target_path FROM oco WHERE download AND success), (VALUES (true), (false)) AS c(compacted)""",
+    "checkpoint_additions": "SELECT DISTINCT domain, target_path AS path FROM oco WHERE download AND success AND length(target_path) % 2 = 1",
+    "files_inventoried": "SELECT domain, path, max(length) % 1000 AS length FROM fil GROUP BY domain, path",
     "records_in_server_order": """SELECT domain, route, cast(page AS INTEGER) AS page, cast(idx AS INTEGER) AS idx,
         row_number() OVER (ORDER BY domain, route, page, idx) AS position FROM rec""",
     "routes_in_index_order": "SELECT domain, route_pos, route, row_number() OVER (ORDER BY domain, route_pos) AS position FROM rts",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from sitequarry.operators import catalogue, content, media, pages, positions, pr
 from sitequarry.plans import bindings as b
 from sitequarry.plans import crawl, jobs
 from sitequarry.session import fresh_dir, stored
-from sitequarry.sources import captures, fetch, sinks
+from sitequarry.sources import captures, checkpoints, fetch, sinks
 from sitequarry.sources.catalogue import parse_catalogue, seed_catalogue
 from sitequarry.streaming import ingest, progress, retries
 
@@ -216,6 +217,15 @@ def archived_records(spark, sf_dir):
     return pages.records(b.responses(spark, sf_dir), resolved, pages.assemble(resolved))
 
 
+@query
+def stored_records(spark, sf_dir):
+    """Records out of responses that are stored in buckets of pages."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = captures.store_responses(b.responses(spark, sf_dir), f"responses_{uuid.uuid4().hex}", fresh_dir(spark, "stored-responses"), n)
+    resolved = pages.resolve_retries(table)
+    return pages.records(table, resolved, pages.assemble(resolved))
+
+
 @query
 def records_in_server_order(spark, sf_dir):
     rows = archived_records(spark, sf_dir).select("domain", "route", "page", "idx")
@@ -444,6 +454,43 @@ def next_manifest(spark, sf_dir):
     return media.next_manifest(b.manifest(spark, sf_dir), _outcomes(spark, sf_dir), now=1.8e9)
 
 
+def _grown(spark, sf_dir):
+    """A checkpoint of a base and three runs, the last of which fetched nothing."""
+    folder, done = fresh_dir(spark, "checkpoint"), stored(_outcomes(spark, sf_dir), "outcomes")
+    checkpoints.start(b.manifest(spark, sf_dir), folder)
+    odd = F.length("target_path") % 2 == 1
+    checkpoints.add(done.where(~odd), folder, now=1.75e9)
+    checkpoints.add(done.where(odd), folder, now=1.78e9)
+    checkpoints.add(done.withColumn("fetched", F.lit(False)), folder, now=1.8e9)
+    return folder
+
+
+@query
+def checkpoint_grown(spark, sf_dir):
+    """The checkpoint after three runs, as base and additions and after compaction."""
+    folder = _grown(spark, sf_dir)
+    before = stored(checkpoints.read(spark, folder), "checkpoint-read")
+    checkpoints.compact(spark, folder)
+    after = checkpoints.read(spark, folder)
+    return before.withColumn("compacted", F.lit(False)).unionByName(after.withColumn("compacted", F.lit(True)))
+
+
+@query
+def checkpoint_additions(spark, sf_dir):
+    """What the second run wrote: only what it fetched."""
+    return spark.read.schema(checkpoints.PATHS).parquet(f"{_grown(spark, sf_dir)}/paths-000002").select("domain", "path")
+
+
+@query
+def files_inventoried(spark, sf_dir):
+    """Files written to their sites' folders, and what a listing by tasks finds there."""
+    out = fresh_dir(spark, "tree")
+    files = b.existing_files(spark, sf_dir).groupBy("path").agg(F.max("length").alias("length"))
+    content = F.expr("repeat('x', cast(length % 1000 AS INT))")
+    sinks.write_files(files.select(F.col("path").alias("target_path"), F.encode(content, "UTF-8").alias("content")), out)
+    return captures.file_inventory(spark, out)
+
+
 @query
 def missing_media(spark, sf_dir):
     # media lists of every other site only

@@ -63,3 +63,10 @@ def whole(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end there."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
