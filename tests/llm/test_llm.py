@@ -335,3 +335,28 @@ def test_neighbours_of_few_points(spark, monkeypatch, n):
 def test_best_names_an_other_once(spark):
     edges = spark.createDataFrame([(1, j, j + e) for j in range(2, 40) for e in (0.0, 1e-12, 2e-12)], "node long, other long, distance double")
     assert sorted((r.other, r.distance) for r in neighbours.best(edges).collect()) == [(j, float(j)) for j in range(2, 22)]
+
+
+def test_scan_over_cuts_anywhere():
+    import sentencepiece
+
+    model, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Pieces(PIECES)
+    dice = random.Random(5)
+    odd = ["z" * 500, "ab" * 200, "aaa bbb" * 30, "語é" * 150, "\U00010348" * 90, "▁a▁▁b" * 40, " " * 300, "x\n\n\ty" * 60, "1234567890" * 40, "\0<s></s>" * 30, "the" * 200, "ing" * 200, "l" * 301,
+           "".join(dice.choice("abcdeénstrio ΣA1") for _ in range(900)), "".join(dice.choice("aeint") for _ in range(900)), "q"]
+    for text in odd:
+        for least in (1, 2, 5, 16, 37, 4000):
+            whole, reach = pieces.prepared(text), own.longest
+            parts = [(whole[max(0, a - reach) : a], whole[a : a + least], whole[a + least : a + least + reach]) for a in range(0, len(whole), least)]
+            states = pieces.states_of([own.transfer(*p) for p in parts])
+            ids = b""
+            for (_, body, after), (_, skip), (_, more) in zip(parts, states[:-1], states[1:], strict=True):
+                ids += own.encode_all([body[skip:] + after[max(0, skip - len(body)) : more]])[0]
+            assert np.frombuffer(ids, "<i4").tolist() == model.encode(text), (text[:20], least)
+
+
+def test_products_of_transfers():
+    dice = np.random.default_rng(4)
+    a, b, c = (np.where(dice.random((4, 4)) < 0.4, 0.0, -np.inf) for _ in range(3))
+    assert (pieces.product(pieces.product(a, b), c) == pieces.product(a, pieces.product(b, c))).all()
+    assert pieces.states_of([([(0, 0)], {(1, 0): 1}), ([(2, 0)], {(1, 0): 1})]) is None
