@@ -10,24 +10,32 @@ from sitequarry.llm.common import saved, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text is predicted good. A null text is scored as an empty one; labels of no row, or of one class only, leave a
+    score that is the same for all. Rows that repeat a doc_id stay if any of them does. No rows in, no rows out, here and in all stages."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null: empty) the row with the largest doc_id; rows that repeat the doc_id of one that stays do too, and rows without a
+    doc_id stay where their text occurs with none."""
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near copies link, that with the smallest doc_id. Texts without words, null ones among them, are near to nothing
+    and stay; rows that repeat a doc_id are one document."""
     # 0.85 is the contract of op4 alone
     return near_dedup.without_near_copies(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a row, up to twice. A null source is a source; rows that repeat a doc_id are taken each by
+    themselves; rows without words are taken with those around them."""
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per row of the mix: its ids, and the digest of what they decode to."""
+    """A row per row of the mix: its ids, and the digest of what they decode to. Null and empty texts have no ids."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.decoded(pieces.encoded(docs, path), path).drop("text")
 
@@ -41,8 +49,7 @@ STAGES = [
     ("pieces", encode_pieces),
 ]
 
-#: SQL has no form for the classifier. The tests of the pipeline check columns, decoded texts and that run() repeats the stages; what a stage
-#: keeps is compared with brute force only in the tests of the operators, on small cases.
+#: SQL has no form for the classifier. The tests hold what each stage keeps on the smallest given tables against a brute-force version.
 ORACLE_SQL = None
 
 
