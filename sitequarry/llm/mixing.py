@@ -133,44 +133,49 @@ def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 ROUNDS = 4
 
 
-def position() -> Column:
-    return F.struct("block", "draw", "size")
+def position(copy: Column) -> Column:
+    """A copy's place: all first copies beyond the whole passes come before second ones."""
+    return F.struct(copy.cast("long").alias("copy"), F.col("block"), F.col("draw"), F.col("size"))
 
 
-def within(cut: Column) -> Column:
-    """Whether a row is taken by a cut: small enough for what was missing then, and not behind its place."""
-    return (F.col("size") <= cut["lack"]) & (position() <= cut["upto"])
+def within(cut: Column, copy: Column) -> Column:
+    """Whether a copy is taken by a cut: small enough for what was missing then, and not behind its place."""
+    return (F.col("size") <= cut["lack"]) & (position(copy) <= cut["upto"])
 
 
 def filled(placed: DataFrame, per_source: DataFrame, rounds: int) -> DataFrame:
-    """rank and cuts: up to where, and up to which size, rows of each source are taken beyond its whole passes.
+    """rank, cuts and pick: up to where, and up to which size, copies of rows are taken beyond a source's whole passes.
 
-    Rows lie in the order of their blocks and, in a block, of their draws. A round goes through those that are no larger than what is missing and
-    takes them as far as their running sum fits; the next round does so with what is still missing then, which is less than the first row that did
-    not fit. So a very long document is passed over, blocks behind it are used, and what is missing shrinks from round to round. Last, the
-    row whose size comes nearest is taken if that brings the source nearer to its target. Running sums go over sums of
-    blocks; in one block of each source they go over rows.
+    placed: rank, copy (from 1, as many as are left up to the most), block, draw, size. Copies lie in the order of copy, block and draw. A round
+    goes through those that are no larger than what is missing and takes them as far as their running sum fits; the next round does so with what
+    is still missing then, which is less than the first copy that did not fit. So a very long document is passed over, blocks behind it and then
+    second copies are used, and what is missing shrinks from round to round. Last, the copy whose size comes nearest is taken if that brings
+    the source nearer to its target. Running sums go over sums of blocks; in one block of each source they go over rows.
     """
-    none = F.array().cast("array<struct<lack:double,upto:struct<block:bigint,draw:string,size:bigint>>>")
+    none = F.array().cast("array<struct<lack:double,upto:struct<copy:bigint,block:bigint,draw:string,size:bigint>>>")
+    taken = F.exists("cuts", lambda c: within(c, F.col("copy")))
     state = saved(per_source.select("rank", F.col("rest").alias("lack"), none.alias("cuts")), "fill")
     for _ in range(rounds):
-        left = placed.join(state, "rank").where((F.col("size") <= F.col("lack")) & ~F.exists("cuts", within))
-        sums = left.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.max("lack").alias("lack"))
-        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("rank").orderBy("block")))
+        left = placed.join(state, "rank").where((F.col("size") <= F.col("lack")) & ~taken)
+        sums = left.groupBy("rank", "copy", "block").agg(F.sum("size").alias("words"), F.max("lack").alias("lack"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("rank").orderBy("copy", "block")))
         over = F.col("upto") > F.col("lack")
         # the block in which the sum is exceeded; if there is none, everything is taken
         blocks = sums.groupBy("rank").agg(
-            F.min(F.when(over, F.struct("block", (F.col("upto") - F.col("words")).alias("before")))).alias("at"), F.max("block").alias("last"), F.sum("words").alias("words")
+            F.min(F.when(over, F.struct("copy", "block", (F.col("upto") - F.col("words")).alias("before")))).alias("at"),
+            F.max(F.struct("copy", "block")).alias("last"),
+            F.sum("words").alias("words"),
         )
         blocks = saved(blocks, "fill-blocks")
-        edge = left.join(blocks.select("rank", F.col("at.block").alias("block"), F.col("at.before").alias("before")), ["rank", "block"])
+        edge = left.join(blocks.select("rank", "at.copy", "at.block", "at.before"), ["rank", "copy", "block"])
         sofar = F.col("before") + F.sum("size").over(Window.partitionBy("rank").orderBy("draw", "size"))  # equal rows together
         fits = edge.withColumn("sofar", sofar).where(F.col("sofar") <= F.col("lack"))
         fits = fits.groupBy("rank").agg(F.max(F.struct("draw", "size")).alias("to"), F.max("sofar").alias("sofar"))
         cut = blocks.join(fits, "rank", "left").select(
             "rank",
             F.struct(
-                F.coalesce("at.block", "last").alias("block"),
+                F.coalesce("at.copy", "last.copy").cast("long").alias("copy"),
+                F.coalesce("at.block", "last.block").alias("block"),
                 F.when(F.col("at").isNull(), "~").otherwise(F.coalesce("to.draw", F.lit(""))).alias("draw"),
                 F.coalesce("to.size", F.lit(0).cast("long")).alias("size"),
             ).alias("upto"),
@@ -184,20 +189,22 @@ def filled(placed: DataFrame, per_source: DataFrame, rounds: int) -> DataFrame:
             ),
             "fill",
         )
-    left = placed.join(state.where("lack > 0"), "rank").where(~F.exists("cuts", within) & (F.col("size") > 0))
+    left = placed.join(state.where("lack > 0"), "rank").where(~taken & (F.col("size") > 0))
     miss = F.abs(F.col("lack") - F.col("size"))
-    best = left.groupBy("rank").agg(F.min(F.struct(miss.alias("miss"), F.struct("block", "draw", "size").alias("at"))).alias("best"))
+    own = position(F.col("copy"))
+    best = left.groupBy("rank").agg(F.min(F.struct(miss.alias("miss"), own.alias("at"))).alias("best"))
     best = best.select("rank", "best.at")
     # of equal rows all are taken or none
-    equal = placed.join(best, "rank").where(position() == F.col("at")).groupBy("rank", "at").agg(F.count(F.lit(1)).alias("n"))
+    equal = placed.join(best, "rank").where(own == F.col("at")).groupBy("rank", "at").agg(F.count(F.lit(1)).alias("n"))
     better = F.abs(F.col("lack") - F.col("n") * F.col("at.size")) < F.col("lack")
     picked = state.join(equal, "rank", "left").select("rank", "cuts", F.when(better, F.col("at")).alias("pick"))
     return saved(picked, "cuts")
 
 
-def extra() -> Column:
-    """Whether a row is taken once more than its source's whole passes."""
-    return F.exists("cuts", within) | F.coalesce(position() == F.col("pick"), F.lit(False))
+def extra(most: int) -> Column:
+    """How many copies of a row are taken beyond its source's whole passes."""
+    one = lambda c: F.exists("cuts", lambda cut: within(cut, F.lit(c))) | F.coalesce(position(F.lit(c)) == F.col("pick"), F.lit(False))
+    return sum((F.when((F.col("full") + c <= most) & one(c), 1).otherwise(0) for c in range(1, most + 1)), F.lit(0))
 
 
 def planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, depth: int | None, seed: int, rounds: int) -> DataFrame:
@@ -206,11 +213,13 @@ def planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int,
     per_source = saved(targets(sized, weights, share, most), "targets")
     # few rows, one per source; without a hint Spark's own threshold decides
     placed = sized.join(per_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    placed = saved(placed.select("rank", block_of().alias("block"), "draw", "size"), "placed")
+    copies = F.explode(F.sequence(F.lit(1), F.lit(most) - F.col("full")))
+    placed = placed.where(F.col("full") < most).select("rank", copies.alias("copy"), block_of().alias("block"), "draw", "size")
+    placed = saved(placed, "placed")
     per_source = per_source.join(filled(placed, per_source, rounds), "rank")
     # blocks drawn in part count as drawn
-    drawn = F.coalesce(F.array_max(F.transform("cuts", lambda c: c["upto"]["block"])), F.lit(-1)) + 1
-    drawn = F.greatest(drawn, F.coalesce(F.col("pick.block"), F.lit(-1)) + 1)
+    unit = lambda at: (at["copy"] - 1) * F.col("n_blocks") + at["block"] + 1
+    drawn = F.greatest(F.coalesce(F.array_max(F.transform("cuts", lambda c: unit(c["upto"]))), F.lit(0)), F.coalesce(unit(F.col("pick")), F.lit(0)))
     quotas = per_source.select("rank", (F.col("full") * F.col("n_blocks") + drawn).alias("quota"))
     if depth is None:
         words = per_source.agg(F.sum("target")).first()[0] or 0
@@ -226,11 +235,11 @@ def block_of() -> Column:
     return F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.col("n_blocks"))
 
 
-def with_shards(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def with_shards(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     """Rows (source, size, draw) with their source's plan and `shards`, the output shard of each copy taken."""
     beside = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block_of())
-    copies = F.col("full") + F.when(extra(), 1).otherwise(0)
-    unit = lambda c: F.when(c < F.col("full"), c).otherwise(F.col("full")) * F.col("n_blocks") + F.col("block")
+    copies = F.col("full") + extra(most)
+    unit = lambda c: c * F.col("n_blocks") + F.col("block")
     shard = lambda c: F.size(F.filter("ends", lambda e: e <= unit(c)))
     shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
     return beside.withColumn("shards", shards)
@@ -249,7 +258,7 @@ def mix_plan(
     other columns of docs are not read.
     """
     plan = planned(docs, weights, share, most, depth, seed, rounds)
-    rows = with_shards(sizes(docs, seed, "doc_id"), plan)
+    rows = with_shards(sizes(docs, seed, "doc_id"), plan, most)
     return rows.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), "shards")
 
 
@@ -260,7 +269,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     """
     plan = planned(docs, weights, share, most, depth, seed, rounds)
     whole = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
-    rows = with_shards(sizes(docs.withColumn("_row", whole), seed, "_row"), plan)
+    rows = with_shards(sizes(docs.withColumn("_row", whole), seed, "_row"), plan, most)
     dealt = rows.select("_row", "draw", F.posexplode("shards").alias("_copy", "_shard"))
     n = max(parts(docs.sparkSession), 1 << (depth or 4))
     dealt = dealt.repartition(n, "_shard", F.pmod(F.xxhash64("draw", "_copy"), F.lit(8)))
@@ -272,17 +281,18 @@ def _rounds(rounds: int) -> str:
     """Common table expressions of the rounds: l<r> what is missing before round r, g<r> what the round takes, and e<r> its cut."""
     out, taken = ["l0 AS (SELECT rank, rest AS lack FROM u)"], []
     for r in range(rounds):
-        gone = " AND ".join(f"NOT coalesce(d.size <= c{k}.lack AND (d.block, d.draw, d.size) <= (c{k}.b, c{k}.d, c{k}.s), false)" for k in taken) or "true"
+        gone = " AND ".join(f"NOT coalesce(d.size <= c{k}.lack AND (d.copy, d.block, d.draw, d.size) <= (c{k}.c, c{k}.b, c{k}.d, c{k}.s), false)" for k in taken) or "true"
         joins = " ".join(f"LEFT JOIN e{k} c{k} ON c{k}.rank = d.rank" for k in taken)
         out.append(f"""
-y{r} AS (SELECT d.rank, d.block, d.draw, d.size, l.lack FROM d JOIN l{r} l ON l.rank = d.rank {joins} WHERE d.size <= l.lack AND {gone}),
-b{r} AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY block) AS upto FROM (SELECT rank, block, sum(size) AS words, max(lack) AS lack FROM y{r} GROUP BY ALL)),
-a{r} AS (SELECT rank, min(block) FILTER (WHERE upto > lack) AS block, min(upto - words) FILTER (WHERE upto > lack) AS before, max(block) AS final, sum(words) AS words
+y{r} AS (SELECT d.rank, d.copy, d.block, d.draw, d.size, l.lack FROM d JOIN l{r} l ON l.rank = d.rank {joins} WHERE d.size <= l.lack AND {gone}),
+b{r} AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY copy, block) AS upto FROM (
+           SELECT rank, copy, block, sum(size) AS words, max(lack) AS lack FROM y{r} GROUP BY ALL)),
+a{r} AS (SELECT rank, min((copy, block)) FILTER (WHERE upto > lack) AS at, min(upto - words) FILTER (WHERE upto > lack) AS before, max((copy, block)) AS final, sum(words) AS words
          FROM b{r} GROUP BY rank),
 f{r} AS (SELECT rank, max(draw) AS d, arg_max(size, (draw, size)) AS s, max(sofar) AS sofar FROM (
-           SELECT y.*, a.before + sum(y.size) OVER (PARTITION BY y.rank ORDER BY y.draw, y.size) AS sofar FROM y{r} y JOIN a{r} a ON a.rank = y.rank AND a.block = y.block)
+           SELECT y.*, a.before + sum(y.size) OVER (PARTITION BY y.rank ORDER BY y.draw, y.size) AS sofar FROM y{r} y JOIN a{r} a ON a.rank = y.rank AND a.at = (y.copy, y.block))
          WHERE sofar <= lack GROUP BY rank),
-e{r} AS (SELECT a.rank, l.lack, coalesce(a.block, a.final) AS b, CASE WHEN a.block IS NULL THEN '~' ELSE coalesce(f.d, '') END AS d, coalesce(f.s, 0) AS s,
+e{r} AS (SELECT a.rank, l.lack, coalesce(a.at, a.final)[1] AS c, coalesce(a.at, a.final)[2] AS b, CASE WHEN a.at IS NULL THEN '~' ELSE coalesce(f.d, '') END AS d, coalesce(f.s, 0) AS s,
            coalesce(f.sofar, a.before, a.words)::BIGINT AS got FROM a{r} a JOIN l{r} l ON l.rank = a.rank LEFT JOIN f{r} f ON f.rank = a.rank),
 l{r + 1} AS (SELECT l.rank, l.lack - coalesce(e.got, 0) AS lack FROM l{r} l LEFT JOIN e{r} e ON e.rank = l.rank)""")
         taken.append(r)
@@ -307,15 +317,17 @@ t AS (SELECT source, rank, source_size, ceil(sqrt(n_docs))::BIGINT AS n_blocks,
              CASE WHEN spot >= since THEN level * weight ELSE (source_size * 2)::DOUBLE END AS target FROM v),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS passes FROM t),
 u AS (SELECT *, CASE WHEN passes >= 2 THEN 0::DOUBLE ELSE target - passes * source_size END AS rest FROM q),
-d AS (SELECT s.doc_id, s.size, s.draw, u.*, ('0x' || substr(s.draw, 1, 8))::BIGINT % u.n_blocks AS block
+w0 AS (SELECT row_number() OVER () AS n, s.doc_id, s.size, s.draw, u.*, ('0x' || substr(s.draw, 1, 8))::BIGINT % u.n_blocks AS block
       FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source),
+d AS (SELECT * FROM (SELECT w0.*, unnest(range(1, 3 - passes)) AS copy FROM w0)),
 """ + _rounds(ROUNDS) + """,
-t0 AS (SELECT d.*, """ + " OR ".join(f"coalesce(d.size <= e{r}.lack AND (d.block, d.draw, d.size) <= (e{r}.b, e{r}.d, e{r}.s), false)" for r in range(ROUNDS)) + """ AS fit
+t0 AS (SELECT d.*, """ + " OR ".join(f"coalesce(d.size <= e{r}.lack AND (d.copy, d.block, d.draw, d.size) <= (e{r}.c, e{r}.b, e{r}.d, e{r}.s), false)" for r in range(ROUNDS)) + """ AS fit
        FROM d """ + " ".join(f"LEFT JOIN e{r} ON e{r}.rank = d.rank" for r in range(ROUNDS)) + f"""),
-m AS (SELECT t0.rank, lack, block, draw, size, row_number() OVER (PARTITION BY t0.rank ORDER BY abs(lack - size), block, draw, size) AS turn
+m AS (SELECT t0.rank, lack, copy, block, draw, size, row_number() OVER (PARTITION BY t0.rank ORDER BY abs(lack - size), copy, block, draw, size) AS turn
       FROM t0 JOIN l{ROUNDS} l ON l.rank = t0.rank AND l.lack > 0 WHERE NOT fit AND size > 0),
-k AS (SELECT m.rank, m.block, m.draw, m.size FROM m JOIN d ON turn = 1 AND d.rank = m.rank AND d.block = m.block AND d.draw = m.draw AND d.size = m.size
-      GROUP BY ALL HAVING abs(any_value(m.lack) - count(*) * any_value(m.size)) < any_value(m.lack))
-SELECT doc_id, t0.size, source_size, target, (t0.size * (passes + CASE WHEN fit OR k.rank IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM t0 LEFT JOIN k ON k.rank = t0.rank AND k.block = t0.block AND k.draw = t0.draw AND k.size = t0.size
+k AS (SELECT m.rank, m.copy, m.block, m.draw, m.size FROM m JOIN d ON turn = 1 AND d.rank = m.rank AND (d.copy, d.block, d.draw, d.size) = (m.copy, m.block, m.draw, m.size)
+      GROUP BY ALL HAVING abs(any_value(m.lack) - count(*) * any_value(m.size)) < any_value(m.lack)),
+x AS (SELECT t0.n, count(*) FILTER (WHERE fit OR k.rank IS NOT NULL) AS more FROM t0
+      LEFT JOIN k ON k.rank = t0.rank AND (k.copy, k.block, k.draw, k.size) = (t0.copy, t0.block, t0.draw, t0.size) GROUP BY t0.n)
+SELECT doc_id, size, source_size, target, (size * (passes + coalesce(more, 0)))::BIGINT AS taken FROM w0 LEFT JOIN x USING (n)
 """

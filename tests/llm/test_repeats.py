@@ -180,7 +180,7 @@ def test_sources_come_near_their_targets(spark, seed):
         own = [r for r in plan if sources[r.doc_id] == source]
         target, taken = own[0].target, sum(r.taken for r in own)
         left = min((r["size"] for r in own if r.taken < 2 * r["size"]), default=0)
-        assert abs(taken - target) <= max(0.01 * target, left), (source, target, taken)
+        assert abs(taken - target) <= max(0.001 * target, left), (source, target, taken)
         assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in own)
 
 
