@@ -517,7 +517,7 @@ def comment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "to_json(named_struct("
         "'id', conv_id * 1000 + turn, "
-        "'post', conv_id % 200, "
+        "'post', conv_id, "
         "'parent', CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 ELSE 0L END, "
         "'author', CASE WHEN role = 'user' THEN conv_id % 50 ELSE 0L END, "
         "'status', CASE WHEN turn % 4 = 3 THEN 'hold' ELSE 'approved' END, "

@@ -178,7 +178,7 @@ CTES: dict[str, str] = {
           concat(source, ' ', text) AS title, text AS content, lang AS excerpt,
           CASE WHEN doc_id % 13 <> 0 THEN doc_id % 97 END AS author, doc_id % 11 AS featured_media,
           doc_id % 25 AS c1, doc_id % 7 AS c2 FROM documents""",
-    "cmt": """SELECT conv_id * 1000 + turn AS id, conv_id % 200 AS post, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 ELSE 0 END AS parent,
+    "cmt": """SELECT conv_id * 1000 + turn AS id, conv_id AS post, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 ELSE 0 END AS parent,
           CASE WHEN role = 'user' THEN conv_id % 50 ELSE 0 END AS author,
           CASE WHEN turn % 4 = 3 THEN 'hold' ELSE 'approved' END AS status FROM conversations""",
     "ptm": "SELECT id, c1 AS term FROM pst UNION SELECT id, c2 FROM pst",
@@ -400,8 +400,9 @@ _SELECTS: dict[str, str] = {
         WHERE domain NOT IN (SELECT domain FROM pmd WHERE line_no % 20 < 10)""",
     "checkpoint_scan": """SELECT concat('p', p_partkey) AS domain, unnest([concat('p', p_partkey, '/files/a.jpg'),
         concat('p', p_partkey, '/files/b', p_size, '.jpg')]) AS path, p_partkey + 0.5::DOUBLE AS last_updated FROM part WHERE p_partkey % 9 <> 0""",
-    "wrong_lengths": """SELECT domain, path, length, 1000 AS expected_length FROM fil WHERE length <> 1000
-        AND (domain, path) IN (SELECT (domain, target_path) FROM oco WHERE outcome = 'skipped')""",
+    "wrong_lengths": """SELECT domain, path, length, bytes AS expected_length FROM fil
+        JOIN (SELECT DISTINCT domain, target_path AS path, bytes FROM tgt JOIN trn USING (domain, source_url) WHERE success) USING (domain, path)
+        WHERE length <> bytes""",
     "bytes_as_text": f"""SELECT n, {_bytes('n')} AS size_text FROM (SELECT cast(floor(l_extendedprice * pow(8, l_linenumber)) AS BIGINT) AS n
         FROM lineitem UNION SELECT l_partkey * 32 FROM lineitem)""",
     "durations_as_text": f"""SELECT DISTINCT seconds, {_duration('seconds')} AS duration_text FROM (

@@ -512,9 +512,10 @@ def checkpoint_scan(spark, sf_dir):
 
 @query
 def wrong_lengths(spark, sf_dir):
-    done = _outcomes(spark, sf_dir).where("outcome = 'skipped'").select("domain", "target_path").distinct()
-    expected = done.withColumn("bytes", F.lit(1000))
-    return media.wrong_lengths(b.existing_files(spark, sf_dir), expected)
+    """Stored files against the bytes that the transfers of their URLs tell."""
+    moved = media.last_transfers(b.item_transfers(spark, sf_dir)).where("success").select("domain", "source_url", "bytes")
+    expected = _distinct_targets(spark, sf_dir).join(moved, ["domain", "source_url"])
+    return media.wrong_lengths(b.existing_files(spark, sf_dir), expected.select("domain", "target_path", "bytes").distinct())
 
 
 @query
