@@ -143,6 +143,6 @@ def test_what_the_stages_keep(spark, given, scores):
     target |= {s: level * weight[s] for s in open_}
     for s in order:
         got = sum(taken[i] * words[i] for i in by_source[s])
-        # sources are of ten documents or fewer here; what is missing can be less than the smallest copy that is left
-        rest = min((words[i] for i in by_source[s] if taken[i] < 2 and words[i]), default=0)
-        assert abs(got - target[s]) <= max(0.01 * target[s], rest) and all(taken[i] <= 2 for i in by_source[s]), (s, got, target[s])
+        # sources are of ten documents or fewer here: the last copy taken, or not, may miss by half a document
+        half = 0.5 * max(words[i] for i in by_source[s])
+        assert abs(got - target[s]) <= max(0.01 * target[s], half) and all(taken[i] <= 2 for i in by_source[s]), (s, got, target[s])
