@@ -35,7 +35,7 @@ BARE = b"\x1a\x02\x18\x00"
 class Pieces:
     """The vocabulary: ranks of pieces, bytes for characters without a piece."""
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 250_000, pairs: int = 100_000):
         import sentencepiece
 
         with open(path, "rb") as source:
@@ -54,7 +54,7 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
-        self.limit = words
+        self.limit, self.most_pairs = words, pairs
 
     def best(self, text: str) -> tuple[list[tuple[int, int]], float]:
         """The pieces (start, end) of a short text by the model's rule written out, and their score.
@@ -95,7 +95,7 @@ class Pieces:
         """Whether the model makes the two pieces of their union."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > self.limit:
+            if len(self.pairs) > self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.model.encode(a + b) == self.ids_of(a + b, [(0, len(a)), (len(a), len(a) + len(b))])
         return known
