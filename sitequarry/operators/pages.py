@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text, urls
+from sitequarry.operators.skew import by_sort
 from sitequarry.schemas import PAGE_SIZE, RETRY_COUNT
 
 ROUTE = ["domain", "route"]
@@ -33,7 +34,7 @@ def request_plan(routes: DataFrame, page_counts: DataFrame | None = None, page_s
         planned = planned.withColumn("pages", F.lit(1).cast("bigint"))
     else:
         known = F.when(F.col("total_pages").between(1, MOST_PAGES), F.col("total_pages"))
-        planned = planned.join(page_counts.select(*ROUTE, "total_pages"), ROUTE, "left").withColumn(
+        planned = planned.join(by_sort(page_counts.select(*ROUTE, "total_pages")), ROUTE, "left").withColumn(
             "pages", F.coalesce(known, F.lit(1)).cast("bigint")
         )
     blocks = planned.withColumn("block", F.explode(_blocks_up_to(F.col("pages")))).repartition(*ROUTE, "block")
@@ -62,7 +63,7 @@ def next_requests(
     planned = routes.where("action = 'list'").select(*ROUTE, "url")
     good = pages.where("NOT failed")
     after = good.where("stop IS NULL").select(*ROUTE, (F.col("page") + 1).alias("page"))
-    first = planned.select(*ROUTE, F.lit(1).alias("page")).unionByName(after).join(good.select(*PAGE), PAGE, "left_anti")
+    first = planned.select(*ROUTE, F.lit(1).alias("page")).unionByName(after).join(by_sort(good.select(*PAGE)), PAGE, "left_anti")
     first = first.groupBy(*ROUTE).agg(F.min("page").alias("page"))
     ends = pages.groupBy(*ROUTE).agg(
         F.min(F.when(~F.col("failed") & F.col("stop").isNotNull(), F.col("page"))).alias("first_stop"),
@@ -71,7 +72,7 @@ def next_requests(
     tried = pages.where("failed").select(*PAGE, "tries")
     announced = F.when(F.col("total_pages") != 0, F.greatest("total_pages", F.lit(1)))
     is_open = ~F.coalesce((F.col("first_stop") < F.col("page")) | (F.col("page") > announced), F.lit(False))
-    joined = planned.join(first, ROUTE).join(ends, ROUTE, "left").join(tried, PAGE, "left")
+    joined = planned.join(by_sort(first), ROUTE).join(by_sort(ends), ROUTE, "left").join(by_sort(tried), PAGE, "left")
     wanted = joined.where(is_open & (F.coalesce("tries", F.lit(0)) < retry_count))
     if ahead > 1:
         known = F.when(announced <= MOST_PAGES, announced)
@@ -82,7 +83,7 @@ def next_requests(
         begin = F.greatest(F.col("page").cast("bigint"), F.col("block") * PAGE_BLOCK + 1)
         inside = F.sequence(begin, F.least("last", (F.col("block") + 1) * PAGE_BLOCK))
         spread = blocks.select(*ROUTE, "url", F.explode(inside).alias("page")).withColumn("page", F.col("page").cast("int"))
-        wanted = spread.join(good.select(*PAGE), PAGE, "left_anti").join(tried, PAGE, "left").where(F.coalesce("tries", F.lit(0)) < retry_count)
+        wanted = spread.join(by_sort(good.select(*PAGE)), PAGE, "left_anti").join(by_sort(tried), PAGE, "left").where(F.coalesce("tries", F.lit(0)) < retry_count)
     return wanted.select(
         *ROUTE,
         F.lit("list").alias("kind"),
@@ -95,7 +96,7 @@ def next_requests(
 def plan_against_captures(plan: DataFrame, responses: DataFrame) -> DataFrame:
     """Plan rows with the number of captured attempts; pages without any are not fetched."""
     seen = responses.where("kind = 'list'").groupBy(*PAGE).agg(F.count(F.lit(1)).alias("attempts"))
-    return plan.join(seen, PAGE, "left").select(
+    return plan.join(by_sort(seen), PAGE, "left").select(
         *PAGE, "url", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.col("attempts").isNotNull().alias("fetched")
     )
 
@@ -194,7 +195,7 @@ def assemble(pages: DataFrame) -> DataFrame:
     # the routes to count get their blocks of pages, the others a NULL block that joins nothing
     blocks = F.when(F.col("in_reach") & F.col("gaps"), _blocks_up_to(F.col("end_page")))
     numbered = pages.select(*PAGE, _block(F.col("page")).alias("block"))
-    counted = ends.select("*", F.explode_outer(blocks).alias("block")).join(numbered, [*ROUTE, "block"], "left")
+    counted = ends.select("*", F.explode_outer(blocks).alias("block")).join(by_sort(numbered), [*ROUTE, "block"], "left")
     kept_columns = [c for c in ends.columns if c not in ROUTE]
     joined = counted.groupBy(*ROUTE).agg(
         F.count_if(F.col("page") <= F.col("end_page")).alias("n_present"), *[F.first(c).alias(c) for c in kept_columns]
@@ -227,7 +228,7 @@ def _pages_up_to(pages: DataFrame, routes: DataFrame, last: str) -> DataFrame:
     """Page rows of the given routes from page 1 to the route's page number `last`."""
     numbered = pages.withColumn("block", _block(F.col("page")))
     spread = routes.where(F.col(last) >= 1).withColumn("block", F.explode(_blocks_up_to(F.col(last))))
-    joined = numbered.join(spread, [*ROUTE, "block"]).where(F.col("page") <= F.col(last))
+    joined = numbered.join(by_sort(spread), [*ROUTE, "block"]).where(F.col("page") <= F.col(last))
     return joined.drop("block")
 
 
@@ -251,7 +252,7 @@ def records(responses: DataFrame, pages: DataFrame, outcomes: DataFrame) -> Data
     bodies = responses.where("kind = 'list' AND status = 200 AND error IS NULL").select(*PAGE, "attempt", "body")
     same = [bodies[c] == kept[c] for c in PAGE]
     # a page has few tries; as a difference the try is no key of the join, whose keys are then those of the buckets
-    joined = bodies.join(kept, same[0] & same[1] & same[2] & (F.col("attempt") - F.col("won") == 0))
+    joined = bodies.join(by_sort(kept), same[0] & same[1] & same[2] & (F.col("attempt") - F.col("won") == 0))
     return (
         joined.select(*[bodies[c] for c in PAGE], "body")
         .select(*PAGE, F.posexplode(json_shapes.list_records(F.col("body"))).alias("idx", "record_json"))
@@ -288,7 +289,7 @@ def route_summary(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     counted = kept_pages(pages, outcomes).groupBy(*ROUTE).agg(F.sum("n_records").cast("bigint").alias("n_records"))
     complete = F.col("outcome") == "complete"
     n_records = F.coalesce("n_records", F.lit(0))
-    return outcomes.join(counted, ROUTE, "left").select(
+    return outcomes.join(by_sort(counted), ROUTE, "left").select(
         *ROUTE,
         "outcome",
         F.when(complete, n_records).otherwise(0).cast("bigint").alias("records_written"),
@@ -305,7 +306,7 @@ def run_statistics(dispatched: DataFrame, documents: DataFrame, responses: DataF
     skipped. A dict route that was not captured has failed.
     """
     joined = dispatched.select("domain", "route", "action").join(
-        documents.select("domain", "route", "outcome"), ROUTE, "left"
+        by_sort(documents.select("domain", "route", "outcome")), ROUTE, "left"
     )
     processed = (F.col("action") == "list") | (
         (F.col("action") == "dict") & (F.coalesce("outcome", F.lit("skipped")) == "processed")
@@ -319,5 +320,5 @@ def run_statistics(dispatched: DataFrame, documents: DataFrame, responses: DataF
         return stats
     micros = F.unix_micros("fetched_at")
     times = responses.groupBy("domain").agg(((F.max(micros) - F.min(micros)) / 1e6).alias("elapsed"))
-    timed = stats.join(times, "domain", "left").withColumn("elapsed", F.coalesce("elapsed", F.lit(0.0)))
+    timed = stats.join(by_sort(times), "domain", "left").withColumn("elapsed", F.coalesce("elapsed", F.lit(0.0)))
     return timed.withColumn("elapsed_text", text.duration_text(F.col("elapsed")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, urls
 from sitequarry.operators.computed import with_computed
+from sitequarry.operators.skew import by_sort
 from sitequarry.schemas import PROTECTED, PUBLIC_DICT, PUBLIC_LIST, USELESS
 
 ROUTE = ["domain", "route"]
@@ -49,7 +50,7 @@ def probe_plan(unknown: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def _answered(unknown: DataFrame, probes: DataFrame) -> DataFrame:
-    return _defined(unknown).join(_first_results(probes), ROUTE, "left")
+    return _defined(unknown).join(by_sort(_first_results(probes)), ROUTE, "left")
 
 
 def _wanted(first: bool = False, second: bool = False) -> Column:
@@ -99,8 +100,8 @@ def classify(unknown: DataFrame, probes: DataFrame) -> DataFrame:
     """
     joined = (
         _defined(unknown)
-        .join(_first_results(probes), ROUTE, "left")
-        .join(_second_results(probes), ROUTE, "left")
+        .join(by_sort(_first_results(probes)), ROUTE, "left")
+        .join(by_sort(_second_results(probes)), ROUTE, "left")
     )
     asked_first = F.col("paginated") & F.col("link").isNotNull()
     ok = F.col("class") == "ok"

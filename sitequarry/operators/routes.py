@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, urls
 from sitequarry.operators.computed import with_computed
-from sitequarry.operators.skew import spread_join
+from sitequarry.operators.skew import by_sort, spread_join
 from sitequarry.schemas import CATEGORIES, DUMP_CATEGORIES, PUBLIC_DICT, PUBLIC_LIST, UNKNOWN
 
 
@@ -69,12 +69,12 @@ def unknown_routes(routes: DataFrame, known_routes: DataFrame) -> DataFrame:
 
 def present_in_index(candidates: DataFrame, routes: DataFrame) -> DataFrame:
     """Candidate (domain, route) rows that the index has."""
-    return candidates.join(routes.select("domain", "route"), ["domain", "route"], "left_semi")
+    return candidates.join(by_sort(routes.select("domain", "route")), ["domain", "route"], "left_semi")
 
 
 def with_definitions(candidates: DataFrame, routes: DataFrame) -> DataFrame:
     """Candidate (domain, route) rows with their definition from the index."""
-    return candidates.join(routes.select("domain", "route", "route_json"), ["domain", "route"])
+    return candidates.join(by_sort(routes.select("domain", "route", "route_json")), ["domain", "route"])
 
 
 def category_statistics(categorised: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def unknown_preview(unknown: DataFrame, shown: int = 10) -> DataFrame:
     first = unknown.withColumn(
         "place", F.row_number().over(Window.partitionBy("domain").orderBy("route_pos"))
     ).where(F.col("place") <= shown)
-    return first.join(counts, "domain").select(
+    return first.join(by_sort(counts), "domain").select(
         "domain", "place", "route", "n_unknown", F.greatest(F.col("n_unknown") - shown, F.lit(0)).alias("n_more")
     )
 

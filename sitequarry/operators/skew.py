@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 SPREAD = 16
 
 
+def by_sort(side: DataFrame) -> DataFrame:
+    """The side of a join that grows with the sites, to be sorted and never broadcast.
+
+    Spark guesses the size of rows that a generator makes, as routes and pages are made, from what goes into it, and of texts by
+    their number; a table far beyond its threshold would be sent whole through the driver.
+    """
+    return side.hint("merge")
+
+
 def heavy_keys(rows: DataFrame, keys: Sequence[str], share: int = 1000) -> DataFrame:
     """The keys with more than one in `share` rows: fewer than `share` of them, whatever the table."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.operators import catalogue, media, pages, probe, routes, sites
+from sitequarry.operators.skew import by_sort
 from sitequarry.schemas import RETRY_COUNT
 from sitequarry.session import stored
 
@@ -54,25 +55,25 @@ def dump(
     planned = stored(routes.dispatch(routes.explode_routes(site_index), known_routes, include_unknown), "plan")
     wanted = planned.where("action <> 'skip'").select("domain", "route", planned.action.alias("kind"))
     lists, dicts = (wanted.where(F.col("kind") == kind).select("domain", "route") for kind in ("list", "dict"))
-    resolved = stored(pages.resolve_retries(responses, retry_count).join(lists, ["domain", "route"], "left_semi"), "pages")
+    resolved = stored(pages.resolve_retries(responses, retry_count).join(by_sort(lists), ["domain", "route"], "left_semi"), "pages")
     outcomes = stored(pages.assemble(resolved), "outcomes")
-    documents = pages.dict_documents(responses).join(dicts, ["domain", "route"], "left_semi")
-    times = responses.select("domain", "route", "kind", "fetched_at").join(wanted, ["domain", "route", "kind"], "left_semi")
+    documents = pages.dict_documents(responses).join(by_sort(dicts), ["domain", "route"], "left_semi")
+    times = responses.select("domain", "route", "kind", "fetched_at").join(by_sort(wanted), ["domain", "route", "kind"], "left_semi")
     written = planned.join(
-        outcomes.where("outcome = 'complete'").select("domain", "route")
-        .unionByName(documents.where("body IS NOT NULL").select("domain", "route")),
+        by_sort(outcomes.where("outcome = 'complete'").select("domain", "route")
+        .unionByName(documents.where("body IS NOT NULL").select("domain", "route"))),
         ["domain", "route"], "left_semi",
     )
     files = routes.mark_overwritten(written)
     # a later route of the same name replaces what an earlier one wrote
     lost = files.where("overwritten").select("domain", "route")
-    lasting = outcomes.join(lost, ["domain", "route"], "left_anti")
+    lasting = outcomes.join(by_sort(lost), ["domain", "route"], "left_anti")
     return {
         "plan": planned,
         "pages": resolved,
         "outcomes": outcomes,
         "records": pages.records(responses, resolved, lasting),
-        "documents": documents.join(lost, ["domain", "route"], "left_anti"),
+        "documents": documents.join(by_sort(lost), ["domain", "route"], "left_anti"),
         "files": files,
         "summary": pages.route_summary(resolved, outcomes),
         "statistics": pages.run_statistics(planned, documents, times),
