@@ -22,8 +22,8 @@ def media_lines(media: DataFrame) -> DataFrame:
     shape = json_shapes.json_shape(raw)
     # the last of repeated keys counts
     found = F.from_json("raw", "source_url variant")["source_url"]
-    checked = with_computed(media, shape=shape)
-    checked = with_computed(checked, found=F.when(F.col("shape") == "dict", found))
+    # two plain columns, each parsed once; the reason comes from a generator, and filters on it stay above that
+    checked = media.withColumn("shape", shape).withColumn("found", F.when(F.col("shape") == "dict", found))
     value_shape = F.schema_of_variant("found")
     reason = (
         F.when(raw.isNull() | raw.rlike(r"(?U)^[\s\x1c-\x1f]*$"), "blank")

@@ -16,7 +16,7 @@ ROUTE = ["domain", "route"]
 def _defined(unknown: DataFrame) -> DataFrame:
     definition = F.col("definition")
     link = F.col("link")
-    parsed = with_computed(unknown, definition=json_shapes.route_definition(F.col("route_json")))
+    parsed = unknown.withColumn("definition", json_shapes.route_definition(F.col("route_json")))
     return (
         with_computed(
             parsed,
@@ -77,8 +77,7 @@ def _first_results(probes: DataFrame) -> DataFrame:
     answer = F.when(F.col("error").isNull() & (status == "protected"), PROTECTED).when(
         F.col("error").isNull() & (status == "ok") & (shape == "list"), PUBLIC_LIST
     )
-    first = probes.where("probe = 1")
-    return with_computed(first, paginated_answer=answer).select(*ROUTE, "paginated_answer")
+    return probes.where("probe = 1").select(*ROUTE, answer.alias("paginated_answer"))
 
 
 def _second_results(probes: DataFrame) -> DataFrame:

@@ -108,9 +108,9 @@ def dispatch(
     ranked = _first_match(known_routes, DUMP_CATEGORIES)
     definition = F.col("definition")
     matched = spread_join(routes, ranked, ["route"], "left", by=["domain"])
-    joined = with_computed(matched, definition=json_shapes.route_definition(F.col("route_json")))
+    # a generator copies its rows, so one is all: filters stay above it, and what they repeat there is cheap
     joined = with_computed(
-        joined,
+        matched.withColumn("definition", json_shapes.route_definition(F.col("route_json"))),
         link=json_shapes.self_link(definition),
         endpoints=json_shapes.endpoint_count(definition),
         args=json_shapes.args_kind(definition),
@@ -141,7 +141,7 @@ def dispatch(
         .when(F.col("paginated"), "list")
         .otherwise("dict")
     )
-    result = with_computed(with_computed(joined, skip_reason=reason), action=action)
+    result = joined.withColumn("skip_reason", reason).withColumn("action", action)
     name = F.when(F.col("action") != "skip", urls.output_name(F.col("route"), F.col("action")))
     return result.select(
         "domain",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text
 from sitequarry.operators import catalogue, content, media, pages, positions, probe, routes, search_index, sites
+from sitequarry.operators.skew import by_sort
 from sitequarry.plans import bindings as b
 from sitequarry.plans import crawl, jobs
 from sitequarry.session import fresh_dir, stored
@@ -278,7 +279,7 @@ def fetch_lanes(spark, sf_dir):
     planned = routes.dispatch(_routes(spark, sf_dir), seed_catalogue(spark))
     requests = stored(fetch.lanes(pages.request_plan(planned), tasks=16, per_site=3), "lanes")
     found = stored(fetch.fetch(requests, lambda url: (200, {}, "[]"), tasks=16, per_site=3), "answers")
-    timed = found.join(requests.select("domain", "route", "page", "lane", "turn"), ["domain", "route", "page"])
+    timed = found.join(by_sort(requests.select("domain", "route", "page", "lane", "turn")), ["domain", "route", "page"])
     earlier = F.lag("fetched_at").over(Window.partitionBy("domain", "lane").orderBy("turn"))
     ordered = timed.withColumn("late", F.coalesce(F.col("fetched_at") < earlier, F.lit(False)))
     return ordered.groupBy("domain").agg(

@@ -32,9 +32,12 @@ _ANSWER = pa.schema([
 ])
 
 
-def answers(batches: Iterator[pa.RecordBatch], transport: Transport, tell_attempt: bool = False, tries: int = 1) -> Iterator[pa.RecordBatch]:
-    """Asks for one row after the other, again after a failure up to the try numbered `tries`; each answer leaves by itself,
-    with its time, before the next is asked for."""
+#: Bounds on answers that leave a task together: rows, and characters of what they hold.
+TOGETHER, LETTERS = 1024, 1 << 20
+
+
+def _answers(batches: Iterator[pa.RecordBatch], transport: Transport, tell_attempt: bool, tries: int) -> Iterator[dict]:
+    """Asks for one row after the other, again after a failure up to the try numbered `tries`; each answer with its time."""
     for batch in batches:
         for row in batch.to_pylist():
             for attempt in range(row["attempt"], max(tries, row["attempt"]) + 1):
@@ -44,11 +47,30 @@ def answers(batches: Iterator[pa.RecordBatch], transport: Transport, tell_attemp
                 except Exception as failure:  # every failure is data here
                     error = f"{type(failure).__name__}: {failure}"
                 told = {"status": status, "headers": None if headers is None else list(headers.items()), "body": body, "error": error}
-                yield pa.RecordBatch.from_pylist([{**row, **told, "attempt": attempt, "fetched_at": datetime.now(UTC)}], schema=_ANSWER)
+                yield {**row, **told, "attempt": attempt, "fetched_at": datetime.now(UTC)}
                 if error is None and 200 <= status < 400:
                     break
 
 
+def answers(batches: Iterator[pa.RecordBatch], transport: Transport, tell_attempt: bool = False, tries: int = 1) -> Iterator[pa.RecordBatch]:
+    """Each answer by itself, before the next row is asked for."""
+    for row in _answers(batches, transport, tell_attempt, tries):
+        yield pa.RecordBatch.from_pylist([row], schema=_ANSWER)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], transport: Transport, tell_attempt: bool = False, tries: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same answers in the same order, in batches bounded by rows and letters."""
+    held, letters = [], 0
+    for row in _answers(batches, transport, tell_attempt, tries):
+        held.append(row)
+        letters += len(row["url"] or "") + len(row["body"] or "") + len(row["error"] or "")
+        if len(held) == TOGETHER or letters >= LETTERS:
+            yield pa.RecordBatch.from_pylist(held, schema=_ANSWER)
+            held, letters = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_ANSWER)
+
+
 def lanes(plan: DataFrame, tasks: int, per_site: int) -> DataFrame:
     """The plan with `lane` and `turn`: a site's requests take turns in `per_site` of the lanes, which begin at a place of its own.
 
@@ -70,12 +92,12 @@ def fetch(
     With `tries` a row that failed is asked for again at once, and each try up to that number is a row.
     `tasks` bounds how many tasks ask servers at the same time. A site's requests are spread by route
     and page over those tasks, so one large site does not end up in one task; with `per_site` they go to so many
-    of them only, in turn with those of other sites. Answers leave their task one by one. Write the result to a
+    of them only, in turn with those of other sites. Answers leave their task in bounded batches. Write the result to a
     table before using it, since a plan that is evaluated twice asks twice.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return answers(batches, transport, tell_attempt, tries)
+        return gathered(batches, transport, tell_attempt, tries)
 
     wanted = plan.select(
         "domain", "route", "kind", "url", F.col("page").cast("int"), F.col("attempt").cast("int")

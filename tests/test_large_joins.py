@@ -1,11 +1,13 @@
 """Joins of tables that grow with the sites are never broadcast, however small Spark takes them for."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sitequarry import schemas
 from sitequarry.operators import pages, probe, routes
 from sitequarry.plans import jobs
+from sitequarry.sources import fetch
 
 
 @pytest.fixture
@@ -48,3 +50,25 @@ def test_page_joins_are_sorted(spark, index, captured, rows):
     done = jobs.dump(index, known, captured)
     assert all(broadcasts(done[name]) == 0 for name in ("records", "documents", "files", "statistics"))
     assert rows(done["records"], "domain", "record_json") == [(f"d{i}", '{"id":1}') for i in range(4)]
+
+
+def test_answers_leave_in_bounded_batches():
+    schema = ["domain", "route", "kind", "url", "page", "attempt"]
+    asked = pa.RecordBatch.from_pylist([dict(zip(schema, ("d", "/r", "list", str(i), i, 1), strict=True)) for i in range(3000)])
+    short = list(fetch.gathered(iter([asked]), lambda url: (200, {"a": "b"}, url)))
+    assert [b.num_rows for b in short] == [1024, 1024, 952]
+    assert [x for b in short for x in b.column("body").to_pylist()] == [str(i) for i in range(3000)]
+    long = list(fetch.gathered(iter([asked.slice(0, 9)]), lambda url: (200, {}, "x" * (1 << 19))))
+    assert max(b.num_rows for b in long) == 2 and sum(b.num_rows for b in long) == 9
+    tried = list(fetch.gathered(iter([asked.slice(0, 1)]), lambda url, n: (503 if n < 3 else 200, {}, ""), tell_attempt=True, tries=5))
+    assert [n for b in tried for n in b.column("attempt").to_pylist()] == [1, 2, 3]
+    one = list(fetch.answers(iter([asked.slice(0, 5)]), lambda url: (200, {}, url)))
+    assert [b.num_rows for b in one] == [1] * 5
+
+
+def test_a_dispatch_has_one_generator(spark, index, rows):
+    known = spark.createDataFrame([("public-list", "/wp/v2/posts")], schemas.KNOWN_ROUTES)
+    found = routes.explode_routes(index).localCheckpoint()
+    done = routes.dispatch(found, known)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    assert rows(done.where("domain = 'd0'"), "route", "action", "skip_reason") == [("/wp/v2/posts", "list", None), ("/x", "skip", "no_self_link")]
