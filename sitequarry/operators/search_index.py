@@ -7,9 +7,11 @@ for, intersects them block by block, and confirms what is left on the texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.session import stored
@@ -19,11 +21,49 @@ BLOCK, RAREST = 4096, 4
 GRAM = 3
 
 
-def _grams(text: Column) -> Column:
-    """Different runs of GRAM characters of a text in lower case."""
-    letters = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), F.size("letters") - GRAM), lambda i: F.concat(*(F.get("letters", i + k) for k in range(GRAM))))
-    return letters, runs
+#: Pairs of gram and item that a task holds before it turns them into lists.
+HELD = 1 << 21
+_LISTS = pa.schema([("gram", pa.string()), ("block", pa.int64()), ("nos", pa.list_(pa.int32()))])
+
+
+def _codes(texts: Sequence[str | None]) -> np.ndarray:
+    """Different runs of GRAM characters of the texts, each run as a number of 21 bits a character."""
+    found = []
+    for text in texts:
+        if text is not None and len(text) >= GRAM:
+            letters = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+            found.append(letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def _listed(block: int, codes: list[np.ndarray], nos: list[int]) -> pa.RecordBatch:
+    """The lists of the codes of some items of a block."""
+    every, owner = np.concatenate(codes), np.repeat(np.array(nos, np.int32), [len(c) for c in codes])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    own = every[starts]
+    letters = np.stack([own >> 42, own >> 21 & 0x1FFFFF, own & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    grams = pa.array([letters[i : i + GRAM] for i in range(0, len(letters), GRAM)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(every)), pa.int32()), pa.array(owner))
+    return pa.RecordBatch.from_arrays([grams, pa.array(np.full(len(own), block), pa.int64()), lists], schema=_LISTS)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of block, no and texts in lower case to lists; those of a block may come in parts."""
+    block, codes, nos, held = None, [], [], 0
+    for batch in batches:
+        for at, no, *texts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if held and (at != block or held >= HELD):
+                yield _listed(block, codes, nos)
+                codes, nos, held = [], [], 0
+            own, block = _codes(texts), at
+            if len(own):
+                codes.append(own)
+                nos.append(no)
+                held += len(own)
+    if held:
+        yield _listed(block, codes, nos)
 
 
 def build(items: DataFrame, columns: Sequence[str] = ("title", "content")) -> tuple[DataFrame, DataFrame]:
@@ -34,11 +74,9 @@ def build(items: DataFrame, columns: Sequence[str] = ("title", "content")) -> tu
     number = F.monotonically_increasing_id()
     numbered = items.withColumn("_id", number).withColumn("block", F.floor(F.col("_id") / BLOCK).cast("bigint"))
     saved = stored(numbered.withColumn("no", (F.col("_id") % BLOCK).cast("int")).drop("_id"), "search-items")
-    texts = saved.select("block", "no", F.explode(F.array(*columns)).alias("text"))
-    letters, runs = _grams(F.col("text"))
-    split = texts.select("block", "no", letters.alias("letters")).where(F.size("letters") >= GRAM)
-    grams = split.select("block", "no", F.explode(F.array_distinct(runs)).alias("gram"))
-    lists = grams.groupBy("gram", "block").agg(F.array_sort(F.collect_set("no")).alias("nos"))
+    # a task makes the lists of what it reads; only parts of lists are shuffled, not a row for each gram of each item
+    parts = saved.select("block", "no", *[F.lower(c).alias(f"text_{k}") for k, c in enumerate(columns)]).mapInArrow(_lists, "gram string, block long, nos array<int>")
+    lists = parts.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nos")))).alias("nos"))
     ordered = lists.select("gram", "block", F.size("nos").alias("n"), "nos").sortWithinPartitions("gram", "block")
     return saved, stored(ordered, "search-lists")
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,26 @@ def test_files_are_written_to_their_paths(spark, tmp_path):
     again = sinks.write_files(spark.createDataFrame([("a.com/files/2.bin", b"new")], "target_path string, content binary"), str(tmp_path / "top"))
     assert again.first().error is None and (tmp_path / "top/a.com/files/2.bin").read_bytes() == b"new"
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
+
+
+def test_lists_are_made_before_the_shuffle(spark, monkeypatch):
+    dice = random.Random(4)
+    letters = "abÉéİ\U0001f600\x00 "
+    texts = [(i, "".join(dice.choices(letters, k=dice.randint(0, 30))), None if i % 5 == 0 else "ab" * dice.randint(0, 9)) for i in range(40)]
+    monkeypatch.setattr(search_index, "HELD", 50)
+    items = spark.createDataFrame([(i, t, c) for i, t, c in texts], "id int, title string, content string").coalesce(1)
+    saved, lists = search_index.build(items)
+    lowered = {(r.block, r.no): (r.t, r.c) for r in saved.selectExpr("block", "no", "lower(title) AS t", "lower(content) AS c").collect()}
+    want = {}
+    for (block, no), own in lowered.items():
+        for text in own:
+            for k in range(len(text or "") - 2):
+                want.setdefault((text[k : k + 3], block), set()).add(no)
+    got = {(r.gram, r.block): (r.n, r.nos) for r in lists.collect()}
+    assert got == {key: (len(nos), sorted(nos)) for key, nos in want.items()} and len(got) > 100
+    assert lists.count() == len(got)
+    # one item: no more parts than grams, where each gram of each item was a row of the shuffle before
+    batch = pa.RecordBatch.from_pydict({"block": [7, 7, 8], "no": [0, 1, 0], "t": ["abcabc", "abc", "abc"]})
+    monkeypatch.setattr(search_index, "HELD", 1 << 21)
+    rows = [r for part in search_index._lists(iter([batch])) for r in part.to_pylist()]
+    assert sorted((r["gram"], r["block"], r["nos"]) for r in rows) == [("abc", 7, [0, 1]), ("abc", 8, [0]), ("bca", 7, [0]), ("cab", 7, [0])]
