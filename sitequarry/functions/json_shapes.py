@@ -2,41 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitequarry.schemas import ROUTE_DEFINITION
 
+# Stands behind a text that is read as an element of a list.
+_MARK = uuid.uuid4().hex
+
 
 def is_json(body: Column) -> Column:
     """True when the whole text is one JSON value.
 
-    The text is set before a closing 0 into a list and into an object: both have two members only if the text is
-    one complete value with nothing behind it, since no text can close both. Repeated keys are allowed. The parser
+    The text is set into a list before a mark that no text holds, since each session draws its own: the mark is the second
+    element only if the text is one complete value. Repeated keys are allowed. The parser
     also takes single-quoted strings and control characters in strings, which are not JSON. Without escapes and
     proper strings, texts with those still hold a quote.
     """
-    in_list = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2
-    in_object = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), body, F.lit(',"b":0}')))) == 2
+    behind = F.get_json_object(F.concat(F.lit("["), body, F.lit(f',"{_MARK}"]')), "$[1]")
     bare = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), r'"[^"\x00-\x1f]*"', "")
     strict = ~body.rlike(r"['\x00-\x1f]") | ~bare.rlike("[\"']")
-    return F.coalesce(in_list & in_object & strict, F.lit(False))
+    return F.coalesce((behind == _MARK) & strict, F.lit(False))
+
+
+def _begins(body: Column, with_: str) -> Column:
+    return F.ltrim(body, F.lit(" \t\n\r")).startswith(with_)
 
 
 def json_shape(body: Column) -> Column:
     """list, dict, string, other or invalid."""
     return (
         F.when(body.isNull() | ~is_json(body), "invalid")
-        .when(body.rlike(r"^\s*\["), "list")
-        .when(body.rlike(r"^\s*\{"), "dict")
-        .when(body.rlike(r'^\s*"'), "string")
+        .when(_begins(body, "["), "list")
+        .when(_begins(body, "{"), "dict")
+        .when(_begins(body, '"'), "string")
         .otherwise("other")
     )
 
 
 def list_length(body: Column) -> Column:
     """Elements of a top-level list; NULL for anything else."""
-    return F.when(body.rlike(r"^\s*\["), F.json_array_length(body))
+    return F.when(_begins(body, "["), F.json_array_length(body))
+
+
+def index_read(body: Column) -> Column:
+    """A site index whose text begins with `{`, read strictly and once; hand the result to index_routes_of.
+
+    The document and a mark are elements of one list, as in is_json.
+    """
+    listed = F.concat(F.lit("["), body, F.lit(f',{{"mark":"{_MARK}"}}]'))
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.when(_begins(body, "{"), F.from_json(listed, "array<struct<routes:map<string,string>,mark:string>>", strict))
+
+
+def index_routes_of(read: Column) -> Column:
+    """The routes in a document read by index_read; NULL if the text is not one JSON value."""
+    whole = (F.size(read) == 2) & (F.get(read, 1)["mark"] == _MARK)
+    return F.when(whole, F.get(read, 0)["routes"])
 
 
 def list_records(body: Column) -> Column:
@@ -63,11 +87,11 @@ def route_definition(route_json: Column) -> Column:
 def self_link(definition: Column) -> Column:
     """The route's own URL, given as an object, as text or as a list of objects."""
     link = definition["_links"]["self"]
-    shape = F.schema_of_variant(link)
-    return (
-        F.when(shape == "STRING", link.cast("string"))
-        .when(shape.startswith("OBJECT"), F.try_variant_get(link, "$.href", "string"))
-        .when(shape.startswith("ARRAY"), F.try_variant_get(link, "$[0].href", "string"))
+    # only one of the paths can lead anywhere; the costly schema is left for links that are neither a list nor an object
+    return F.coalesce(
+        F.try_variant_get(link, "$[0].href", "string"),
+        F.try_variant_get(link, "$.href", "string"),
+        F.when(F.schema_of_variant(link) == "STRING", link.cast("string")),
     )
 
 
@@ -82,11 +106,10 @@ def first_args(definition: Column) -> Column:
 def args_kind(definition: Column) -> Column:
     """dict, list, missing or other, for the arguments of the first endpoint."""
     args = first_args(definition)
-    shape = F.schema_of_variant(args)
     return (
         F.when(args.isNull(), "missing")
-        .when(shape.startswith("OBJECT"), "dict")
-        .when(shape.startswith("ARRAY"), "list")
+        .when(F.try_variant_get(args, "$", "array<variant>").isNotNull(), "list")
+        .when(F.try_variant_get(args, "$", "map<string,variant>").isNotNull(), "dict")
         .otherwise("other")
     )
 

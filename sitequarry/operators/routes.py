@@ -16,9 +16,13 @@ from sitequarry.schemas import CATEGORIES, DUMP_CATEGORIES, PUBLIC_DICT, PUBLIC_
 def explode_routes(site_index: DataFrame) -> DataFrame:
     """Routes of each fetched index in index order: domain, route, route_pos, route_json.
 
-    A repeated key keeps its first place and takes its last value, as JSON objects do.
+    A repeated key keeps its first place and takes its last value, as JSON objects do. What begins with an object is judged and read
+    by one parse.
     """
-    routes = F.from_json("body", "routes map<string,string>")["routes"]
+    other = ~F.ltrim("body", F.lit(" \t\n\r")).startswith("{") & json_shapes.is_json(F.col("body"))
+    routes = F.coalesce(
+        json_shapes.index_routes_of(F.col("document")), F.when(F.col("other"), F.from_json("body", "routes map<string,string>")["routes"])
+    )
     names = F.map_keys("routes")
     entries = F.map_entries("routes")
     merged = F.transform(
@@ -30,7 +34,8 @@ def explode_routes(site_index: DataFrame) -> DataFrame:
     )
     repeated = F.size(F.array_distinct(names)) < F.size(names)
     fetched = site_index.where(failures.is_success(F.col("status"), F.col("error")))
-    parsed = with_computed(fetched.select("domain", "body"), routes=F.when(json_shapes.is_json(F.col("body")), routes))
+    read = with_computed(fetched.select("domain", "body"), document=json_shapes.index_read(F.col("body")), other=other)
+    parsed = with_computed(read, routes=routes)
     return (
         parsed.select("domain", F.posexplode_outer(F.when(repeated, merged).otherwise(entries)).alias("route_pos", "entry"))
         .where("entry IS NOT NULL")
@@ -108,13 +113,15 @@ def dispatch(
     ranked = _first_match(known_routes, DUMP_CATEGORIES)
     definition = F.col("definition")
     matched = spread_join(routes, ranked, ["route"], "left", by=["domain"])
+    unknown = F.col("category").isNull()
     # a generator copies its rows, so one is all: filters stay above it, and what they repeat there is cheap
     joined = with_computed(
         matched.withColumn("definition", json_shapes.route_definition(F.col("route_json"))),
         link=json_shapes.self_link(definition),
-        endpoints=json_shapes.endpoint_count(definition),
-        args=json_shapes.args_kind(definition),
-        paginated=json_shapes.is_paginated(definition),
+        # what only routes outside the catalogue are judged by
+        endpoints=F.when(unknown, json_shapes.endpoint_count(definition)),
+        args=F.when(unknown, json_shapes.args_kind(definition)),
+        paginated=F.when(unknown, json_shapes.is_paginated(definition)),
     ).drop("definition")
     category, no_url = F.col("category"), F.col("link").isNull()
 

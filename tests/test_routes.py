@@ -159,3 +159,30 @@ def test_strict_json(spark):
 
     got = {r.v: r.ok for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", json_shapes.is_json(F.col("v")).alias("ok")).collect()}
     assert got == {t: valid(t) for t in texts}
+
+
+def test_odd_index_texts_are_judged_and_read_as_before(spark):
+    bodies = {
+        "whole": ('{"routes":{"/a":{"x":"it\'s"},"/b":null}}', ["/a", "/b"]),
+        "listed": ('[{"routes":{"/a":1}}]', []),
+        "again": ('{"routes":{"/a":1},"routes":{"/b":2}}', ["/b"]),
+        "spaced": ('\n\t {"routes":{"/a":1}} \n', ["/a"]),
+        "behind": ('{"routes":{"/a":1}},{"mark":"x"}', []),
+        "closed": ('{"routes":{"/a":1}},{"mark":"x"}],[1', []),
+        "quotes": ("{'routes':{'/a':1}}", []),
+        "not_a_number": ('{"routes":{"/a":NaN}}', []),
+        "control": ('{"routes":{"/a":"\x01"}}', []),
+        "half": ('{"routes":{"/a":1}', []),
+        "marked": ('{"mark":[1],"routes":{"/a":1}}', ["/a"]),
+    }
+    rows = [(name, None, 200, None, body) for name, (body, _) in bodies.items()]
+    index = spark.createDataFrame(rows, "domain string, fetched_at timestamp, status int, error string, body string")
+    found = routes.explode_routes(index).orderBy("domain", "route_pos").collect()
+    assert {n: [r.route for r in found if r.domain == n] for n in bodies} == {n: names for n, (_, names) in bodies.items()}
+
+
+def test_index_texts_are_parsed_once(spark):
+    index = spark.createDataFrame([], "domain string, fetched_at timestamp, status int, error string, body string")
+    plan = routes.explode_routes(index)._jdf.queryExecution().optimizedPlan().toString()
+    # one parse of what begins with an object, with its judgement; for other texts a judgement and a parse
+    assert plan.count("from_json(") == 2 and plan.count("get_json_object(") == 1 and "json_object_keys(" not in plan
