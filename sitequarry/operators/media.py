@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import failures, json_shapes, text, urls
 from sitequarry.operators.computed import with_computed
-from sitequarry.operators.skew import heavy_keys, spread_join
+from sitequarry.operators.skew import spread_join
 
 TARGET = ["domain", "target_path"]
 URL = ["domain", "source_url"]
@@ -24,14 +24,13 @@ def media_lines(media: DataFrame) -> DataFrame:
     found = F.from_json("raw", "source_url variant")["source_url"]
     # two plain columns, each parsed once; the reason comes from a generator, and filters on it stay above that
     checked = media.withColumn("shape", shape).withColumn("found", F.when(F.col("shape") == "dict", found))
-    value_shape = F.schema_of_variant("found")
     reason = (
         F.when(raw.isNull() | raw.rlike(r"(?U)^[\s\x1c-\x1f]*$"), "blank")
         .when(F.col("shape") == "invalid", "invalid_json")
         .when(F.col("shape") != "dict", "not_an_object")
         .when(F.col("found").isNull(), "no_source_url")
-        .when(value_shape == "VOID", "null_source_url")
-        .when(value_shape != "STRING", "source_url_is_no_text")
+        .when(F.is_variant_null("found"), "null_source_url")
+        .when(F.schema_of_variant("found") != "STRING", "source_url_is_no_text")
     )
     return with_computed(checked, reject_reason=reason).select(
         "domain",
@@ -113,9 +112,9 @@ def download_plan(
     """
     active = manifest if resume else manifest.limit(0)
     resumed = active.select("domain").distinct().withColumn("resumed", F.lit(True))
-    # only targets that a checkpoint or a file tells of need to know whether their site is resumed
-    busy = heavy_keys(existing_files.select("domain").unionByName(active.select("domain")), ["domain"])
-    known = spread_join(_presence(active, existing_files), resumed, ["domain"], "left", by=["target_path"], heavy=busy)
+    # only targets that a checkpoint or a file tells of need to know whether their site is resumed; every site is dealt, since a look for
+    # the busy ones would make both tables again for each count
+    known = spread_join(_presence(active, existing_files), resumed, ["domain"], "left", by=["target_path"])
     joined = targets.join(known, TARGET, "left")
     in_checkpoint = F.coalesce("in_checkpoint", F.lit(False))
     file_exists = F.coalesce("file_exists", F.lit(False))
@@ -207,7 +206,8 @@ def next_manifest(manifest: DataFrame, outcomes: DataFrame, now: float, resume:
     """The checkpoint after a run: the old paths and those fetched by this run, each once.
 
     Files found to exist are not added. The time moves only for sites that had something to do:
-    a run without resuming, without URLs or with nothing left leaves the checkpoint as it was.
+    a run without resuming, without URLs or with nothing left leaves the checkpoint as it was. `outcomes` is read twice: store what is
+    costly to make.
     """
     old = manifest.select("domain", "path", "last_updated")
     if not resume:
@@ -217,7 +217,7 @@ def next_manifest(manifest: DataFrame, outcomes: DataFrame, now: float, resume:
     added = added.withColumn("last_updated", F.lit(None).cast("double"))
     merged = old.unionByName(added).groupBy("domain", "path").agg(F.max("last_updated").alias("last_updated"))
     updated = F.when(F.col("active"), F.lit(now)).otherwise(F.col("last_updated"))
-    joined = spread_join(merged, active, ["domain"], "left", by=["path"], heavy=heavy_keys(manifest, ["domain"]))
+    joined = spread_join(merged, active, ["domain"], "left", by=["path"])
     return joined.select("domain", "path", updated.alias("last_updated"))
 
 

@@ -88,10 +88,10 @@ def getfiles(
     now: float,
     resume: bool = True,
 ) -> dict[str, DataFrame]:
-    """Download plan, its outcomes, statistics and the next checkpoint."""
+    """Download plan, its outcomes, statistics and the next checkpoint; the outcomes are written once."""
     targets = media.with_targets(media.distinct_urls(media.media_urls(media_lines)))
     plan = media.download_plan(targets, manifest, existing_files, resume)
-    outcomes = media.with_outcomes(plan, transfers)
+    outcomes = stored(media.with_outcomes(plan, transfers), "outcomes")
     return {
         "rejects": media.media_rejects(media_lines),
         "plan": plan,

@@ -452,7 +452,8 @@ def failed_urls(spark, sf_dir):
 
 @query
 def next_manifest(spark, sf_dir):
-    return media.next_manifest(b.manifest(spark, sf_dir), _outcomes(spark, sf_dir), now=1.8e9)
+    done = stored(_outcomes(spark, sf_dir).select("domain", "target_path", "outcome", "fetched"), "outcomes")
+    return media.next_manifest(b.manifest(spark, sf_dir), done, now=1.8e9)
 
 
 def _grown(spark, sf_dir):

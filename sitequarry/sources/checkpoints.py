@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitequarry.operators.skew import heavy_keys, spread_join
+from sitequarry.operators.skew import spread_join
 from sitequarry.session import children, whole
 
 PATHS = "domain STRING, path STRING, last_updated DOUBLE"
@@ -60,7 +60,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         of_run = spark.read.schema(TIMES).parquet(f"{folder}/times-{v:06d}").withColumn("version", F.lit(v))
         times = of_run if times is None else times.unionByName(of_run)
     last = times.groupBy("domain").agg(F.max_by("last_updated", "version").alias("moved"))
-    joined = spread_join(paths, last, ["domain"], "left", by=["path"], heavy=heavy_keys(rows, ["domain"]))
+    joined = spread_join(paths, last, ["domain"], "left", by=["path"])
     return joined.select("domain", "path", F.coalesce("moved", "last_updated").alias("last_updated"))
 
 

@@ -99,3 +99,33 @@ def test_missing_list_and_present_files(spark):
     assert [r.source_url for r in present.collect()] == ["http://x/a.jpg"]
     expected = spark.createDataFrame([("d", "d/files/a.jpg", 7)], "domain string, target_path string, bytes bigint")
     assert media.wrong_lengths(files(spark, "a.jpg", "b.jpg"), expected).first().expected_length == 7
+
+
+def test_checkpoint_and_files_are_made_once_for_each_use(spark):
+    """Plans over tables that are costly to make: no table is made again for counts of its sites."""
+    paths = "concat('d', id % 2) AS domain", "concat('d', id % 2, '/files/', id) AS path"
+    listed = spark.range(0, 31).selectExpr(*paths, "1.0D AS last_updated")
+    there = spark.range(0, 37).selectExpr(*paths, "5L AS length")
+    targets = spark.range(0, 41).selectExpr("concat('d', id % 2) AS domain", "concat('http://x/', id) AS source_url", "concat('d', id % 2, '/files/', id) AS target_path")
+
+    def made(frame, size):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count(f"Range (0, {size},")
+
+    plan = media.download_plan(targets, listed, there)
+    assert (made(plan, 31), made(plan, 37), made(plan, 41)) == (2, 1, 1)
+    assert {tuple(r) for r in plan.groupBy("skip_reason").count().collect()} == {("in_checkpoint", 31), ("file_exists", 6), (None, 4)}
+    done = targets.selectExpr("domain", "target_path", "'downloaded' AS outcome", "true AS fetched")
+    after = media.next_manifest(listed, done, now=2.0)
+    assert (made(after, 31), made(after, 41)) == (1, 2)
+    assert {tuple(r) for r in after.groupBy("last_updated").count().collect()} == {(2.0, 41)}
+
+
+def test_getfiles_makes_outcomes_once(spark):
+    lines_ = spark.range(0, 11).selectExpr("'d' AS domain", "id AS line_no", """concat('{"source_url":"http://x/', id, '.jpg"}') AS raw""")
+    moved = spark.range(0, 13).selectExpr("'d' AS domain", "concat('http://x/', id, '.jpg') AS source_url", "true AS success",
+                                          "cast(NULL AS string) AS error", "7L AS bytes", "timestamp_seconds(id) AS ts")
+    found = jobs.getfiles(lines_, checkpoint(spark, "0.jpg"), files(spark, "1.jpg"), moved, now=2.0)
+    for name in ("statistics", "manifest", "failed"):
+        plan = found[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (0, 11," not in plan and "Range (0, 13," not in plan
+    assert found["statistics"].first().downloaded == 9 and found["manifest"].count() == 10
