@@ -77,9 +77,13 @@ def present_in_index(candidates: DataFrame, routes: DataFrame) -> DataFrame:
     return candidates.join(by_sort(routes.select("domain", "route")), ["domain", "route"], "left_semi")
 
 
-def with_definitions(candidates: DataFrame, routes: DataFrame) -> DataFrame:
-    """Candidate (domain, route) rows with their definition from the index."""
-    return candidates.join(by_sort(routes.select("domain", "route", "route_json")), ["domain", "route"])
+def with_definitions(candidates: DataFrame, routes: DataFrame, **parts: Column) -> DataFrame:
+    """Candidate (domain, route) rows with their definition from the index, or with what `parts` take from it.
+
+    Parts are read where the definition is; its text, which is most of an index, is then neither shuffled nor sorted.
+    """
+    taken = [part.alias(name) for name, part in parts.items()] or ["route_json"]
+    return candidates.join(by_sort(routes.select("domain", "route", *taken)), ["domain", "route"])
 
 
 def category_statistics(categorised: DataFrame) -> DataFrame:

@@ -74,15 +74,15 @@ def index_routes(spark, sf_dir):
 
 @query
 def route_definitions(spark, sf_dir):
-    found = _routes(spark, sf_dir)
-    wanted = routes.unknown_routes(found, seed_catalogue(spark)).select("domain", "route")
+    # routes that the catalogue knows have no candidate and stay where they are read
+    wanted = routes.unknown_routes(_routes(spark, sf_dir), seed_catalogue(spark))
     definition = json_shapes.route_definition(F.col("route_json"))
-    return routes.with_definitions(wanted, found).select(
-        "domain",
-        "route",
-        json_shapes.endpoint_count(definition).cast("int").alias("endpoints"),
-        json_shapes.args_kind(definition).alias("args"),
-        F.coalesce(json_shapes.is_paginated(definition), F.lit(False)).alias("paginated"),
+    return routes.with_definitions(
+        wanted.select("domain", "route"),
+        wanted,
+        endpoints=json_shapes.endpoint_count(definition).cast("int"),
+        args=json_shapes.args_kind(definition),
+        paginated=F.coalesce(json_shapes.is_paginated(definition), F.lit(False)),
     )
 
 

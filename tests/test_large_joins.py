@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitequarry import schemas
+from sitequarry.functions import json_shapes
 from sitequarry.operators import pages, probe, routes
-from sitequarry.plans import jobs
+from sitequarry.plans import jobs, suite
 from sitequarry.sources import fetch
 
 
@@ -52,6 +53,18 @@ def test_page_joins_are_sorted(spark, index, captured, rows):
     assert rows(done["records"], "domain", "record_json") == [(f"d{i}", '{"id":1}') for i in range(4)]
 
 
+def test_text_of_definitions_is_not_shuffled(spark, index, rows, tmp_path, capsys):
+    found = routes.explode_routes(index)
+    wanted, definition = found.select("domain", "route"), json_shapes.route_definition(F.col("route_json"))
+    read = routes.with_definitions(wanted, found, endpoints=json_shapes.endpoint_count(definition), args=json_shapes.args_kind(definition))
+    assert rows(read) == sorted([(f"d{i}", "/x", 1, "dict") for i in range(4)] + [(f"d{i}", "/wp/v2/posts", None, "missing") for i in range(4)], key=str)
+    spark.createDataFrame([(c,) for c in range(1, 40)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    for frame in (read, suite.route_definitions(spark, str(tmp_path))):
+        frame.explain("formatted")
+        moved = [part for part in capsys.readouterr().out.split("\n\n") if ") Exchange" in part and "hashpartitioning(domain" in part]
+        assert len(moved) >= 2 and not any("route_json" in part for part in moved)
+
+
 def test_answers_leave_in_bounded_batches():
     schema = ["domain", "route", "kind", "url", "page", "attempt"]
     asked = pa.RecordBatch.from_pylist([dict(zip(schema, ("d", "/r", "list", str(i), i, 1), strict=True)) for i in range(3000)])
