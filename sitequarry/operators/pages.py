@@ -16,6 +16,9 @@ PAGE = ["domain", "route", "page"]
 # go by (domain, route, block of pages) and no group outgrows one task.
 PAGE_BLOCK = 65536
 
+# Pages of a route whose presence is kept as bits of one number. Only pages behind them are joined to tell which are there.
+FIRST_PAGES = 62
+
 # The largest page number.
 MOST_PAGES = 2**31 - 1
 
@@ -60,19 +63,24 @@ def next_requests(
     by a first open page whose tries are used up. With `ahead` over 1 the pages behind the first are asked for too: up to the announced
     number, or `ahead` in all where none is announced; pages that have an answer or no try left are not asked for again.
     """
-    planned = routes.where("action = 'list'").select(*ROUTE, "url")
+    planned = routes.where("action = 'list' AND domain IS NOT NULL AND route IS NOT NULL").select(*ROUTE, "url")
     good = pages.where("NOT failed")
-    after = good.where("stop IS NULL").select(*ROUTE, (F.col("page") + 1).alias("page"))
-    first = planned.select(*ROUTE, F.lit(1).alias("page")).unionByName(after).join(by_sort(good.select(*PAGE)), PAGE, "left_anti")
-    first = first.groupBy(*ROUTE).agg(F.min("page").alias("page"))
+    # the first page without a success lies in the first pages, or behind one that has them all
+    far = good.where(F.col("page") > FIRST_PAGES).select(*PAGE)
+    after = good.where((F.col("page") >= FIRST_PAGES) & F.col("stop").isNull()).select(*ROUTE, (F.col("page") + 1).alias("page"))
+    behind = after.join(by_sort(far), PAGE, "left_anti").groupBy(*ROUTE).agg(F.min("page").alias("behind"))
     ends = pages.groupBy(*ROUTE).agg(
         F.min(F.when(~F.col("failed") & F.col("stop").isNotNull(), F.col("page"))).alias("first_stop"),
         F.max("total_pages").alias("total_pages"),
+        _first_pages(~F.col("failed")).alias("had"),
     )
     tried = pages.where("failed").select(*PAGE, "tries")
     announced = F.when(F.col("total_pages") != 0, F.greatest("total_pages", F.lit(1)))
+    in_a_row = F.bit_count(F.expr("had & ~(had + 1)"))
+    page = F.when(in_a_row == FIRST_PAGES, F.col("behind")).otherwise(in_a_row + 1).cast("int")
+    begun = planned.join(by_sort(ends), ROUTE, "left").join(by_sort(behind), ROUTE, "left").withColumn("had", F.coalesce("had", F.lit(0).cast("bigint")))
     is_open = ~F.coalesce((F.col("first_stop") < F.col("page")) | (F.col("page") > announced), F.lit(False))
-    joined = planned.join(by_sort(first), ROUTE).join(by_sort(ends), ROUTE, "left").join(by_sort(tried), PAGE, "left")
+    joined = begun.withColumn("page", page).where("page IS NOT NULL").join(by_sort(tried), PAGE, "left")
     wanted = joined.where(is_open & (F.coalesce("tries", F.lit(0)) < retry_count))
     if ahead > 1:
         known = F.when(announced <= MOST_PAGES, announced)
@@ -83,7 +91,8 @@ def next_requests(
         begin = F.greatest(F.col("page").cast("bigint"), F.col("block") * PAGE_BLOCK + 1)
         inside = F.sequence(begin, F.least("last", (F.col("block") + 1) * PAGE_BLOCK))
         spread = blocks.select(*ROUTE, "url", F.explode(inside).alias("page")).withColumn("page", F.col("page").cast("int"))
-        wanted = spread.join(by_sort(good.select(*PAGE)), PAGE, "left_anti").join(by_sort(tried), PAGE, "left").where(F.coalesce("tries", F.lit(0)) < retry_count)
+        known = spread.join(by_sort(pages.select(*PAGE, "failed", "tries")), PAGE, "left")
+        wanted = known.where(F.coalesce("failed", F.lit(True)) & (F.coalesce("tries", F.lit(0)) < retry_count))
     return wanted.select(
         *ROUTE,
         F.lit("list").alias("kind"),
@@ -182,6 +191,7 @@ def assemble(pages: DataFrame) -> DataFrame:
         F.max("page").alias("last_seen"),
         total.alias("total_pages"),
         F.max("total_records").alias("total_records"),
+        _first_pages(F.lit(True)).alias("seen"),
     )
     announced = F.when(F.col("total_pages") != 0, F.greatest("total_pages", F.lit(1)))
     ends = ends.withColumn("end_page", F.least("first_stop", announced))
@@ -192,14 +202,18 @@ def assemble(pages: DataFrame) -> DataFrame:
         F.lit(False),
     )
     ends = ends.withColumn("in_reach", in_reach).withColumn("gaps", F.col("n_seen") < F.col("last_seen"))
-    # the routes to count get their blocks of pages, the others a NULL block that joins nothing
-    blocks = F.when(F.col("in_reach") & F.col("gaps"), _blocks_up_to(F.col("end_page")))
-    numbered = pages.select(*PAGE, _block(F.col("page")).alias("block"))
+    # the routes to count behind their first pages get their blocks of pages, the others a NULL block that joins nothing
+    blocks = F.when(F.col("in_reach") & F.col("gaps") & (F.col("end_page") > FIRST_PAGES), _blocks_up_to(F.col("end_page")))
+    numbered = pages.where(F.col("page") > FIRST_PAGES).select(*PAGE, _block(F.col("page")).alias("block"))
     counted = ends.select("*", F.explode_outer(blocks).alias("block")).join(by_sort(numbered), [*ROUTE, "block"], "left")
     kept_columns = [c for c in ends.columns if c not in ROUTE]
     joined = counted.groupBy(*ROUTE).agg(
-        F.count_if(F.col("page") <= F.col("end_page")).alias("n_present"), *[F.first(c).alias(c) for c in kept_columns]
+        F.count_if(F.col("page") <= F.col("end_page")).alias("n_behind"), *[F.first(c).alias(c) for c in kept_columns]
     )
+    among_first = F.bit_count(F.expr(f"seen & (shiftleft(1L, cast(least(end_page, {FIRST_PAGES}) AS INT)) - 1)"))
+    # routes without a name join nothing anywhere
+    named = F.col("domain").isNotNull() & F.col("route").isNotNull()
+    joined = joined.withColumn("n_present", F.col("n_behind") + F.when(named, among_first).otherwise(0))
     complete = F.col("in_reach") & (~F.col("gaps") | (F.col("n_present") == F.col("end_page")))
     by_stop = F.coalesce(F.col("first_stop") <= F.col("end_page"), F.lit(False))
     reason = F.when(by_stop, F.element_at(F.lit(STOPS), F.col("stop") + 1)).otherwise("total_pages")
@@ -216,6 +230,12 @@ def assemble(pages: DataFrame) -> DataFrame:
     )
 
 
+def _first_pages(condition: Column) -> Column:
+    """Bits of the first pages for which the condition holds, page 1 the lowest; 0 if there is none."""
+    bit = F.expr("shiftleft(1L, page - 1)")
+    return F.bit_or(F.when(condition & (F.col("page") <= FIRST_PAGES), bit).otherwise(F.lit(0).cast("bigint")))
+
+
 def _block(page: Column) -> Column:
     return F.floor((page - 1) / PAGE_BLOCK).cast("bigint")
 
@@ -286,10 +306,17 @@ def dict_documents(responses: DataFrame) -> DataFrame:
 
 def route_summary(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Records and pages per list route; the announced total of records wins over the count."""
-    counted = kept_pages(pages, outcomes).groupBy(*ROUTE).agg(F.sum("n_records").cast("bigint").alias("n_records"))
+    # outcomes are read once: they go with their routes through the join that counts records
+    blocks = F.when((F.col("outcome") == "complete") & (F.col("pages_kept") >= 1), _blocks_up_to(F.col("pages_kept")))
+    told = ["outcome", "pages_kept", "pages_reported", "total_records"]
+    spread = outcomes.select(*ROUTE, *told, F.explode_outer(blocks).alias("block"))
+    numbered = pages.where("n_records IS NOT NULL").select(*PAGE, "n_records", _block(F.col("page")).alias("block"))
+    counted = spread.join(by_sort(numbered), [*ROUTE, "block"], "left").groupBy(*ROUTE).agg(
+        F.sum(F.when(F.col("page") <= F.col("pages_kept"), F.col("n_records"))).cast("bigint").alias("n_records"), *[F.first(c).alias(c) for c in told]
+    )
     complete = F.col("outcome") == "complete"
     n_records = F.coalesce("n_records", F.lit(0))
-    return outcomes.join(by_sort(counted), ROUTE, "left").select(
+    return counted.select(
         *ROUTE,
         "outcome",
         F.when(complete, n_records).otherwise(0).cast("bigint").alias("records_written"),

@@ -1,5 +1,7 @@
 """Joins of tables that grow with the sites are never broadcast, however small Spark takes them for."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,47 @@ def test_text_of_definitions_is_not_shuffled(spark, index, rows, tmp_path, capsy
         assert len(moved) >= 2 and not any("route_json" in part for part in moved)
 
 
+def test_pages_are_joined_only_behind_the_first_ones(spark, rows):
+    """Routes of 1 to 130 pages with gaps, failures and stops against a plain walk over their pages."""
+    many, found, ends, asked = random.Random(5), [], [], {1: [], 4: []}
+    for k in range(160):
+        length, total = many.choice([1, 3, 61, 62, 63, 64, 130]), many.choice([None, 0, 2, 62, 63, 70])
+        missing = {many.randint(1, length + 1) for _ in range(many.choice([0, 1, 2]))}
+        stops = {p: many.randint(0, 4) for p in {many.randint(1, length + 9), length} if many.random() < 0.6}
+        failed = {many.randint(1, length + 9): many.randint(1, 5) for _ in range(many.choice([0, 0, 1]))}
+        got = {p: (failed.get(p), stops.get(p)) for p in range(1, length + 1) if p not in missing}
+        if not got:
+            continue
+        for p, (tries, stop) in got.items():
+            found.append((f"d{k}", "/r", p, tries or 1, None if tries else 1, None if tries else 200, None if tries else stop, None if tries or stop else p % 7,
+                          None if tries else total if p == 1 else None, None, bool(tries)))
+        good = {p: stop for p, (tries, stop) in got.items() if not tries}
+        total = total if 1 in good else None
+        first_stop = min((p for p, stop in good.items() if stop is not None), default=None)
+        end = min((x for x in (first_stop, total or None) if x), default=None)
+        whole = end is not None and all(p in good for p in range(1, end + 1))
+        kept = 0 if not whole else end - 1 if first_stop is not None and first_stop <= end else end
+        ends.append((f"d{k}", "complete" if whole else "dropped", kept, sum(p % 7 for p in range(1, kept + 1) if not good[p])))
+        page = next(p for p in range(1, length + 2) if p not in good)
+        if (first_stop and first_stop < page) or (total and page > total) or (page in got and got[page][0] >= 5):
+            continue
+        for ahead, wanted in asked.items():
+            last = page if ahead == 1 else max(page, min(x for x in (total or page + ahead - 1, first_stop and first_stop - 1) if x is not None))
+            for p in range(page, last + 1):
+                if p not in good and (got[p][0] if p in got else 0) < 5:
+                    wanted.append((f"d{k}", p, (got[p][0] if p in got else 0) + 1))
+    resolved = spark.createDataFrame(found, "domain string, route string, page int, tries bigint, attempt int, status int, stop int, n_records bigint, "
+                                     "total_pages bigint, total_records bigint, failed boolean")
+    outcomes, plan = pages.assemble(resolved), resolved.select("domain", "route", F.lit("list").alias("action"), F.lit("u").alias("url")).distinct()
+    summary = pages.route_summary(resolved, outcomes)
+    assert rows(summary, "domain", "outcome", "pages_kept", "records_written") == sorted(ends, key=str)
+    for ahead, wanted in asked.items():
+        assert rows(pages.next_requests(plan, resolved, ahead=ahead), "domain", "page", "attempt") == sorted(wanted, key=str)
+    joins = summary._jdf.queryExecution().optimizedPlan().toString()
+    # the pages are joined twice, once for those behind the first ones; outcomes are made once
+    assert joins.count("Join LeftOuter") == 2 and "Join Inner" not in joins and joins.count(f"> {pages.FIRST_PAGES})") >= 1
+
+
 def test_answers_leave_in_bounded_batches():
     schema = ["domain", "route", "kind", "url", "page", "attempt"]
     asked = pa.RecordBatch.from_pylist([dict(zip(schema, ("d", "/r", "list", str(i), i, 1), strict=True)) for i in range(3000)])
