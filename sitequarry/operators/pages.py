@@ -308,10 +308,11 @@ def route_summary(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Records and pages per list route; the announced total of records wins over the count."""
     # outcomes are read once: they go with their routes through the join that counts records
     blocks = F.when((F.col("outcome") == "complete") & (F.col("pages_kept") >= 1), _blocks_up_to(F.col("pages_kept")))
-    told = ["outcome", "pages_kept", "pages_reported", "total_records"]
-    spread = outcomes.select(*ROUTE, *told, F.explode_outer(blocks).alias("block"))
+    told = ["pages_kept", "pages_reported", "total_records"]
+    spread = outcomes.select(*ROUTE, "outcome", *told, F.explode_outer(blocks).alias("block"))
     numbered = pages.where("n_records IS NOT NULL").select(*PAGE, "n_records", _block(F.col("page")).alias("block"))
-    counted = spread.join(by_sort(numbered), [*ROUTE, "block"], "left").groupBy(*ROUTE).agg(
+    # the outcome, a text, is a key: as a value it would have rows sorted before they are added up
+    counted = spread.join(by_sort(numbered), [*ROUTE, "block"], "left").groupBy(*ROUTE, "outcome").agg(
         F.sum(F.when(F.col("page") <= F.col("pages_kept"), F.col("n_records"))).cast("bigint").alias("n_records"), *[F.first(c).alias(c) for c in told]
     )
     complete = F.col("outcome") == "complete"
