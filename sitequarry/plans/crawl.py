@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitequarry import schemas
 from sitequarry.operators import pages, routes
 from sitequarry.plans import jobs
-from sitequarry.session import whole
+from sitequarry.session import stored, whole
 from sitequarry.sources import fetch
 
 #: Pages of a route without an announced number that one round asks for at most; rounds double up to it.
@@ -77,10 +77,10 @@ def _dictionaries(plan: DataFrame) -> DataFrame:
 
 
 def _known(spark: SparkSession, folder: str, rounds: int) -> DataFrame:
-    """Pages resolved so far, out of the numbers that each round left."""
+    """Pages resolved so far, out of the numbers that each round left; written once for all that plan with them."""
     if not rounds:
         return pages.resolve_retries(spark.createDataFrame([], schemas.RESPONSES))
-    return pages.merge_resolved(spark.read.parquet(*(_round(folder, "pages", k) for k in range(rounds))))
+    return stored(pages.merge_resolved(spark.read.parquet(*(_round(folder, "pages", k) for k in range(rounds)))), "known")
 
 
 def responses(spark: SparkSession, folder: str, rounds: int) -> DataFrame:
