@@ -12,6 +12,9 @@ from sitequarry.schemas import ROUTE_DEFINITION
 # Stands behind a text that is read as an element of a list.
 _MARK = uuid.uuid4().hex
 
+# Options of a parser that takes nothing but JSON.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def is_json(body: Column) -> Column:
     """True when the whole text is one JSON value.
@@ -47,14 +50,28 @@ def list_length(body: Column) -> Column:
     return F.when(_begins(body, "["), F.json_array_length(body))
 
 
+def strict_list_length(body: Column) -> Column:
+    """Elements of a text that is one JSON list, told by one strict parse; NULL for others and for what only is_json takes.
+
+    The text and a mark are elements of one list, as in is_json.
+    """
+    listed = F.concat(F.lit("["), body, F.lit(f',["{_MARK}"]]'))
+    read = F.when(_begins(body, "["), F.from_json(listed, "array<array<string>>", _STRICT))
+
+    def counted(lists: Column) -> Column:
+        whole = (F.size(lists) == 2) & (F.get(F.get(lists, 1), 0) == _MARK)
+        return F.when(whole & F.get(lists, 0).isNotNull(), F.size(F.get(lists, 0)))
+
+    return F.get(F.transform(F.array(read), counted), 0)
+
+
 def index_read(body: Column) -> Column:
     """A site index whose text begins with `{`, read strictly and once; hand the result to index_routes_of.
 
     The document and a mark are elements of one list, as in is_json.
     """
     listed = F.concat(F.lit("["), body, F.lit(f',{{"mark":"{_MARK}"}}]'))
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    return F.when(_begins(body, "{"), F.from_json(listed, "array<struct<routes:map<string,string>,mark:string>>", strict))
+    return F.when(_begins(body, "{"), F.from_json(listed, "array<struct<routes:map<string,string>,mark:string>>", _STRICT))
 
 
 def index_routes_of(read: Column) -> Column:
@@ -69,10 +86,14 @@ def list_records(body: Column) -> Column:
     Reading a list as strings keeps nested text but drops the quotes of plain strings and the word
     null, so lists with such elements are read as variants instead.
     """
-    texts = F.from_json(body, "array<string>")
-    plain = F.exists(texts, lambda e: e.isNull() | ~e.rlike(r"^[\[{]"))
-    variants = F.try_parse_json(body).cast("array<variant>")
-    return F.when(plain, F.transform(variants, lambda v: F.to_json(v))).otherwise(texts)
+
+    def written(texts: Column) -> Column:
+        plain = F.exists(texts, lambda e: e.isNull() | ~(e.startswith("[") | e.startswith("{")))
+        variants = F.try_parse_json(body).cast("array<variant>")
+        return F.when(plain, F.transform(variants, lambda v: F.to_json(v))).otherwise(texts)
+
+    # as the only element of a list, the texts are read once for both of their uses
+    return F.get(F.transform(F.array(F.from_json(body, "array<string>")), written), 0)
 
 
 def has_key(body: Column, key: str) -> Column:

@@ -117,8 +117,9 @@ def resolve_retries(responses: DataFrame, retry_count: int = RETRY_COUNT) -> Dat
     before it. (domain, route, page, attempt) is the key of `responses`.
     """
     body = F.col("body")
-    shape = json_shapes.json_shape(body)
-    n_records = F.when(F.col("shape") == "list", json_shapes.list_length(body))
+    # nearly all bodies are lists that one parse tells and counts
+    shape = F.when(F.col("counted").isNotNull(), "list").otherwise(json_shapes.json_shape(body))
+    n_records = F.coalesce("counted", F.when(F.col("shape") == "list", json_shapes.list_length(body)))
     stop = (
         F.when(F.col("status") != 200, 0)
         .when(F.col("shape") == "invalid", 1)
@@ -135,6 +136,7 @@ def resolve_retries(responses: DataFrame, retry_count: int = RETRY_COUNT) -> Dat
     # a body matters only if its response may win with status 200
     read = (
         read.withColumn("body", F.when((F.col("status") == 200) & F.col("won").isNotNull(), body))
+        .withColumn("counted", json_shapes.strict_list_length(F.col("body")))
         .withColumn("shape", shape)
         .withColumn("n_records", n_records)
         .select(
@@ -244,12 +246,12 @@ def _blocks_up_to(page: Column) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), _block(page))
 
 
-def _pages_up_to(pages: DataFrame, routes: DataFrame, last: str) -> DataFrame:
-    """Page rows of the given routes from page 1 to the route's page number `last`."""
-    numbered = pages.withColumn("block", _block(F.col("page")))
-    spread = routes.where(F.col(last) >= 1).withColumn("block", F.explode(_blocks_up_to(F.col(last))))
-    joined = numbered.join(by_sort(spread), [*ROUTE, "block"]).where(F.col("page") <= F.col(last))
-    return joined.drop("block")
+def _pages_up_to(routes: DataFrame, last: str) -> DataFrame:
+    """A row for each page of the given routes from page 1 to the route's page number `last`; long routes are spread by blocks."""
+    blocks = routes.where(F.col(last) >= 1).withColumn("block", F.explode(_blocks_up_to(F.col(last)))).repartition(*ROUTE, "block")
+    first = F.col("block") * PAGE_BLOCK + 1
+    inside = F.sequence(first, F.least(last, first + (PAGE_BLOCK - 1)))
+    return blocks.select(*ROUTE, F.explode(inside).alias("page")).withColumn("page", F.col("page").cast("int"))
 
 
 def dropped_routes(outcomes: DataFrame) -> DataFrame:
@@ -257,9 +259,12 @@ def dropped_routes(outcomes: DataFrame) -> DataFrame:
 
 
 def kept_pages(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The page rows, with their winning attempt, whose records a route keeps."""
+    """The page rows, with their winning attempt, whose records a route keeps.
+
+    The kept pages of the routes go to where the page rows of their key are, so what keeps pages together is good for bodies too.
+    """
     complete = outcomes.where("outcome = 'complete'").select(*ROUTE, "pages_kept")
-    return _pages_up_to(pages.select(*PAGE, "attempt", "n_records"), complete, "pages_kept").drop("pages_kept")
+    return pages.select(*PAGE, "attempt", "n_records").join(by_sort(_pages_up_to(complete, "pages_kept")), PAGE)
 
 
 def records(responses: DataFrame, pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -273,17 +278,10 @@ def records(responses: DataFrame, pages: DataFrame, outcomes: DataFrame) -> Data
     same = [bodies[c] == kept[c] for c in PAGE]
     # a page has few tries; as a difference the try is no key of the join, whose keys are then those of the buckets
     joined = bodies.join(by_sort(kept), same[0] & same[1] & same[2] & (F.col("attempt") - F.col("won") == 0))
-    return (
-        joined.select(*[bodies[c] for c in PAGE], "body")
-        .select(*PAGE, F.posexplode(json_shapes.list_records(F.col("body"))).alias("idx", "record_json"))
-        .select(
-            "domain",
-            "route",
-            urls.output_name(F.col("route"), F.lit("list")).alias("out_name"),
-            "page",
-            "idx",
-            "record_json",
-        )
+    # the name is made once a page
+    named = joined.select(*[bodies[c] for c in PAGE], "body").withColumn("out_name", urls.output_name(F.col("route"), F.lit("list")))
+    return named.select(
+        *ROUTE, "out_name", "page", F.posexplode(json_shapes.list_records(F.col("body"))).alias("idx", "record_json")
     )
 
 

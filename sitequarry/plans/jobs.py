@@ -49,14 +49,15 @@ def dump(
 ) -> dict[str, DataFrame]:
     """Records, documents and statistics out of captured responses; of routes saved under one name the last stays.
 
-    The plan and the numbers of the pages are written once. What the plan does not want is left out of the numbers, so the bodies of list
+    The plan and the numbers of the pages are written once. Routes that the plan does not want get no outcome, so the bodies of list
     pages move once, with the pages that are kept.
     """
     planned = stored(routes.dispatch(routes.explode_routes(site_index), known_routes, include_unknown), "plan")
     wanted = planned.where("action <> 'skip'").select("domain", "route", planned.action.alias("kind"))
     lists, dicts = (wanted.where(F.col("kind") == kind).select("domain", "route") for kind in ("list", "dict"))
-    resolved = stored(pages.resolve_retries(responses, retry_count).join(by_sort(lists), ["domain", "route"], "left_semi"), "pages")
-    outcomes = stored(pages.assemble(resolved), "outcomes")
+    resolved = stored(pages.resolve_retries(responses, retry_count), "pages")
+    # a row a route meets the plan, not a row a page
+    outcomes = stored(pages.assemble(resolved).join(by_sort(lists), ["domain", "route"], "left_semi"), "outcomes")
     documents = pages.dict_documents(responses).join(by_sort(dicts), ["domain", "route"], "left_semi")
     times = responses.select("domain", "route", "kind", "fetched_at").join(by_sort(wanted), ["domain", "route", "kind"], "left_semi")
     written = planned.join(
@@ -70,7 +71,7 @@ def dump(
     lasting = outcomes.join(by_sort(lost), ["domain", "route"], "left_anti")
     return {
         "plan": planned,
-        "pages": resolved,
+        "pages": resolved.join(by_sort(lists), ["domain", "route"], "left_semi"),
         "outcomes": outcomes,
         "records": pages.records(responses, resolved, lasting),
         "documents": documents.join(by_sort(lost), ["domain", "route"], "left_anti"),

@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,30 @@ def test_getfiles_counts_add_up(spark):
     assert done["statistics"].where("downloaded + failed + skipped <> total").count() == 0
     assert done["rejects"].count() == 0
     assert done["manifest"].count() >= b.manifest(spark, FOLDER).count()
+
+
+def test_filters_on_responses_stay_small(spark):
+    """A method of over 8000 bytes is left to the Java interpreter."""
+    found = b.list_responses(spark, FOLDER).where("status = 200 AND error IS NULL").select("domain", "route", "page", "attempt", "body")
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        debug = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug
+        text = getattr(debug, "package$").__getattr__("MODULE$").codegenString(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_pages_of_routes_that_are_not_wanted_stay_out(spark, rows):
+    known = seed_catalogue(spark)
+    some = jobs.dump(b.site_index(spark, FOLDER), known, b.responses(spark, FOLDER), include_unknown=False)
+    wanted = some["plan"].where("action = 'list'").select("domain", "route")
+    assert some["pages"].join(wanted, ["domain", "route"], "left_anti").count() == 0 < some["pages"].count()
+    assert some["outcomes"].join(wanted, ["domain", "route"], "left_anti").count() == 0
+    assert some["records"].join(wanted, ["domain", "route"], "left_anti").count() == 0 < some["records"].count()
+    # what is kept has no shuffle of page rows by route: the kept pages of routes go to the page rows
+    plan = some["records"]._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(domain" in line and "attempt" not in line]
+    assert sum("page#" in line for line in moved) == 3
