@@ -1,12 +1,15 @@
 import json
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitequarry.functions import json_shapes
 from sitequarry.operators import pages
 from sitequarry.plans import bindings as b
+from sitequarry.session import shared_dir, stored
 from sitequarry.sources import captures, checkpoints, trees
 
 FOLDER = "/root/testdata/sf0.001"
@@ -96,3 +99,57 @@ def test_checkpoints_under_a_name_with_a_dot(spark, tmp_path, rows):
     found = captures.read_checkpoints(spark, str(tmp_path), ".own_checkpoint.json")
     assert rows(found) == [("a.com", "a.com/files/é", 2.5)]
     assert found.where(F.col("domain") == "c.com").count() == 0
+
+
+def test_shuffles_of_a_stored_table_are_gone(spark, tmp_path):
+    def shuffle_bytes():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [top.apply(i) for i in range(top.length())]
+        return sum(f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+    spark.sparkContext._jvm.System.gc()
+    held = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    texts = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    before = shuffle_bytes()
+    assert stored(texts.repartition(3, "text"), "freed").count() == 20_000
+    deadline = time.time() + 20  # files go behind the query's back
+    while shuffle_bytes() - before > 500_000 and time.time() < deadline:
+        time.sleep(0.2)
+    # the texts are 2.5 MB
+    assert shuffle_bytes() - before < 500_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == held
+    assert shared_dir(spark)
+
+
+def test_responses_are_stored_in_rounds(spark, tmp_path, rows):
+    given = spark.createDataFrame(
+        [(f"d{i % 7}" if i % 11 else None, f"/r{i % 3}", i % 50 + 1, i % 2 + 1, "é" * (i % 5)) for i in range(500)] * 2,
+        "domain string, route string, page int, attempt int, body string",
+    )
+    try:
+        for _ in range(2):  # what was there before is replaced
+            table = captures.store_responses(given, "responses_of_rounds", str(tmp_path / "t"), 3)
+        assert rows(table) == rows(given)
+        files = [f for f in os.listdir(tmp_path / "t") if f.endswith(".parquet")]
+        assert 3 < len(files) <= 3 * captures.STORING_ROUNDS and all(".zstd." in f for f in files)
+        # the tries of a page are in one bucket
+        buckets = table.select("domain", "route", "page", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{5})\.", 1).alias("bucket")).distinct()
+        assert buckets.groupBy("domain", "route", "page").count().where("count > 1").count() == 0
+        assert buckets.select("bucket").distinct().count() == 3
+    finally:
+        spark.sql("DROP TABLE IF EXISTS responses_of_rounds")
+
+
+def test_one_parse_tells_a_list(spark):
+    texts = ["[]", " [1, [2]]\n", "[1],[2]", "[1] x", "[1]],[[2]", "['a']", "[NaN]", '["a\tb"]', '["it\'s", null]', "[1,]", "{}", "3", "", None, '["\\\'"]']
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, body string")
+    body = F.col("body")
+    found = frame.select("i", json_shapes.strict_list_length(body).alias("n"), json_shapes.json_shape(body).alias("shape"), json_shapes.list_length(body).alias("length")).collect()
+    assert {r.i: r.n for r in found if r.n is not None} == {0: 0, 1: 2, 8: 2}
+    assert all(r.shape == "list" and r.n == r.length for r in found if r.n is not None)
+    # what only the other way takes is a list still
+    odd = frame.where("i IN (1, 5, 14)").selectExpr(
+        "'d' AS domain", "'/r' AS route", "'list' AS kind", "i + 1 AS page", "1 AS attempt", "200 AS status",
+        "cast(NULL AS map<string,string>) AS headers", "body", "cast(NULL AS string) AS error",
+    )
+    assert {r.page: (r.stop, r.n_records) for r in pages.resolve_retries(odd).collect()} == {2: (None, 2), 6: (1, None), 15: (None, 1)}
